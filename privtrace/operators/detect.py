@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import channels as ch
 from ..dims import fields as fl
@@ -281,30 +283,55 @@ def cosine(a, b) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU) -> DataFrame:
-    """Events whose embedding is at least ``tau`` similar to an embedding of their own scenario's vault.
+def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU,
+                   max_vectors: int = 50_000) -> DataFrame:
+    """(event, vault entry) pairs of one scenario whose embeddings have cosine >= ``tau``.
 
-    Unit vectors u, v have cosine c exactly when |u - v|^2 = 2 - 2c, so the first
-    components of a match differ by at most sqrt(2 - 2 tau). Both sides are put
-    into cells of that width (a vault vector into its cell and both neighbours),
-    and only equal cells meet: an exact reduction that also splits large scenarios.
+    A vault of checked size is broadcast as one matrix per scenario and each
+    batch of events is compared in one matrix product, without a shuffle. Beyond
+    that size both sides meet in an equi-join on the keys whose condition is the
+    cosine, so pairs below the threshold are never emitted and AQE splits hot keys.
     """
     on = list(on)
-    width = (2 - 2 * tau) ** 0.5 + 1e-9
-    def unit(df):
-        n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return df.withColumn("__n", n).where(F.col("__n") > 0).withColumn(
-            "__u", F.transform("embedding", lambda x: x.cast("double") / F.col("__n")))
-    def cell(i):
-        return F.floor(F.col("__u")[i] / width)
-    a = unit(events).select(*on, "event_id", "__u", cell(0).alias("c0"), cell(1).alias("c1"), cell(2).alias("c2"))
-    near = lambda i: F.explode(F.array(cell(i) - 1, cell(i), cell(i) + 1))
-    b = unit(vault).select(*on, "vault_id", F.col("__u").alias("__w"), near(0).alias("c0"), F.col("__u"))
-    b = b.select(*on, "vault_id", "__w", "c0", near(1).alias("c1"), "__u")
-    b = b.select(*on, "vault_id", "__w", "c0", "c1", near(2).alias("c2"))
-    sim = F.aggregate(F.zip_with("__u", "__w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, on + ["c0", "c1", "c2"]).withColumn("similarity", sim).where(
-        F.col("similarity") >= tau).select(*on, "event_id", "vault_id", "similarity")
+    v = vault.select(*on, "vault_id", F.col("embedding").alias("__w"))
+    if v.limit(max_vectors + 1).count() > max_vectors:
+        a, b = events.select(*on, "event_id", "embedding").alias("a"), v.alias("b")
+        cond = cosine("a.embedding", "b.__w") >= tau
+        for k in on:
+            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.join(b, cond).select(*[f"a.{k}" for k in on], "a.event_id", "b.vault_id",
+                                      cosine("a.embedding", "b.__w").alias("similarity"))
+    groups: dict = {}
+    for row in v.toLocalIterator():  # bounded by max_vectors
+        groups.setdefault(tuple(row[k] for k in on), []).append((row["vault_id"], row["__w"]))
+    shared = events.sparkSession.sparkContext.broadcast(groups)
+    types = {f.name: f.dataType for f in events.schema.fields}
+    id_type = {f.name: f.dataType for f in vault.schema.fields}["vault_id"]
+    schema = T.StructType([T.StructField(c, types[c]) for c in [*on, "event_id"]]
+                          + [T.StructField("vault_id", id_type), T.StructField("similarity", T.DoubleType())])
+
+    def unit(rows):
+        m = np.asarray(rows, dtype="float64")
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(n == 0, 1.0, n)
+
+    def match(batches):
+        sides = {k: (np.array([i for i, _ in g], dtype=object), unit([w for _, w in g])) for k, g in shared.value.items()}
+        for pdf in batches:
+            for key, part in pdf.groupby(on if len(on) > 1 else on[0], sort=False) if on else [((), pdf)]:
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in sides:
+                    continue
+                ids, mat = sides[key]
+                sim = unit(list(part["embedding"])) @ mat.T
+                i, j = np.nonzero(sim >= tau)
+                if len(i):
+                    out = part.iloc[i][[*on, "event_id"]].reset_index(drop=True)
+                    out["vault_id"] = ids[j]
+                    out["similarity"] = sim[i, j]
+                    yield out
+
+    return events.select(*on, "event_id", "embedding").mapInPandas(match, schema)
 
 
 def fuzzy_match(tokens: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.FUZZY_TAU) -> DataFrame:

@@ -137,7 +137,7 @@ def is_context_false_positive(entity, match, text) -> Column:
     e, m, content = col(entity), col(match), F.lower(col(text))
     low = F.lower(F.trim(m))
     date = F.regexp_extract(low, r"\d{4}-\d{2}-\d{2}", 0)
-    at = F.locate_column(content, date) if hasattr(F, "locate_column") else F.position(date, content)
+    at = F.position(date, content)
     before = F.substring(content, F.greatest(F.lit(1), at - fp.CONTEXT_CHARS), F.least(F.lit(fp.CONTEXT_CHARS), at - 1))
     inside = at > 1
     is_date = (e == "DATE_TIME") & (F.length(date) > 0)
