@@ -14,6 +14,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space at both ends (tabs and line breaks too)."""
+    return F.btrim(col(c), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def contains_any(c, words) -> Column:
     """True when the text holds one of the literal words (codegen, no lambda)."""
     c = col(c)
@@ -76,7 +81,7 @@ def normalized_digits(c) -> Column:
 
 def normalized_amount(c) -> Column:
     """Trimmed lower-case text without hyphens, blanks, commas and currency signs."""
-    return F.regexp_replace(F.lower(F.trim(col(c))), r"[-, $€£]", "")
+    return F.regexp_replace(F.lower(strip(c)), r"[-, $€£]", "")
 
 
 def thousands(c) -> Column:
@@ -120,8 +125,8 @@ def split_react(c) -> tuple[Column, Column]:
     """(thought, json) of ``THOUGHT: .. JSON: ..``; without a JSON mark all is JSON."""
     c = col(c)
     has_json = F.contains(c, F.lit("JSON:"))
-    json_part = F.when(has_json, F.trim(F.regexp_extract(c, r"(?s)JSON:\s*(.*)", 1))).otherwise(c)
-    thought = F.when(has_json, F.trim(F.regexp_extract(c, r"(?s)THOUGHT:\s*(.*?)(?:JSON:|$)", 1))).otherwise(F.lit(""))
+    json_part = F.when(has_json, strip(F.regexp_extract(c, r"(?s)JSON:\s*(.*)", 1))).otherwise(c)
+    thought = F.when(has_json, strip(F.regexp_extract(c, r"(?s)THOUGHT:\s*(.*?)(?:JSON:|$)", 1))).otherwise(F.lit(""))
     return thought, json_part
 
 

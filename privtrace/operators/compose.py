@@ -46,9 +46,9 @@ def run_plan(scenarios: DataFrame, models: list[str]) -> DataFrame:
 def vignette_checks(df: DataFrame, c: str = "text") -> DataFrame:
     """Flags: no explicit word in the first line, all tags, four sentences or more."""
     first = F.lower(F.split_part(c, F.lit("\n"), F.lit(1)))
-    body = F.trim(F.regexp_extract(c, r"(?s)\[Vignette\]:\s*(.+?)\[Sensitive Data\]", 1))
+    body = tx.strip(F.regexp_extract(c, r"(?s)\[Vignette\]:\s*(.+?)\[Sensitive Data\]", 1))
     has_body = F.col(c).rlike(r"(?s)\[Vignette\]:\s*(.+?)\[Sensitive Data\]")
-    n = F.size(F.filter(F.split(body, r"[.!?]+"), lambda s: F.length(F.trim(s)) > 0))
+    n = F.size(F.filter(F.split(body, r"[.!?]+"), lambda s: F.length(tx.strip(s)) > 0))
     tags = [F.contains(c, F.lit(t)) for t in tr.VIGNETTE_TAGS]
     all_tags = tags[0] & tags[1] & tags[2] & tags[3] & tags[4]
     return df.withColumns({

@@ -14,6 +14,7 @@ Three exact ways, picked by measured size:
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,21 +43,88 @@ def _automaton(token: str, entries):
     return _AUTOMATA[token]
 
 
-def vault_size(vault: DataFrame, on: list[str]):
-    """(values, characters, most values of one key, lengths below each gram size) in one small job."""
-    per_key = vault.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("__v")).alias("c"),
-        F.min(F.length("__v")).alias("lo"),
-        *[F.max((F.length("__v") >= q).cast("int") * (F.length("__v") < hi).cast("int")).alias(f"q{q}")
-          for q, hi in zip(GRAM_SIZES, (1 << 30,) + GRAM_SIZES)],
-    )
-    return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("c"), F.lit(0)).alias("c"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("top"),
-        *[F.max(f"q{q}").alias(f"q{q}") for q in GRAM_SIZES],
-    ).first()
+class ValueIndex:
+    """Distinct values per key, measured once and then used on any number of texts."""
+
+    def __init__(self, vault: DataFrame, on=(), value: str = "value", case_sensitive: bool = False, strategy: str = "auto"):
+        self.on = list(on)
+        self.case_sensitive = case_sensitive
+        norm = F.col(value) if case_sensitive else F.lower(F.col(value))
+        self.values = vault.select(*self.on, norm.alias("__v")).where(F.length("__v") > 0).distinct()
+        self.shared, self.token, self.sizes = None, uuid.uuid4().hex, None
+        self.strategy = strategy
+        if strategy in ("auto", "automaton"):
+            self._measure(vault.sparkSession)
+        if self.strategy == "gram":
+            self.sizes = gram_tiers(self.values)
+        if self.strategy == "scan" and not self.on:
+            raise ValueError("a scan needs join keys")
+
+    def _measure(self, spark) -> None:
+        # one bounded job: at most MAX_AUTOMATON_VALUES + 1 rows reach the driver
+        rows = self.values.limit(MAX_AUTOMATON_VALUES + 1).collect()
+        fits = len(rows) <= MAX_AUTOMATON_VALUES and sum(len(r["__v"]) for r in rows) <= MAX_AUTOMATON_CHARS
+        if not fits:
+            if self.strategy == "automaton":
+                raise ValueError("vault too large for the automaton; use strategy='gram'")
+            self.strategy = "gram"
+            return
+        per_key = Counter(tuple(r[k] for k in self.on) for r in rows)
+        if self.strategy == "auto" and self.on and max(per_key.values(), default=0) <= MAX_SCAN_PER_KEY:
+            self.strategy = "scan"
+            return
+        self.strategy = "automaton"
+        by_value: dict[str, list] = {}
+        for r in rows:
+            by_value.setdefault(r["__v"], []).append(tuple(r[k] for k in self.on))
+        self.shared = spark.sparkContext.broadcast(list(by_value.items()))
+
+    def hits(self, events: DataFrame, text: str = "text", event_id: str = "event_id") -> DataFrame:
+        """Event columns (without the text) and ``__v``, the normalised value found."""
+        cols = [c for c in events.columns if c != text]
+        norm = F.col(text) if self.case_sensitive else F.lower(F.col(text))
+        ev = events.select(*cols, norm.alias("__t")).where(F.length("__t") > 0)
+        if self.strategy == "automaton":
+            return self._automaton_hits(ev, cols)
+        if self.strategy == "gram":
+            return _gram_hits(ev, self.values, self.on, cols, event_id, self.sizes)
+        a, b = ev.alias("a"), self.values.alias("b")
+        cond = F.contains(F.col("a.__t"), F.col("b.__v"))
+        for k in self.on:
+            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.join(b, cond).select(*[F.col(f"a.{c}") for c in cols], F.col("b.__v"))
+
+    def _automaton_hits(self, ev: DataFrame, cols: list[str]) -> DataFrame:
+        types = {f.name: f for f in ev.schema.fields}
+        schema = T.StructType([types[c] for c in cols] + [T.StructField("__v", T.StringType())])
+        on, token, shared = self.on, self.token, self.shared
+
+        def scan(batches):
+            entries = shared.value
+            if not entries:
+                return
+            machine = _automaton(token, entries)
+            for pdf in batches:
+                keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
+                rows, found = [], []
+                for i, text in enumerate(pdf["__t"]):
+                    seen = set()
+                    for _, (v, owners) in machine.iter(text):
+                        if v not in seen and keys[i] in owners:
+                            seen.add(v)
+                            rows.append(i)
+                            found.append(v)
+                if rows:
+                    out = pdf.iloc[rows][cols].reset_index(drop=True)
+                    out["__v"] = pd.Series(found, dtype="object")
+                    yield out
+
+        return ev.mapInPandas(scan, schema)
+
+    def attach(self, hits: DataFrame, vault: DataFrame, value: str = "value") -> DataFrame:
+        """Vault columns for the values found."""
+        norm = F.col(value) if self.case_sensitive else F.lower(F.col(value))
+        return hits.join(vault.withColumn("__v", norm), self.on + ["__v"]).drop("__v")
 
 
 def contains_join(
@@ -71,72 +139,16 @@ def contains_join(
     strategy: str = "auto",
 ) -> DataFrame:
     """Event columns (without the text) joined with vault columns wherever the text contains the value."""
-    on = list(on)
-    norm = (lambda c: F.col(c)) if case_sensitive else (lambda c: F.lower(F.col(c)))
-    ev_cols = [c for c in events.columns if c != text]
-    ev = events.select(*ev_cols, norm(text).alias("__t")).where(F.length("__t") > 0)
-    vt = vault.withColumn("__v", norm(value)).where(F.length("__v") > 0)
-    values = vt.select(*on, "__v").distinct()
-
-    size = None
-    if strategy in ("auto", "gram"):
-        size = vault_size(values, on)
-    if strategy == "auto":
-        if on and size["top"] <= MAX_SCAN_PER_KEY:
-            strategy = "scan"
-        elif size["n"] <= MAX_AUTOMATON_VALUES and size["c"] <= MAX_AUTOMATON_CHARS:
-            strategy = "automaton"
-        else:
-            strategy = "gram"
-
-    if strategy == "scan":
-        if not on:
-            raise ValueError("a scan needs join keys")
-        a, b = ev.alias("a"), vt.alias("b")
-        cond = F.contains(F.col("a.__t"), F.col("b.__v"))
-        for k in on:
-            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        extra = [c for c in vault.columns if c not in on]
-        return a.join(b, cond).select(*[F.col(f"a.{c}") for c in ev_cols], *[F.col(f"b.{c}") for c in extra])
-    if strategy == "automaton":
-        hits = _automaton_hits(ev, values, on, ev_cols)
-    else:
-        hits = _gram_hits(ev, values, on, ev_cols, event_id, size)
-    return hits.join(vt, on + ["__v"]).drop("__v")
-
-
-def _automaton_hits(ev: DataFrame, values: DataFrame, on: list[str], ev_cols: list[str]) -> DataFrame:
-    by_value: dict[str, list] = {}
-    for row in values.toLocalIterator():  # bounded: checked by the caller, and again here
-        by_value.setdefault(row["__v"], []).append(tuple(row[k] for k in on))
-        if len(by_value) > MAX_AUTOMATON_VALUES:
-            raise ValueError("vault too large for the automaton; use strategy='gram'")
-    token = uuid.uuid4().hex
-    shared = ev.sparkSession.sparkContext.broadcast(list(by_value.items()))
-    schema = T.StructType([ev.schema[c] for c in ev_cols] + [T.StructField("__v", T.StringType())])
-    cols = list(ev_cols)
-
-    def scan(batches):
-        entries = shared.value
-        if not entries:
-            return
-        machine = _automaton(token, entries)
-        for pdf in batches:
-            keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
-            rows, found = [], []
-            for i, text in enumerate(pdf["__t"]):
-                seen = set()
-                for _, (v, owners) in machine.iter(text):
-                    if v not in seen and keys[i] in owners:
-                        seen.add(v)
-                        rows.append(i)
-                        found.append(v)
-            if rows:
-                out = pdf.iloc[rows][cols].reset_index(drop=True)
-                out["__v"] = pd.Series(found, dtype="object")
-                yield out
-
-    return ev.mapInPandas(scan, schema)
+    index = ValueIndex(vault, on, value, case_sensitive, strategy)
+    return index.attach(index.hits(events, text, event_id), vault, value)
+
+
+def gram_tiers(values: DataFrame) -> list[int]:
+    """The gram sizes in use: each value goes to the largest size that fits it."""
+    bounds = list(zip(GRAM_SIZES, (1 << 30,) + GRAM_SIZES))
+    n = F.length("__v")
+    row = values.agg(*[F.bool_or((n >= q) & (n < hi)).alias(f"q{q}") for q, hi in bounds]).first()
+    return [q for q in GRAM_SIZES if row[f"q{q}"]]
 
 
 def grams(c, q: int):
@@ -144,8 +156,7 @@ def grams(c, q: int):
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def _gram_hits(ev, values, on, ev_cols, event_id, size) -> DataFrame:
-    used = [q for q in GRAM_SIZES if size[f"q{q}"]]
+def _gram_hits(ev, values, on, ev_cols, event_id, used) -> DataFrame:
     tier = F.lit(GRAM_SIZES[-1])
     for q in reversed(GRAM_SIZES[:-1]):
         tier = F.when(F.length("__v") >= q, F.lit(q)).otherwise(tier)

@@ -4,7 +4,7 @@ Points are (by.., name, cost, utility): cost should be low, utility high.
 """
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -97,9 +97,7 @@ def pareto_layers(points: DataFrame, by=(), max_group: int = 500_000) -> DataFra
         best: list[float] = []  # negated highest utility per layer: rises with the layer
         layers = []
         for u in pdf["utility"]:
-            i = bisect_left(best, -u + 0.0)
-            while i < len(best) and best[i] <= -u:
-                i += 1
+            i = bisect_right(best, -u)
             if i == len(best):
                 best.append(-u)
             else:

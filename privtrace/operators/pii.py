@@ -36,14 +36,10 @@ def find_spans(
     keep = [c for c in events.columns if c != text]
     if offsets:
         return _offset_spans(events, table, flags, text, keep)
-    hits = F.flatten(F.array(*[
-        F.transform(
-            F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)),
-            lambda m, e=entity, i=no, s=score: F.struct(
-                F.lit(e).alias("entity"), F.lit(i).alias("pattern_no"), F.lit(float(s)).alias("score"), m.alias("match")),
-        )
-        for entity, no, pattern, score in table
-    ]))
+    def tagged(entity, no, pattern, score):
+        return F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), lambda m: F.struct(
+            F.lit(entity).alias("entity"), F.lit(no).alias("pattern_no"), F.lit(float(score)).alias("score"), m.alias("match")))
+    hits = F.flatten(F.array(*[tagged(*r) for r in table]))
     return events.select(*keep, F.inline(hits))
 
 
@@ -110,7 +106,7 @@ def context_boost(spans: DataFrame, events: DataFrame, k: int = 30, boost: float
 
 def is_false_positive(entity, match) -> Column:
     """Exact, prefix, contains and number-range rules per entity."""
-    e, low = col(entity), F.lower(F.trim(col(match)))
+    e, low = col(entity), F.lower(tx.strip(match))
     tests = []
     for name, rules in fp.FALSE_POSITIVES.items():
         hit = F.lit(False)
@@ -135,7 +131,7 @@ def fp_filter(spans: DataFrame) -> DataFrame:
 def is_context_false_positive(entity, match, text) -> Column:
     """Scheduling dates and log words that look like people, judged by the text around them."""
     e, m, content = col(entity), col(match), F.lower(col(text))
-    low = F.lower(F.trim(m))
+    low = F.lower(tx.strip(m))
     date = F.regexp_extract(low, r"\d{4}-\d{2}-\d{2}", 0)
     at = F.position(date, content)
     before = F.substring(content, F.greatest(F.lit(1), at - fp.CONTEXT_CHARS), F.least(F.lit(fp.CONTEXT_CHARS), at - 1))

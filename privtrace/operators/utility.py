@@ -95,8 +95,8 @@ def string_match(output, references, case_sensitive: bool = False, partial: bool
         o, refs = F.lower(o), F.transform(refs, F.lower)
     if partial:
         return F.coalesce(F.exists(refs, lambda r: F.contains(o, r)), F.lit(False))
-    o = F.trim(o)
-    return F.coalesce(F.exists(refs, lambda r: F.trim(r) == o), F.lit(False))
+    o = tx.strip(o)
+    return F.coalesce(F.exists(refs, lambda r: tx.strip(r) == o), F.lit(False))
 
 
 def content_check(text, include, exclude) -> Column:
