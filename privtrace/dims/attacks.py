@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import local_table
+
 # --- fixed values -----------------------------------------------------------
 ATTACKS = [
     ("direct_prompt_injection", "F1", ["C1", "C3"], "A1"),
@@ -61,7 +63,6 @@ FAMILY_DEFAULT = {"catalogue": "F1", "trace": "A0", "metric": "F1"}
 
 def dim_attack(spark: SparkSession) -> DataFrame:
     rows = [(i, c, f, ch, lv, c in METRIC_CLASSES) for i, (c, f, ch, lv) in enumerate(ATTACKS)]
-    return spark.createDataFrame(
-        rows,
+    return local_table(spark, rows,
         "class_idx int, attack_class string, family string, target_channels array<string>, level string, in_metric_map boolean",
     )

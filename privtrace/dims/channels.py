@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import local_table
+
 # --- fixed values -----------------------------------------------------------
 # id, long name, display name, visibility, side, risk
 CHANNELS = [
@@ -49,6 +51,5 @@ CLEARANCE = {"public": 0, "restricted": 1, "confidential": 2, "secret": 3}
 def dim_channel(spark: SparkSession, profile: str = "channel") -> DataFrame:
     weights = WEIGHT_PROFILES[profile]
     rows = [(*c, weights[c[0]]) for c in CHANNELS]
-    return spark.createDataFrame(
-        rows, "channel string, long_name string, display_name string, visibility string, side string, risk string, weight double"
+    return local_table(spark, rows, "channel string, long_name string, display_name string, visibility string, side string, risk string, weight double"
     )

@@ -103,14 +103,14 @@ def rate(k, n) -> Column:
 
 
 def luhn_ok(c) -> Column:
-    return F.luhn_check(F.regexp_replace(col(c), "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(col(c), "[^0-9]", ""))
 
 
 def iban_ok(c) -> Column:
     """Mod-97 checksum: the first four characters move to the end, letters count 10..35."""
     s = F.upper(F.regexp_replace(col(c), r"\s", ""))
     moved = F.concat(F.substring(s, 5, 64), F.substring(s, 1, 4))
-    chars = F.split(moved, "(?!^)")
+    chars = F.split(moved, "(?<=.)(?=.)")
     def step(acc, x):
         digit = F.when(x.rlike("[0-9]"), x.cast("int")).otherwise(F.ascii(x) - 55)
         return ((acc * F.when(digit > 9, 100).otherwise(10)) + digit) % 97

@@ -100,11 +100,8 @@ def mean_ci(df: DataFrame, value: str, by=(), z: float = Z95) -> DataFrame:
 def aggregate_runs(runs: DataFrame, by=()) -> DataFrame:
     """Interval of each metric across runs; attack success only over runs with attacks."""
     long = runs.select(*by, F.inline(F.array(
-        F.struct(F.lit("elr").alias("metric"), F.col("elr").alias("v")),
-        F.struct(F.lit("wls"), F.col("wls")),
-        F.struct(F.lit("tsr"), F.col("tsr")),
-        F.struct(F.lit("asr"), F.when(F.col("attacks") > 0, F.col("asr"))),
-    )))
+        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("elr", "wls", "tsr")],
+        F.struct(F.lit("asr").alias("metric"), F.when(F.col("attacks") > 0, F.col("asr")).alias("v")))))
     return mean_ci(long, "v", by=[*by, "metric"])
 
 

@@ -30,11 +30,12 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def read_pair_traces(spark: SparkSession, path: str) -> DataFrame:
     """One row per scenario with a message and a memory write -> two event rows."""
     t = spark.read.schema(sc.PAIR_TRACE).json(path)
+    def row(channel, source, target, text, exposed):
+        return F.struct(F.lit(channel).alias("channel"), F.col(source).alias("source"), F.col(target).alias("target"),
+                        F.col(text).alias("text"), F.col(exposed).alias("pii_exposed"))
     rows = F.array(
-        F.struct(F.lit("C2").alias("channel"), F.col("channel_c2.from").alias("source"), F.col("channel_c2.to").alias("target"),
-                 F.col("channel_c2.message").alias("text"), F.col("channel_c2.pii_exposed").alias("pii_exposed")),
-        F.struct(F.lit("C5"), F.col("channel_c5.agent"), F.col("channel_c5.memory_key"), F.col("channel_c5.memory_value"),
-                 F.col("channel_c5.pii_exposed")))
+        row("C2", "channel_c2.from", "channel_c2.to", "channel_c2.message", "channel_c2.pii_exposed"),
+        row("C5", "channel_c5.agent", "channel_c5.memory_key", "channel_c5.memory_value", "channel_c5.pii_exposed"))
     return t.select("scenario_id", "framework", F.inline(rows)).where(F.col("text").isNotNull())
 
 
