@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import fields as fl
 from ..functions import text as tx
@@ -90,32 +91,37 @@ def match_tool_calls(expected: DataFrame, actual: DataFrame, args: list[str], by
 def match_tool_calls_greedy(expected: DataFrame, actual: DataFrame, by=("scenario_id", "agent_id")) -> DataFrame:
     """General case: arguments are maps, an expected call lists only some, dynamic ones need only be present.
 
-    expected: by.., call_no, tool, args map, dynamic array; actual: by.., call_no, tool, args map.
-    First come, first served in call order, per agent and tool (the greedy rule
-    never crosses tools, so the groups are as small as the rule allows).
+    expected: by.., tool, call_no, args map, dynamic array; actual: by.., tool,
+    call_no (unique per agent), args map. First come, first served in call order.
+
+    An expected call can lose at most n - 1 of its candidates to the n - 1 other
+    expected calls of its agent and tool, so its first n candidates decide. They
+    are found with a join and a ranked cut; the sequential part then sees only
+    the ground truth (a definition of some calls per agent), never the log.
     """
     by = list(by)
-    schema = ", ".join([f"{k} string" for k in by] + ["tool string", "call_no bigint", "found boolean"])
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("call_no")
-        free = [dict(a) if a is not None else {} for a in right["args"]]
-        used = [False] * len(free)
-        rows = []
-        for _, e in left.sort_values("call_no").iterrows():
-            want = dict(e["args"]) if e["args"] is not None else {}
-            dyn = set(e["dynamic"]) if e["dynamic"] is not None else set()
-            hit = False
-            for i, got in enumerate(free):
-                if not used[i] and all(k in got and (k in dyn or got[k] == v) for k, v in want.items()):
-                    used[i] = hit = True
-                    break
-            rows.append((*key, int(e["call_no"]), hit))
-        return pd.DataFrame(rows, columns=[*by, "tool", "call_no", "found"])
-
-    e = expected.withColumns({k: F.col(k).cast("string") for k in by})
-    a = actual.withColumns({k: F.col(k).cast("string") for k in by})
-    return e.groupBy(*by, "tool").cogroup(a.groupBy(*by, "tool")).applyInPandas(run, schema)
+    keys = [*by, "tool"]
+    n = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    e = expected.join(n, keys)
+    a = actual.select(*keys, F.col("call_no").alias("__a"), F.col("args").alias("__args"))
+    fits = F.forall(F.map_entries("args"), lambda kv: F.map_contains_key("__args", kv["key"]) & (
+        F.array_contains("dynamic", kv["key"]) | (F.element_at("__args", kv["key"]) == kv["value"])))
+    rank = F.row_number().over(Window.partitionBy(*keys, "call_no").orderBy("__a"))
+    first = e.join(a, keys).where(fits).select(*keys, "call_no", "__n", "__a").withColumn("__r", rank).where(F.col("__r") <= F.col("__n"))
+    cand = first.groupBy(*keys, "call_no").agg(F.array_sort(F.collect_list("__a")).alias("cand"))
+    todo = expected.select(*keys, "call_no").join(cand, [*keys, "call_no"], "left")
+    schema = T.StructType([todo.schema[k] for k in [*keys, "call_no"]] + [T.StructField("found", T.BooleanType())])
+
+    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("call_no")
+        used, found = set(), []
+        for cands in pdf["cand"]:
+            free = next((c for c in (cands if cands is not None else []) if c not in used), None)
+            found.append(free is not None)
+            used.add(free)
+        return pdf.assign(found=found)[[f.name for f in schema.fields]]
+
+    return todo.groupBy(*keys).applyInPandas(serve, schema)
 
 
 def state_diff(pre: DataFrame, post: DataFrame, by=("scenario_id",)) -> DataFrame:

@@ -65,7 +65,7 @@ def _(spark, d):
     li = v.table(spark, d, "lineitem")
     one = lambda k, c: F.create_map(F.lit(k), c.cast("string"))
     calls = li.select(F.col("l_orderkey").alias("scenario_id"), (F.col("l_suppkey") % 3).alias("agent_id"), F.col("l_returnflag").alias("tool"),
-                      (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).cast("bigint").alias("call_no"), "l_linestatus", "l_linenumber",
+                      (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("call_no"), "l_linestatus", "l_linenumber",
                       F.map_concat(one("a", F.col("l_quantity") % 5), one("b", F.col("l_linenumber"))).alias("full"))
     exp = calls.where("l_linestatus = 'O'").select("scenario_id", "agent_id", "tool", "call_no", F.when(F.col("l_linenumber") % 2 == 0, F.map_filter("full", lambda k, x: k == "a")).otherwise(F.col("full")).alias("args"),
                                                   F.array(F.lit("b")).alias("dynamic"))
