@@ -1,10 +1,8 @@
 """Multi-agent flow analysis on edge lists."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..dims import fields as fl
 from ..functions import text as tx
@@ -110,18 +108,18 @@ def match_tool_calls_greedy(expected: DataFrame, actual: DataFrame, by=("scenari
     first = e.join(a, keys).where(fits).select(*keys, "call_no", "__n", "__a").withColumn("__r", rank).where(F.col("__r") <= F.col("__n"))
     cand = first.groupBy(*keys, "call_no").agg(F.array_sort(F.collect_list("__a")).alias("cand"))
     todo = expected.select(*keys, "call_no").join(cand, [*keys, "call_no"], "left")
-    schema = T.StructType([todo.schema[k] for k in [*keys, "call_no"]] + [T.StructField("found", T.BooleanType())])
-
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("call_no")
-        used, found = set(), []
-        for cands in pdf["cand"]:
-            free = next((c for c in (cands if cands is not None else []) if c not in used), None)
-            found.append(free is not None)
-            used.add(free)
-        return pdf.assign(found=found)[[f.name for f in schema.fields]]
-
-    return todo.groupBy(*keys).applyInPandas(serve, schema)
+    id_type = actual.schema["call_no"].dataType.simpleString()
+    no_type = expected.schema["call_no"].dataType.simpleString()
+    none = F.array().cast(f"array<{id_type}>")
+    queue = todo.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("call_no", F.coalesce("cand", none).alias("cand")))).alias("q"))
+    start = F.struct(none.alias("used"), F.array().cast(f"array<struct<call_no:{no_type},found:boolean>>").alias("out"))
+
+    def serve(acc, x):
+        free = F.filter(x["cand"], lambda c: ~F.array_contains(acc["used"], c))
+        return F.struct(F.concat(acc["used"], F.slice(free, 1, 1)).alias("used"),
+                        F.concat(acc["out"], F.array(F.struct(x["call_no"].alias("call_no"), (F.size(free) > 0).alias("found")))).alias("out"))
+
+    return queue.select(*keys, F.inline(F.aggregate("q", start, serve, lambda acc: acc["out"])))
 
 
 def state_diff(pre: DataFrame, post: DataFrame, by=("scenario_id",)) -> DataFrame:
