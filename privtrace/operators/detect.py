@@ -12,6 +12,7 @@ from ..dims import channels as ch
 from ..dims import fields as fl
 from ..functions import text as tx
 from ..functions.text import col
+from ..session import cut
 from .contain import ValueIndex, contains_join
 
 KEY = ["scenario_id"]
@@ -170,7 +171,8 @@ def vault_match_filter(spans: DataFrame, vault: DataFrame, vault_match_only: boo
     equal after normalising, part of a key (> 4 characters), holds a key
     (> 4 characters); canaries always pass. Contextual fields are then dropped.
     """
-    keys = vault_lookup_keys(vault)
+    spans = cut(spans, "spans")  # read several times below; the texts are scanned once
+    keys = cut(vault_lookup_keys(vault), "keys")
     texts = spans.select("scenario_id", "text").distinct().withColumns({
         "m": F.lower(tx.strip("text")), "norm": tx.normalized_amount("text")})
     equal = texts.join(keys.withColumnRenamed("key", "m"), ["scenario_id", "m"]).select(
@@ -240,11 +242,11 @@ def tier3_phrase(text, phrases=fl.TIER3_PHRASES) -> Column:
 
 def tier_waterfall(events: DataFrame, vault: DataFrame, markers=None, strategy="auto") -> DataFrame:
     """First tier that fires for each event (null: none)."""
-    t1 = tier1_canary(events, vault, markers, strategy).withColumn("__t1", F.lit(True))
-    return events.join(t1, "event_id", "left").withColumn(
-        "tier",
-        F.when(F.col("__t1"), 1).when(F.size(tier2_pattern("text")) > 0, 2).when(F.size(tier3_phrase("text")) > 0, 3),
-    ).drop("__t1", "text")
+    # pattern and phrase tiers are decided in the row, so that no text is shuffled
+    rest = F.when(F.size(tier2_pattern("text")) > 0, 2).when(F.size(tier3_phrase("text")) > 0, 3)
+    later = events.withColumn("tier", rest).drop("text")
+    t1 = tier1_canary(events, vault, markers, strategy).withColumn("__t1", F.lit(1))
+    return later.join(t1, "event_id", "left").withColumn("tier", F.coalesce("__t1", "tier")).drop("__t1")
 
 
 def tier_share(waterfall: DataFrame) -> DataFrame:

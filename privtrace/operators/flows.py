@@ -105,7 +105,10 @@ def match_tool_calls_greedy(expected: DataFrame, actual: DataFrame, by=("scenari
     fits = F.forall(F.map_entries("args"), lambda kv: F.map_contains_key("__args", kv["key"]) & (
         F.array_contains("dynamic", kv["key"]) | (F.element_at("__args", kv["key"]) == kv["value"])))
     rank = F.row_number().over(Window.partitionBy(*keys, "call_no").orderBy("__a"))
-    first = e.join(a, keys).where(fits).select(*keys, "call_no", "__n", "__a").withColumn("__r", rank).where(F.col("__r") <= F.col("__n"))
+    # the literal bound lets Spark cut the candidates of each call before the shuffle
+    most = n.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
+    first = (e.join(a, keys).where(fits).select(*keys, "call_no", "__n", "__a").withColumn("__r", rank)
+             .where(F.col("__r") <= most).where(F.col("__r") <= F.col("__n")))
     cand = first.groupBy(*keys, "call_no").agg(F.array_sort(F.collect_list("__a")).alias("cand"))
     todo = expected.select(*keys, "call_no").join(cand, [*keys, "call_no"], "left")
     id_type = actual.schema["call_no"].dataType.simpleString()

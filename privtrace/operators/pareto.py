@@ -148,6 +148,5 @@ def first_k_canaries(canaries: DataFrame, k: int = 5, order: str = "record_idx")
 def event_order(events: DataFrame, by=("scenario_id",), seq: str = "seq", flag: str = "leaked") -> DataFrame:
     """Adds the event before, the leaks so far (this one included), and whether this is the first leak."""
     hit = F.when(F.col(flag), 1).otherwise(0)
-    r = running(events, list(by), seq, {"leaks_so_far": ("sum", hit)}, ties=[])
-    r = running(r, list(by), seq, {"prev_seq": ("max", F.col(seq))}, ties=[], inclusive=False)
+    r = running(events, list(by), seq, {"leaks_so_far": ("sum", hit), "prev_seq": ("max", F.col(seq), False)}, ties=[])
     return r.withColumn("is_first_leak", F.col(flag) & (F.col("leaks_so_far") == 1))

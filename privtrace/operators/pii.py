@@ -13,6 +13,7 @@ from ..dims import false_positives as fp
 from ..dims import fields as fl
 from ..dims import recognizers as rz
 from ..functions import text as tx
+from ..functions.patterns import gated_sql, sql_text
 from ..functions.text import col
 
 FLAGS = "(?ims)"
@@ -36,11 +37,36 @@ def find_spans(
     keep = [c for c in events.columns if c != text]
     if offsets:
         return _offset_spans(events, table, flags, text, keep)
-    def tagged(entity, no, pattern, score):
-        return F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), lambda m: F.struct(
-            F.lit(entity).alias("entity"), F.lit(no).alias("pattern_no"), F.lit(float(score)).alias("score"), m.alias("match")))
-    hits = F.flatten(F.array(*[tagged(*r) for r in table]))
-    return events.select(*keep, F.inline(hits))
+    return events.withColumn("__low", F.lower(text)).select(*keep, F.inline(_hits(table, flags, text)))
+
+
+def _hits(table, flags: str, text: str) -> Column:
+    """Array of (entity, pattern_no, score, match) of one text; needs the lower-cased text in ``__low``.
+
+    One SQL text instead of a tree of Column calls: the plan is the same, but
+    hundreds of calls into the JVM are saved.
+    """
+    arms = []
+    for entity, no, pattern, score in table:
+        found = gated_sql(pattern, "__low", f"regexp_extract_all({text}, {sql_text(flags + pattern)}, 0)", "cast(array() AS array<string>)")
+        arms.append(f"transform({found}, m -> named_struct('entity', {sql_text(entity)}, 'pattern_no', {int(no)}, "
+                    f"'score', {float(score)}D, 'match', m))")
+    return F.expr(f"flatten(array({', '.join(arms)}))")
+
+
+def analyze(events: DataFrame, recognizers=None, threshold: float = fl.SPAN_THRESHOLD, flags: str = FLAGS, text: str = "text",
+            context_rules: bool = True) -> DataFrame:
+    """Recognition with both false-positive filters in one pass: the context rules see the text in its own row,
+    so neither a join nor a shuffle is needed, and only surviving spans leave the row."""
+    table = [r for r in (rz.flat() if recognizers is None else recognizers) if r[3] >= threshold]
+    keep = [c for c in events.columns if c != text]
+
+    def real(h):
+        bad = is_false_positive(h["entity"], h["match"])
+        if context_rules:
+            bad = bad | is_context_false_positive(h["entity"], h["match"], text)
+        return ~bad
+    return events.withColumn("__low", F.lower(text)).select(*keep, F.inline(F.filter(_hits(table, flags, text), real)))
 
 
 def _offset_spans(events: DataFrame, table, flags: str, text: str, keep) -> DataFrame:
@@ -82,12 +108,12 @@ def general_spans(events: DataFrame, threshold: float = 0.0, text: str = "text")
 def recognizer_counts(events: DataFrame, recognizers=None, flags: str = "", text: str = "text") -> DataFrame:
     """Matches per recognizer pattern: counted per text, then summed; no span leaves its row."""
     table = rz.flat() if recognizers is None else recognizers
-    counts = F.array(*[
-        F.struct(F.lit(e).alias("entity"), F.lit(i).alias("pattern_no"), F.lit(float(s)).alias("score"),
-                 F.regexp_count(text, F.lit(flags + p)).cast("bigint").alias("n"))
-        for e, i, p, s in table
-    ])
-    return (events.select(F.inline(counts)).where(F.col("n") > 0)
+    arms = []
+    for e, i, p, s in table:
+        n = gated_sql(p, "__low", f"regexp_count({text}, {sql_text(flags + p)})", "0")
+        arms.append(f"named_struct('entity', {sql_text(e)}, 'pattern_no', {int(i)}, 'score', {float(s)}D, 'n', cast({n} AS bigint))")
+    counts = F.expr(f"array({', '.join(arms)})")
+    return (events.withColumn("__low", F.lower(text)).select(F.inline(counts)).where(F.col("n") > 0)
             .groupBy("entity", "pattern_no", "score").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("texts")))
 
 
@@ -156,7 +182,9 @@ def fp_context_filter(spans: DataFrame, events: DataFrame, on: str = "event_id")
 
 def tag_vault(spans: DataFrame, vault: DataFrame, canaries: DataFrame | None = None, strategy="auto") -> DataFrame:
     """Add ``is_canary`` and ``vault_field``: the first vault field whose value holds the match."""
+    from ..session import cut
     from .contain import contains_join
+    spans = cut(spans, "spans")  # read twice below; the texts are scanned once
     holders = vault.where(F.length("value") > 0).select(
         "scenario_id", "record_idx", "field", F.col("value").alias("text"),
         F.concat_ws("|", "record_idx", "field", "value").alias("event_id"))

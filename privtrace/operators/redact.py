@@ -1,10 +1,15 @@
 """Redaction, blocking and access control."""
 from __future__ import annotations
 
+import hashlib
+import re
+from bisect import bisect_left
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import channels as ch
 from ..dims import defenses as df_
@@ -94,6 +99,59 @@ def redact_spans(events: DataFrame, spans: DataFrame, style: str = "placeholder"
         "redactions", F.coalesce("redactions", F.lit(0))).drop("cuts")
 
 
+def redact_scan(events: DataFrame, recognizers, style: str = "placeholder", flags: str = "", custom: str = "[REDACTED]",
+                text: str = "text") -> DataFrame:
+    """Find, settle overlaps and replace in one pass over the texts: no span leaves its row, no text is shuffled.
+
+    Adds ``redacted``, ``redactions``, ``confidence`` (highest score found, null when clean) and ``entities``
+    (distinct, last span first). The rules are those of ``resolve_overlaps`` and ``redact_spans``.
+    """
+    schema = T.StructType(list(events.schema.fields) + [
+        T.StructField("redacted", T.StringType()), T.StructField("redactions", T.IntegerType()),
+        T.StructField("confidence", T.DoubleType()), T.StructField("entities", T.ArrayType(T.StringType()))])
+    table = list(recognizers)
+    make = _REPLACE.get(style, lambda e, m: custom)
+
+    def one(t, machines):
+        spans = [(-s, h.start() - h.end(), h.start(), h.end(), e, h.group()) for e, s, m in machines for h in m.finditer(t)]
+        if not spans:
+            return t, 0, None, []
+        starts, kept = [], []
+        for sp in sorted(spans):
+            i = bisect_left(starts, sp[3])
+            if i == 0 or kept[i - 1][3] <= sp[2]:
+                starts.insert(i, sp[2])
+                kept.insert(i, sp)
+        parts, pos = [], 0
+        for sp in kept:
+            parts += [t[pos:sp[2]], make(sp[4], sp[5])]
+            pos = sp[3]
+        order = list(dict.fromkeys(e for _, e in sorted(((-sp[2], sp[4]) for sp in spans))))
+        return "".join(parts) + t[pos:], len(kept), -min(sp[0] for sp in spans), order
+
+    def scan(batches):
+        machines = [(e, float(s), re.compile(flags + p)) for e, _, p, s in table]
+        for pdf in batches:
+            rows = [one(t, machines) if t else (t, 0, None, []) for t in pdf[text]]
+            out = pdf.copy()
+            for j, c in enumerate(("redacted", "redactions", "confidence", "entities")):
+                out[c] = pd.Series([r[j] for r in rows], index=pdf.index, dtype=("float64" if c == "confidence" else None if c == "redactions" else "object"))
+            out["redactions"] = out["redactions"].astype("int32")
+            yield out
+
+    return events.mapInPandas(scan, schema)
+
+
+_REPLACE = {
+    "placeholder": lambda e, m: f"[REDACTED_{e}]",
+    "asterisk": lambda e, m: "*" * len(m),
+    "masked": lambda e, m: "X" * (len(m) - 4) + m[-4:] if len(m) > 4 else "X" * len(m),
+    "hash": lambda e, m: f"[HASH:{hashlib.sha256(m.encode()).hexdigest()[:8]}]",
+    "category": lambda e, m: f"[PII: {e}]",
+    "remove": lambda e, m: "",
+}
+
+
 def redact_values(events: DataFrame, leaks: DataFrame, tag: str = "[REDACTED]", key: str = "event_id",
                   by_field: bool = False) -> DataFrame:
     """Replace the leaked vault values of each event verbatim, longest first."""
@@ -138,15 +196,14 @@ def apply_defense(text, filtered, action) -> Column:
     return F.when(a == "block", df_.BLOCKED_TEXT).when(a == "redact", F.coalesce(col(filtered), col(text))).otherwise(col(text))
 
 
-def defend(events: DataFrame, spans: DataFrame, style="placeholder", block: bool = False,
-           internal=True, external=True) -> DataFrame:
-    """Redact, block and decide for each event: action, filtered text, confidence."""
-    red = redact_spans(events, spans, style)
-    conf = spans.groupBy("event_id").agg(F.max("score").alias("confidence"))
-    out = block_high_severity(red, spans) if block else red.withColumns(
-        {"blocked": F.lit(False), "block_entity": F.lit(None).cast("string")})
-    out = out.join(conf, "event_id", "left").withColumn("protected", scope_channels("channel", internal, external))
-    return out.withColumns({
+def defend(events: DataFrame, recognizers, style="placeholder", block: bool = False, internal=True, external=True,
+           flags: str = "") -> DataFrame:
+    """Redact, block and decide for each event in one pass: action, final text, confidence."""
+    red = redact_scan(events, recognizers, style, flags)
+    worst = F.get(F.filter("entities", lambda e: e.isin(df_.HIGH_SEVERITY)), F.lit(0))
+    out = red.withColumns({"block_entity": worst if block else F.lit(None).cast("string"),
+                           "protected": scope_channels("channel", internal, external)})
+    return out.withColumn("blocked", F.col("block_entity").isNotNull()).withColumns({
         "confidence": F.when(F.col("protected"), F.coalesce("confidence", F.lit(0.0))).otherwise(1.0),
         "action": decide_action("blocked", "redactions", "protected"),
     }).withColumn("final_text", apply_defense("text", "redacted", "action"))
@@ -180,13 +237,9 @@ def check_acl(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     return m.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).drop("__send", "__recv", "__deny", "__allow")
 
 
-def filter_messages(messages: DataFrame, spans: DataFrame, profiles: DataFrame, block_high: bool = False) -> DataFrame:
-    """Inter-agent messages: redact, check access, block by severity. Key: event_id."""
-    red = redact_spans(messages, spans)
-    ents = spans.groupBy("event_id").agg(F.array_distinct(F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("start")).alias("s"), "entity"))), lambda x: x["entity"])).alias("entities"))
-    m = red.join(ents, "event_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
-    out = check_acl(m, profiles)
+def filter_messages(messages: DataFrame, recognizers, profiles: DataFrame, block_high: bool = False, flags: str = "") -> DataFrame:
+    """Inter-agent messages (text, source, target): redact, check access, block by severity."""
+    out = check_acl(redact_scan(messages, recognizers, flags=flags), profiles)
     if block_high:
         worst = F.get(F.filter("entities", lambda e: e.isin(df_.HIGH_SEVERITY)), F.lit(0))
         out = out.withColumn("__w", F.when(F.col("allowed"), worst)).withColumns({
@@ -195,9 +248,9 @@ def filter_messages(messages: DataFrame, spans: DataFrame, profiles: DataFrame,
     return out.withColumn("filtered", F.when(F.col("allowed"), F.col("redacted")).otherwise(df_.BLOCKED_MESSAGE))
 
 
-def filter_memory(memory: DataFrame, spans: DataFrame) -> DataFrame:
-    """Memory writes and reads by key, redacted; original and filtered lengths kept for audit."""
-    return redact_spans(memory, spans).withColumn("changed", F.col("redactions") > 0)
+def filter_memory(memory: DataFrame, recognizers, flags: str = "") -> DataFrame:
+    """Memory writes and reads by key, redacted."""
+    return redact_scan(memory, recognizers, flags=flags).withColumn("changed", F.col("redactions") > 0)
 
 
 def guardrail_decision(df: DataFrame, valid: str = "is_valid", original="text", sanitized="sanitized", risk="risk_score") -> DataFrame:

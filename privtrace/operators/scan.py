@@ -8,7 +8,7 @@ rows is thus spread over many tasks, and the result is the exact one.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _CARRY = {"sum": F.sum, "max": F.max, "count": F.sum}
@@ -29,42 +29,36 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: str,
-    aggs: dict[str, tuple[str, Column]],
+    aggs: dict[str, tuple],
     ties: list[str] | None = None,
     inclusive: bool = True,
     slices: int = 64,
 ) -> DataFrame:
-    """Add running aggregates (``sum``, ``max`` or ``count``) along ``order``.
+    """Add running aggregates along ``order``: name -> (``sum``, ``max`` or ``count``, expression[, inclusive]).
 
     ``ties`` breaks equal order values; without ties equal values are peers and
-    see the same result. ``inclusive=False`` leaves the current row (with ties)
-    or all its peers (without) out.
+    see the same result. Exclusive aggregates leave the current row out.
     """
     keys = list(keys)
     cut = with_slice(df, keys, order, slices)
-    ins = {n: (fn, e if fn != "count" else F.when(e.isNotNull(), 1).otherwise(0)) for n, (fn, e) in aggs.items()}
-    totals = cut.groupBy(*keys, "__slice").agg(*[_CARRY[fn](e).alias(f"__t_{n}") for n, (fn, e) in ins.items()])
+    ins = {}
+    for n, spec in aggs.items():
+        fn, e = spec[0], spec[1]
+        e = F.when(e.isNotNull(), 1).otherwise(0) if fn == "count" else e
+        ins[n] = (fn, e, spec[2] if len(spec) > 2 else inclusive)
+    totals = cut.groupBy(*keys, "__slice").agg(*[_CARRY[fn](e).alias(f"__t_{n}") for n, (fn, e, _) in ins.items()])
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__slice", *[_CARRY[fn](f"__t_{n}").over(before).alias(f"__c_{n}") for n, (fn, _) in ins.items()]
-    )
-    joined = cut.join(carry, keys + ["__slice"])
-    if ties is not None:
-        w = Window.partitionBy(*keys, "__slice").orderBy(order, *ties)
-        w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = {n: _CARRY[fn](e).over(w) for n, (fn, e) in ins.items()}
-    else:
-        w = Window.partitionBy(*keys, "__slice").orderBy(order)
-        if inclusive:
-            w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-            local = {n: _CARRY[fn](e).over(w) for n, (fn, e) in ins.items()}
+        *keys, "__slice", *[_CARRY[fn](f"__t_{n}").over(before).alias(f"__c_{n}") for n, (fn, _, _) in ins.items()])
+    out = cut.join(carry, keys + ["__slice"])
+    base = Window.partitionBy(*keys, "__slice").orderBy(order, *(ties or []))
+    for n, (fn, e, incl) in ins.items():
+        if ties is not None:
+            w = base.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
+        elif incl:
+            w = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         else:
             raise ValueError("exclusive running aggregates need tie columns; aggregate peers first")
-    out = joined
-    for n, (fn, _) in ins.items():
-        c = F.col(f"__c_{n}")
-        if fn == "max":
-            out = out.withColumn(n, F.greatest(local[n], c))
-        else:
-            out = out.withColumn(n, F.coalesce(local[n], F.lit(0)) + F.coalesce(c, F.lit(0)))
+        local, c = _CARRY[fn](e).over(w), F.col(f"__c_{n}")
+        out = out.withColumn(n, F.greatest(local, c) if fn == "max" else F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0)))
     return out.drop("__slice", *[f"__c_{n}" for n in ins])

@@ -6,76 +6,77 @@ from pyspark.sql import functions as F
 
 from ..dims import task_rules as tr
 from ..functions import text as tx
+from ..functions.patterns import any_word_sql, sql_text
 from ..functions.stats import count_true
 from ..functions.text import col
 
 
-def _verdict(success, score, mode, met, failed) -> Column:
-    return F.struct(success.alias("success"), score.cast("double").alias("score"), mode.alias("failure_mode"),
-                    met.cast("int").alias("n_met"), failed.cast("int").alias("n_failed"))
+def _verdict_sql(success, score, mode, met, failed) -> str:
+    return (f"named_struct('success', {success}, 'score', CAST({score} AS DOUBLE), 'failure_mode', {mode},"
+            f" 'n_met', CAST({met} AS INT), 'n_failed', CAST({failed} AS INT))")
 
 
-def _criterion_state(rules, c, low, n) -> Column:
-    """'met', 'failed' or null (an unknown criterion of a short text is ignored)."""
-    c = F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
-    state = F.when(n > rules["fallback_length"], "met")
-    for words, needed, min_len, pattern in reversed(rules["criteria"]):
-        ok = tx.contains_any(low, needed) if needed else F.lit(True)
+def _states_sql(rules) -> str:
+    """Per criterion 'met' or 'failed'; null for an unknown criterion of a short text, which is ignored."""
+    whens = []
+    for words, needed, min_len, pattern in rules["criteria"]:
+        ok = any_word_sql("__low", needed) if needed else "true"
         if pattern:
-            ok = ok | low.rlike(pattern)
+            ok = f"({ok} OR __low RLIKE {sql_text(pattern)})"
         if min_len:
-            ok = ok & (n > min_len)
-        state = F.when(tx.contains_any(c, words), F.when(ok, "met").otherwise("failed")).otherwise(state)
-    return state
+            ok = f"({ok} AND __n > {min_len})"
+        whens.append(f"WHEN {any_word_sql('c', words)} THEN CASE WHEN {ok} THEN 'met' ELSE 'failed' END")
+    body = f"CASE {' '.join(whens)} WHEN __n > {rules['fallback_length']} THEN 'met' END"
+    return f"transform(__criteria, c -> {body})"
 
 
-def strict_vertical(vertical: str, output="output", criteria="criteria", tools=None) -> Column:
+def strict_columns(output="output", criteria="criteria") -> dict[str, Column]:
+    """Columns that the rule expressions read."""
+    low = F.transform(col(criteria), lambda c: F.lower(F.replace(c, F.lit("_"), F.lit(" "))))
+    return {"__low": F.lower(col(output)), "__n": F.length(col(output)), "__criteria": low}
+
+
+def strict_vertical(vertical: str, tools: str | None = None) -> Column:
     """Verdict struct of one vertical's rule table; ``tools`` counts tool calls (null: no trace)."""
     rules = tr.STRICT_RULES[vertical]
-    low, n = F.lower(col(output)), F.length(col(output))
-    refused = tx.contains_any(low, rules["refusal"])
-    privacy = tx.contains_any(low, rules["privacy"])
-    states = F.transform(col(criteria), lambda c: _criterion_state(rules, c, low, n))
-    long_enough = n >= rules["min_length"]
-    met = F.size(F.filter(states, lambda s: s == "met")) + long_enough.cast("int")
-    failed = F.size(F.filter(states, lambda s: s == "failed")) + (~long_enough).cast("int")
+    long_enough = f"(__n >= {rules['min_length']})"
+    met = f"(size(filter(__states, s -> s = 'met')) + CAST({long_enough} AS INT)"
+    failed = f"(size(filter(__states, s -> s = 'failed')) + CAST(NOT {long_enough} AS INT)"
     if vertical == "healthcare" and tools is not None:
-        t = col(tools)
-        met = met + F.when(t > 0, 1).otherwise(0)
-        failed = failed + F.when(t == 0, 1).otherwise(0)
-    score = met / (met + failed)
-    success = (score >= tr.PASS_SCORE) & long_enough
+        met += f" + CASE WHEN {tools} > 0 THEN 1 ELSE 0 END"
+        failed += f" + CASE WHEN {tools} = 0 THEN 1 ELSE 0 END"
+    met, failed = met + ")", failed + ")"
+    score = f"({met} / ({met} + {failed}))"
+    success = f"({score} >= {tr.PASS_SCORE} AND {long_enough})"
     if vertical in ("healthcare", "finance"):
-        mode = F.when(success, "none").when(~long_enough, "incomplete").otherwise("missing_fields")
+        mode = f"CASE WHEN {success} THEN 'none' WHEN NOT {long_enough} THEN 'incomplete' ELSE 'missing_fields' END"
     else:
-        mode = F.when(success, "none").otherwise("missing_fields")
-    yes, no, zero, one = F.lit(True), F.lit(False), F.lit(0), F.lit(1)
-    return (
-        F.when(refused & privacy, _verdict(yes, F.lit(tr.PRIVACY_REFUSAL_SCORE), F.lit("privacy_refusal"), one, zero))
-        .when(refused, _verdict(no, F.lit(0.0), F.lit("refused"), zero, one))
-        .otherwise(_verdict(success, score, mode, met, failed)))
+        mode = f"CASE WHEN {success} THEN 'none' ELSE 'missing_fields' END"
+    refused, privacy = any_word_sql("__low", rules["refusal"]), any_word_sql("__low", rules["privacy"])
+    text = (f"CASE WHEN {refused} AND {privacy} THEN {_verdict_sql('true', tr.PRIVACY_REFUSAL_SCORE, sql_text('privacy_refusal'), 1, 0)}"
+            f" WHEN {refused} THEN {_verdict_sql('false', 0, sql_text('refused'), 0, 1)}"
+            f" ELSE {_verdict_sql(success, score, mode, met, failed)} END")
+    return F.expr(text)
 
 
-def strict_generic(output="output", criteria="criteria") -> Column:
-    n = F.length(col(output))
-    k = F.size(col(criteria))
-    long_enough, passes = n >= tr.GENERIC_MIN_LENGTH, n > tr.GENERIC_CRITERION_LENGTH
-    met = long_enough.cast("int") + F.when(passes, k).otherwise(0)
-    failed = (~long_enough).cast("int") + F.when(passes, 0).otherwise(k)
-    score = met / (met + failed)
-    ok = score >= tr.GENERIC_PASS_SCORE
-    return _verdict(ok, score, F.when(ok, "none").otherwise("incomplete"), met, failed)
+def strict_generic() -> Column:
+    long_enough, k = f"(__n >= {tr.GENERIC_MIN_LENGTH})", f"CASE WHEN __n > {tr.GENERIC_CRITERION_LENGTH} THEN size(__criteria) ELSE 0 END"
+    met = f"(CAST({long_enough} AS INT) + {k})"
+    failed = f"(1 + size(__criteria) - {met})"
+    score = f"({met} / (1 + size(__criteria)))"
+    ok = f"({score} >= {tr.GENERIC_PASS_SCORE})"
+    return F.expr(_verdict_sql(ok, score, f"CASE WHEN {ok} THEN 'none' ELSE 'incomplete' END", met, failed))
 
 
 def strict_eval(tasks: DataFrame, tools: str | None = None) -> DataFrame:
     """Verdict columns for each task by its vertical; unknown verticals get the generic check."""
+    states = "CASE vertical " + " ".join(f"WHEN {sql_text(v)} THEN {_states_sql(r)}" for v, r in tr.STRICT_RULES.items()) + " END"
     v = None
     for name in tr.STRICT_RULES:
-        cond = F.col("vertical") == name
-        e = strict_vertical(name, tools=tools)
+        cond, e = F.col("vertical") == name, strict_vertical(name, tools)
         v = F.when(cond, e) if v is None else v.when(cond, e)
-    return tasks.withColumn("__v", v.otherwise(strict_generic())).select(
-        *[c for c in tasks.columns if c not in ("output", "criteria")], "__v.*")
+    return (tasks.withColumns(strict_columns()).withColumn("__states", F.expr(states)).withColumn("__v", v.otherwise(strict_generic()))
+            .select(*[c for c in tasks.columns if c not in ("output", "criteria")], "__v.*"))
 
 
 def strict_summary(verdicts: DataFrame) -> DataFrame:

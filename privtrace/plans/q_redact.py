@@ -56,14 +56,19 @@ def _(spark, d):
     return op.redact_spans(v.events_ascii(spark, d), spans(spark, d)).select("event_id", F.md5("redacted").alias("redacted_md5"), "redactions")
 
 
+@query("redact_scan", "R3 R4", sql("hv_event_ascii", f"SELECT event_id, md5({TWO}) AS redacted_md5, len(regexp_extract_all(text, '{SSN_IP[0][2]}')) + len(regexp_extract_all(text, '{SSN_IP[1][2]}')) AS redactions FROM hv_event_ascii"))
+def _(spark, d):
+    return op.redact_scan(v.events_ascii(spark, d), SSN_IP).select("event_id", F.md5("redacted").alias("redacted_md5"), "redactions")
+
+
 @query("redact_styles", "R3", sql("hv_event_ascii", "\nUNION ALL ".join(
     f"SELECT event_id, '{st}' AS style, md5(regexp_replace(text, '{SSN_IP[0][2]}', '{rep}', 'g')) AS redacted_md5 FROM hv_event_ascii" for st, rep in
     [("asterisk", "***********"), ("category", "[PII: US_SSN]"), ("remove", "")])))
 def _(spark, d):
-    ev, sp = v.events_ascii(spark, d), spans(spark, d, SSN_IP[:1])
+    ev = v.events_ascii(spark, d)
     out = None
     for st in ("asterisk", "category", "remove"):
-        x = op.redact_spans(ev, sp, st).select("event_id", F.lit(st).alias("style"), F.md5("redacted").alias("redacted_md5"))
+        x = op.redact_scan(ev, SSN_IP[:1], st).select("event_id", F.lit(st).alias("style"), F.md5("redacted").alias("redacted_md5"))
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -110,7 +115,7 @@ CONF = "CASE WHEN NOT protected THEN 1.0 WHEN ip THEN 0.95 WHEN ssn THEN 0.85 EL
 
 
 def decisions(spark, d):
-    return op.defend(v.events_ascii(spark, d), spans(spark, d), block=True, internal=True, external=False)
+    return op.defend(v.events_ascii(spark, d), SSN_IP, block=True, internal=True, external=False)
 
 
 @query("decide_action", "R9 R10 R11", sql("hv_event_ascii", f"""SELECT event_id, {ACTION} AS action, CAST({CONF} AS DOUBLE) AS confidence,
@@ -170,14 +175,13 @@ def _(spark, d):
 def _(spark, d):
     i = F.col("event_id")
     m = v.events_ascii(spark, d).select("event_id", (i % 25).cast("string").alias("source"), ((i * 3) % 25).cast("string").alias("target"), "text")
-    return op.filter_messages(m, spans(spark, d), profiles(spark, d), block_high=True).select("event_id", F.md5("filtered").alias("filtered_md5"))
+    return op.filter_messages(m, SSN_IP, profiles(spark, d), block_high=True).select("event_id", F.md5("filtered").alias("filtered_md5"))
 
 
 @query("filter_memory", "R14", sql("hv_event_ascii", f"SELECT event_id, md5({TWO}) AS redacted_md5, {TWO} <> text AS changed FROM hv_event_ascii WHERE channel = 'C5'"))
 def _(spark, d):
     mem = v.events_ascii(spark, d).where("channel = 'C5'")
-    s = pii.find_spans(mem, SSN_IP, 0.0, offsets=True, flags="")
-    return op.filter_memory(mem, s).select("event_id", F.md5("redacted").alias("redacted_md5"), "changed")
+    return op.filter_memory(mem, SSN_IP).select("event_id", F.md5("redacted").alias("redacted_md5"), "changed")
 
 
 @query("guardrail_decision", "R15", sql("hv_event_ascii", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'allow' WHEN san <> text THEN 'redact' ELSE 'block' END AS action, (event_id % 10) / 10.0 AS confidence

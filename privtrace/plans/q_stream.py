@@ -82,7 +82,10 @@ def _(spark, d):
     return op.run_to_table(op.dedup_stream(s).select("event_id", "scenario_id", "field", "channel"), "dedup")
 
 
-@query("audit_gap_state", "T9")
+@query("audit_gap_state", "T9", sql("hv_live", f"""\n, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM hv_live WINDOW w AS (PARTITION BY scenario_id ORDER BY ts)),
+ s AS (SELECT *, sum(brk) OVER (PARTITION BY scenario_id ORDER BY ts) AS sid FROM g)
+ SELECT scenario_id, closed_at, c1, c2, c5, NOT c1 AND (c2 OR c5) AS audit_gap, events FROM (SELECT scenario_id, sid, epoch_us(max(ts)) + 3600000000 AS closed_at, bool_or(leaked AND channel = 'C1') AS c1,
+ bool_or(leaked AND channel = 'C2') AS c2, bool_or(leaked AND channel = 'C5') AS c5, count(*) AS events FROM s GROUP BY 1, 2) WHERE closed_at <= {CLOSED}"""))
 def _(spark, d):
     return op.run_to_table(op.audit_gap_state(live_stream(spark, d), timeout="1 hour"), "gapstate")
 

@@ -45,10 +45,12 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan with a reliable checkpoint."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_root(spark))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut the lineage with a table in the shared work folder.
+
+    Used where a costly result is read more than once, and between the rounds
+    of an iteration. The table outlives lost executors.
+    """
+    path = new_work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,12 +1,11 @@
 """Live monitoring with Structured Streaming."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.contain import contains_join
 from ..operators.detect import leak_check
@@ -116,39 +115,19 @@ def dedup_stream(stream: DataFrame, keys=("scenario_id", "field", "channel"), de
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-GAP_OUT = "scenario_id string, c1 boolean, c2 boolean, c5 boolean, audit_gap boolean, events bigint"
-GAP_STATE = "c1 boolean, c2 boolean, c5 boolean, events bigint"
+def audit_gap_state(stream: DataFrame, timeout: str = "1 hour", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """Per scenario: which channels have leaked; one row when the scenario has been silent for ``timeout``.
 
-
-def audit_gap_state(stream: DataFrame, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Per scenario: which channels have leaked so far; one row when the scenario falls silent.
-
-    The state is four small values. Rows arrive batch by batch and are folded,
-    never kept, so a scenario with a third of all traffic costs no memory. The
-    fold starts upstream: rows are reduced to (scenario, channel, leaked, ts).
+    The state of a scenario is a session with four aggregates, so the built-in
+    session window keeps it: no row is held, and messages are folded before
+    they are kept (``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    folds them before the shuffle too, for scenarios with very much traffic).
     """
-    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            c1, c2, c5, n = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], c1, c2, c5, (not c1) and (c2 or c5), n)],
-                               columns=["scenario_id", "c1", "c2", "c5", "audit_gap", "events"])
-            return
-        c1, c2, c5, n = state.get if state.exists else (False, False, False, 0)
-        newest = 0
-        for pdf in batches:
-            hit = pdf.loc[pdf["leaked"], "channel"]
-            c1, c2, c5 = c1 or bool((hit == "C1").any()), c2 or bool((hit == "C2").any()), c5 or bool((hit == "C5").any())
-            n += len(pdf)
-            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
-        state.update((c1, c2, c5, n))
-        state.setTimeoutTimestamp(max(newest + ms, state.getCurrentWatermarkMs() + 1))
-
-    return (stream.select(F.col("scenario_id").cast("string").alias("scenario_id"), "channel", "leaked", "ts")
-            .withWatermark("ts", delay).groupBy("scenario_id")
-            .applyInPandasWithState(step, GAP_OUT, GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    hit = lambda c: F.coalesce(F.bool_or(F.col("leaked") & (F.col("channel") == c)), F.lit(False))
+    g = (stream.withWatermark(ts, delay).groupBy(F.session_window(ts, timeout).alias("w"), "scenario_id")
+         .agg(hit("C1").alias("c1"), hit("C2").alias("c2"), hit("C5").alias("c5"), F.count(F.lit(1)).alias("events")))
+    return g.select("scenario_id", F.unix_micros("w.end").alias("closed_at"), "c1", "c2", "c5",
+                    (~F.col("c1") & (F.col("c2") | F.col("c5"))).alias("audit_gap"), "events")
 
 
 def late_events(stream: DataFrame, label: str = "late", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
