@@ -83,7 +83,7 @@ class ValueIndex:
         """Event columns (without the text) and ``__v``, the normalised value found."""
         cols = [c for c in events.columns if c != text]
         norm = F.col(text) if self.case_sensitive else F.lower(F.col(text))
-        ev = events.select(*cols, norm.alias("__t")).where(F.length("__t") > 0)
+        ev = events.select(*cols, norm.alias("__t"))
         if self.strategy == "automaton":
             return self._automaton_hits(ev, cols)
         if self.strategy == "gram":
@@ -108,6 +108,8 @@ class ValueIndex:
                 keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
                 rows, found = [], []
                 for i, text in enumerate(pdf["__t"]):
+                    if not text:
+                        continue
                     seen = set()
                     for _, (v, owners) in machine.iter(text):
                         if v not in seen and keys[i] in owners:

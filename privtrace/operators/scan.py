@@ -1,28 +1,36 @@
 """Running aggregates over groups of any size.
 
 A window ``partitionBy(key).orderBy(x)`` sorts a whole group in one task. Here
-every group is first cut into slices of its order column (approximate
-quantiles, found with partial aggregation), slices are scanned in parallel, and
-the carry of all earlier slices is added. A group that holds a third of all
-rows is thus spread over many tasks, and the result is the exact one.
+the order column is first cut into 256 ranges of about equal row count (global
+approximate quantiles, one partial aggregation). A (key, range) pair then holds
+at most about 1/256 of all rows, whatever share one key has; pairs are scanned
+in parallel and the carry of all earlier ranges of the key is added. The result
+is the exact one.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_COARSE = 16
+_SLICES = _COARSE * _COARSE
 _CARRY = {"sum": F.sum, "max": F.max, "count": F.sum}
 
 
-def with_slice(df: DataFrame, keys: list[str], order: str, slices: int = 64, name: str = "__slice") -> DataFrame:
-    """Add a slice number that rises with the numeric column ``order`` inside each group."""
-    fractions = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(F.col(order).cast("double"), fractions, F.lit(1000))).alias("__cuts")
-    )
-    joined = df.join(cuts, keys) if keys else df.join(F.broadcast(cuts))
+def with_slice(df: DataFrame, order: str, name: str = "__slice") -> DataFrame:
+    """Add a range number that rises with the numeric column ``order``.
+
+    The cut points are one row, read as a scalar subquery; a row finds its range
+    in two short steps (16 coarse cuts, then the 15 inside).
+    """
     num = F.col(order).cast("double")
-    return joined.withColumn(name, F.size(F.filter("__cuts", lambda c: c < num))).drop("__cuts")
+    fractions = F.expr("array(" + ", ".join(f"{i / _SLICES}D" for i in range(1, _SLICES)) + ")")
+    cuts = df.agg(F.percentile_approx(num, fractions, F.lit(10 * _SLICES)).alias("c")).scalar()
+    coarse = F.size(F.filter("__coarse", lambda c: c < num))
+    out = df.withColumn("__cuts", cuts).withColumn("__coarse", F.expr(f"transform(sequence({_COARSE}, {_SLICES - _COARSE}, {_COARSE}), i -> __cuts[i - 1])"))
+    out = out.withColumn("__part", coarse)
+    fine = F.size(F.filter(F.slice("__cuts", F.col("__part") * _COARSE + 1, F.lit(_COARSE - 1)), lambda c: c < num))
+    return out.withColumn(name, F.col("__part") * _COARSE + fine).drop("__cuts", "__coarse", "__part")
 
 
 def running(
@@ -32,7 +40,6 @@ def running(
     aggs: dict[str, tuple],
     ties: list[str] | None = None,
     inclusive: bool = True,
-    slices: int = 64,
 ) -> DataFrame:
     """Add running aggregates along ``order``: name -> (``sum``, ``max`` or ``count``, expression[, inclusive]).
 
@@ -40,7 +47,7 @@ def running(
     see the same result. Exclusive aggregates leave the current row out.
     """
     keys = list(keys)
-    cut = with_slice(df, keys, order, slices)
+    cut = with_slice(df, order)
     ins = {}
     for n, spec in aggs.items():
         fn, e = spec[0], spec[1]

@@ -238,5 +238,5 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.detect import leak_check_forbidden
     ev = v.events_ascii(spark, d)
-    lk = leak_check_forbidden(ev, v.vault(spark, d), fields=["ssn"], case_sensitive=True)
+    lk = leak_check_forbidden(ev, v.vault_table(spark, d), fields=["ssn"], case_sensitive=True)
     return op.mitigate(ev, lk).select("event_id", F.md5("final_text").alias("final_md5"), "value_filtered", "pattern_filtered")

@@ -39,7 +39,7 @@ def _(spark, d):
  last_value(field) OVER (PARTITION BY scenario_id, lower(value) ORDER BY record_idx, field ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS name_of_value
  FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id, field ORDER BY record_idx, value) AS rn FROM hv_vault)"""))
 def _(spark, d):
-    return op.vault_long_indexed(v.vault(spark, d)).select("scenario_id", "record_idx", "field", "value", "field_key", "name_of_value")
+    return op.vault_long_indexed(v.vault_table(spark, d)).select("scenario_id", "record_idx", "field", "value", "field_key", "name_of_value")
 
 
 @query("vault_long_last_wins", "P3", sql("hv_vault", """SELECT scenario_id, field, value, record_idx FROM (SELECT *,

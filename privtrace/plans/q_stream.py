@@ -30,7 +30,7 @@ def _(spark, d):
     out, ck = new_work_path(spark, "found"), new_work_path(spark, "found-state")
     def sink(df, batch_id):
         df.select("event_id", "field", "value").write.mode("overwrite").parquet(f"{out}/b={batch_id}")
-    op.monitor_batches(doc_stream(spark, d), v.vault(spark, d), sink, ck).awaitTermination()
+    op.monitor_batches(doc_stream(spark, d), v.vault_table(spark, d), sink, ck).awaitTermination()
     return spark.read.parquet(f"{out}/b=*")
 
 

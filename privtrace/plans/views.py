@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dims import attacks as at
 from ..dims import channels as ch
+from ..session import cut
 
 # --- fixed values of the views ------------------------------------------------
 ACCENTS = "[À-ÖØ-öø-ɏ]"
@@ -157,6 +158,11 @@ def vault(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("source").alias("scenario_id"), i.alias("record_idx"), F.inline(every))
 
 
+def vault_table(spark, d) -> DataFrame:
+    """The same as a written table, for plans that read it more than once: the texts are searched once."""
+    return cut(vault(spark, d), "vault")
+
+
 SQL["hv_policy"] = """SELECT DISTINCT source AS scenario_id, 'email' AS field FROM documents WHERE CAST(substring(source, 4) AS BIGINT) % 2 = 0"""
 
 

@@ -12,7 +12,7 @@ def test_running_with_hot_group(spark):
     r = random.Random(2)
     rows = [("hot" if i % 3 else f"k{i % 5}", i, r.randint(-5, 5)) for i in r.sample(range(5000), 900)]
     df = spark.createDataFrame(rows, "k string, o long, x long")
-    out = running(df, ["k"], "o", {"s": ("sum", F.col("x")), "m": ("max", F.col("x"), False), "c": ("count", F.col("x"))}, ties=[], slices=8)
+    out = running(df, ["k"], "o", {"s": ("sum", F.col("x")), "m": ("max", F.col("x"), False), "c": ("count", F.col("x"))}, ties=[])
     got = {(x.k, x.o): (x.s, x.m, x.c) for x in out.collect()}
     for k, o, _ in rows:
         before = [x for kk, oo, x in rows if kk == k and oo < o]
@@ -22,7 +22,7 @@ def test_running_with_hot_group(spark):
 
 def test_running_peers(spark):
     rows = [("a", i // 4, 1) for i in range(100)]
-    out = running(spark.createDataFrame(rows, "k string, o long, x long"), ["k"], "o", {"s": ("sum", F.col("x"))}, slices=4)
+    out = running(spark.createDataFrame(rows, "k string, o long, x long"), ["k"], "o", {"s": ("sum", F.col("x"))})
     assert {(r.o, r.s) for r in out.collect()} == {(i, 4 * (i + 1)) for i in range(25)}
 
 
