@@ -53,7 +53,7 @@ class ValueIndex:
         self.values = vault.select(*self.on, norm.alias("__v")).where(F.length("__v") > 0).distinct()
         self.shared, self.token, self.sizes = None, uuid.uuid4().hex, None
         self.strategy = strategy
-        if strategy in ("auto", "automaton"):
+        if strategy in ("auto", "automaton", "fit"):  # fit: the automaton if the vault fits, grams if not
             self._measure(vault.sparkSession)
         if self.strategy == "gram":
             self.sizes = gram_tiers(self.values)
@@ -123,6 +123,28 @@ class ValueIndex:
 
         return ev.mapInPandas(scan, schema)
 
+    def replace(self, events: DataFrame, tag: str, text: str = "text", out: str = "redacted") -> DataFrame:
+        """Events with every value found replaced by ``tag``, longest first, in one pass (automaton only)."""
+        schema = T.StructType(list(events.schema.fields) + [T.StructField(out, T.StringType())])
+        on, token, shared = self.on, self.token, self.shared
+
+        def scan(batches):
+            entries = shared.value
+            machine = _automaton(token, entries) if entries else None
+            for pdf in batches:
+                keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
+                done = []
+                for key, t in zip(keys, pdf[text]):
+                    if t and machine is not None:
+                        for v in sorted({v for _, (v, owners) in machine.iter(t) if key in owners}, key=lambda v: (-len(v), v)):
+                            t = t.replace(v, tag)
+                    done.append(t)
+                res = pdf.copy()
+                res[out] = pd.Series(done, index=pdf.index, dtype="object")
+                yield res
+
+        return events.mapInPandas(scan, schema)
+
     def attach(self, hits: DataFrame, vault: DataFrame, value: str = "value") -> DataFrame:
         """Vault columns for the values found."""
         norm = F.col(value) if self.case_sensitive else F.lower(F.col(value))

@@ -251,8 +251,8 @@ def tier_waterfall(events: DataFrame, vault: DataFrame, markers=None, strategy="
 
 def tier_share(waterfall: DataFrame) -> DataFrame:
     leaks = waterfall.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("leaks"))
-    total = leaks.agg(F.sum("leaks").alias("total"))
-    return leaks.join(F.broadcast(total)).select("tier", "leaks", (F.col("leaks") * 100.0 / F.col("total")).alias("share_pct"))
+    total = leaks.agg(F.sum("leaks")).scalar()
+    return leaks.select("tier", "leaks", (F.col("leaks") * 100.0 / total).alias("share_pct"))
 
 
 def cascade(events: DataFrame, tiers: list[tuple[str, Callable[[DataFrame], DataFrame]]], stop_conf: float = 0.9,

@@ -45,7 +45,7 @@ def attack_family(df: DataFrame, attack_dim: DataFrame, mode: str = "trace", cls
     if mode == "metric":
         dim = dim.where("in_metric_map")
     default = at.FAMILY_DEFAULT[mode]
-    return df.join(F.broadcast(dim.drop("in_metric_map")), cls, "left").withColumn("family", F.coalesce("family", F.lit(default)))
+    return df.join(dim.drop("in_metric_map"), cls, "left").withColumn("family", F.coalesce("family", F.lit(default)))
 
 
 def asr(results: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def aggregate_runs(runs: DataFrame, by=()) -> DataFrame:
 def channel_breakdown(leaks: DataFrame, run: str = "run", profile="metric") -> DataFrame:
     """Per channel: leaks, interval of its share of all leaks per run, interval of its score."""
     per = leaks.groupBy(run, "channel").agg(F.count(F.lit(1)).alias("n"), F.sum(wls_term(profile)).alias("score"))
-    total = per.agg(F.sum("n").alias("total"))
-    x = per.join(F.broadcast(total)).withColumn("share", F.col("n") / F.greatest(F.lit(1), F.col("total")))
+    total = per.agg(F.sum("n")).scalar()
+    x = per.withColumn("share", F.col("n") / F.greatest(F.lit(1), total))
     g = x.groupBy("channel").agg(F.sum("n").alias("leak_count"), F.count(F.lit(1)).alias("runs"),
                                  F.avg("share").alias("rm"), F.stddev_samp("share").alias("rs"),
                                  F.avg("score").alias("sm"), F.stddev_samp("score").alias("ss"))
@@ -150,6 +150,15 @@ def audit_gap(traces: DataFrame, by=()) -> DataFrame:
                     (F.col("detected") * 100 / F.col("total")).alias("detected_rate"))
 
 
+def headline(traces: DataFrame) -> DataFrame:
+    """Channel rates and audit gap with its interval, one row from one pass."""
+    g = traces.agg(
+        F.count(F.lit(1)).alias("total"), pct(_c("c1")).alias("c1_rate"), pct(_c("c2")).alias("c2_rate"), pct(_c("c5")).alias("c5_rate"),
+        pct("single_leaked").alias("single_rate"), pct("multi_leaked").alias("multi_rate"), F.count_if(audit_gap_flag()).alias("h1_true"))
+    lo, hi = wilson_ci("h1_true", "total")
+    return g.withColumns({"h1_rate": F.col("h1_true") * 100 / F.col("total"), "ci_lower": lo * 100, "ci_upper": hi * 100})
+
+
 def by_topology(traces: DataFrame) -> DataFrame:
     topo = F.when(F.col("n_agents") >= 3, "3plus_agent").otherwise("2_agent")
     return traces.withColumn("topology", topo).groupBy("topology").agg(
@@ -308,7 +317,7 @@ def token_usage(calls: DataFrame, prices: DataFrame, by: str = "model") -> DataF
     """Tokens, calls and cost per model; a model without a price costs 0."""
     g = calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_prompt").alias("prompt_tokens"),
                               F.sum("tokens_completion").alias("completion_tokens"))
-    return g.join(F.broadcast(prices), by, "left").select(
+    return g.join(prices, by, "left").select(
         by, "calls", "prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
         F.coalesce(F.col("prompt_tokens") / 1000 * F.col("prompt_price") + F.col("completion_tokens") / 1000 * F.col("completion_price"),
                    F.lit(0.0)).alias("cost"))
@@ -360,7 +369,7 @@ def catalogue_usage(traces: DataFrame, attack_dim: DataFrame, max_level: str | N
         dim = dim.where(F.col("family") == family)
     seen = traces.where(F.col("attack_class").isNotNull()).groupBy("attack_class").agg(
         F.count(F.lit(1)).alias("traces"), F.count_if(any_leak()).alias("leaked"))
-    return F.broadcast(dim).join(seen, "attack_class", "left").select(
+    return dim.join(seen, "attack_class", "left").select(
         "attack_class", "family", "level", F.array_join("target_channels", ",").alias("channels"),
         F.coalesce("traces", F.lit(0)).alias("traces"), F.coalesce("leaked", F.lit(0)).alias("leaked"))
 

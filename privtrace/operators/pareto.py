@@ -52,7 +52,7 @@ def pareto_auc(points: DataFrame, by=(), max_cost: float = 1.0, normalize: bool
     part = F.when(F.col("pc").isNull(), F.col("cost") * F.col("utility") / 2).otherwise(
         (F.col("cost") - F.col("pc")) * (F.col("utility") + F.col("pu")) / 2)
     g = prev.groupBy(*by).agg(F.sum(part).alias("mid"), F.max("cost").alias("lc"), F.max("utility").alias("lu"))
-    g = g.join(n, by) if by else g.join(F.broadcast(n))
+    g = g.join(n, by) if by else g.withColumn("n_points", n.scalar())
     tail = F.when(F.col("lc") < max_cost, (max_cost - F.col("lc")) * F.col("lu")).otherwise(0.0)
     area = F.when(F.col("n_points") == 1, (max_cost - F.col("lc")) * F.col("lu")).otherwise(F.col("mid") + tail)
     return g.select(*by, "n_points", (area / max_cost if normalize else area).alias("auc"))

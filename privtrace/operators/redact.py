@@ -15,6 +15,7 @@ from ..dims import channels as ch
 from ..dims import defenses as df_
 from ..functions import text as tx
 from ..functions.text import col
+from .contain import ValueIndex
 
 
 def sanitize(c, patterns=df_.SANITIZE_PATTERNS, token: str = df_.REDACTED) -> Column:
@@ -155,6 +156,7 @@ _REPLACE = {
 def redact_values(events: DataFrame, leaks: DataFrame, tag: str = "[REDACTED]", key: str = "event_id",
                   by_field: bool = False) -> DataFrame:
     """Replace the leaked vault values of each event verbatim, longest first."""
+    # by_field names the field in the mark
     rep = F.concat(F.lit("["), F.upper("field"), F.lit(" REDACTED]")) if by_field else F.lit(tag)
     vals = leaks.select(key, F.col("value"), rep.alias("rep")).distinct().groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "rep"))).alias("vals"))
@@ -163,6 +165,21 @@ def redact_values(events: DataFrame, leaks: DataFrame, tag: str = "[REDACTED]",
         "redacted", F.when(F.col("vals").isNull(), F.col("text")).otherwise(done)).drop("vals")
 
 
+def redact_vault(events: DataFrame, vault: DataFrame, on=("scenario_id",), tag: str = "[REDACTED]", min_len: int = 4) -> DataFrame:
+    """Replace every vault value that stands in a text, longest first.
+
+    With a vault of checked size the values are found and replaced in one pass,
+    and no text is shuffled; larger vaults go through the containment join.
+    """
+    on = list(on)
+    v = vault.where(F.length("value") >= min_len)
+    index = ValueIndex(v, on, case_sensitive=True, strategy="fit")
+    if index.strategy == "automaton":
+        return index.replace(events, tag)
+    hits = index.hits(events).select("event_id", F.col("__v").alias("value"))
+    return redact_values(events, hits, tag)
+
+
 # --- decisions ------------------------------------------------------------------
 
 def severity(entity) -> Column:
@@ -289,7 +306,7 @@ def expected_leaks_after_defense(leaks_by_family: DataFrame, defenses: DataFrame
                            F.col("effectiveness"))
     long = long.select("defense_id", "category", "strategy", "latency_ms", "fpr", "channel",
                        F.explode("effectiveness").alias("family", "effect"))
-    j = leaks_by_family.join(F.broadcast(long), ["family", "channel"])
+    j = leaks_by_family.join(long, ["family", "channel"])
     return j.groupBy("defense_id", "category", "strategy").agg(
         F.sum("leaks").alias("covered_leaks"), F.sum(F.col("leaks") * F.col("effect")).alias("stopped_leaks"),
         F.max("latency_ms").alias("latency_ms"), F.max("fpr").alias("fpr"))

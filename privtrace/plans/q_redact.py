@@ -92,6 +92,14 @@ def _(spark, d):
     return op.redact_values(v.events(spark, d), lk).select("event_id", F.md5("redacted").alias("redacted_md5"))
 
 
+@query("redact_vault", "R5", sql("hv_event hv_vault", """\n, l AS (SELECT e.event_id, max(v.value) AS v1 FROM hv_event e JOIN hv_vault v ON e.scenario_id = v.scenario_id
+  AND v.field IN ('ssn', 'confidential_notes', 'credit_card') AND contains(e.text, v.value) GROUP BY 1)
+ SELECT e.event_id, md5(CASE WHEN l.v1 IS NULL THEN e.text ELSE replace(e.text, l.v1, '[REDACTED]') END) AS redacted_md5 FROM hv_event e LEFT JOIN l ON e.event_id = l.event_id"""))
+def _(spark, d):
+    secrets = v.vault(spark, d).where(F.col("field").isin("ssn", "confidential_notes", "credit_card"))
+    return op.redact_vault(v.events(spark, d), secrets).select("event_id", F.md5("redacted").alias("redacted_md5"))
+
+
 @query("sanitize_named", "R6", sql("hv_event_ascii", f"SELECT event_id, md5({sub_sql('text', de.NAMED_PATTERNS)}) AS sanitized_md5 FROM hv_event_ascii"))
 def _(spark, d):
     return v.events_ascii(spark, d).select("event_id", F.md5(op.sanitize_named("text")).alias("sanitized_md5"))

@@ -137,10 +137,7 @@ def _(spark, d):
 @query("results_table", "S10", sql("hv_trace", f"""\n, r AS (SELECT {RATES} FROM hv_trace), g AS ({GAP.format(by="", group="")}) SELECT 'C1 leak rate' AS metric, c1_rate AS value, '' AS ci FROM r UNION ALL SELECT 'C2 leak rate', c2_rate, '' FROM r
  UNION ALL SELECT 'C5 leak rate', c5_rate, '' FROM r UNION ALL SELECT 'audit gap', h1_rate, format('[{{:.1f}}, {{:.1f}}]', ci_lower, ci_upper) FROM g UNION ALL SELECT 'single agent', single_rate, '' FROM r UNION ALL SELECT 'multi agent', multi_rate, '' FROM r"""))
 def _(spark, d):
-    t = v.traces(spark, d)
-    gap = mx.audit_gap(t).drop("total")
-    # two aggregates of one row each
-    return r6(sk.results_table(mx.channel_rates(t).join(F.broadcast(gap))))
+    return r6(sk.results_table(mx.headline(v.traces(spark, d))))
 
 
 @query("collect_claims", "S11", sql("hv_trace", f"SELECT model, round(({C['c3']})::DOUBLE, 6) AS c3, round(({C['c6']})::DOUBLE, 6) AS c6 FROM hv_trace GROUP BY 1"))

@@ -47,6 +47,17 @@ def test_large_vault_goes_to_grams(spark, monkeypatch):
         contain.ValueIndex(v, ["scenario_id"], strategy="automaton")
 
 
+def test_redact_vault_two_ways(spark, monkeypatch):
+    from privtrace.operators.redact import redact_vault
+    ev, va = make(150, 8)
+    e = spark.createDataFrame(ev, "scenario_id string, event_id long, text string")
+    v = spark.createDataFrame(va, "scenario_id string, field string, value string")
+    one = {r.event_id: r.redacted for r in redact_vault(e, v).collect()}
+    monkeypatch.setattr(contain, "MAX_AUTOMATON_VALUES", 3)
+    two = {r.event_id: r.redacted for r in redact_vault(e, v).collect()}
+    assert one == two and any("[REDACTED]" in x for x in one.values())
+
+
 def test_leak_check_rules(spark):
     e = spark.createDataFrame([("s", 1, "ssn 123-45-6789 of John Smith, id AB1, mail a@b.org"), ("s", 2, "nothing"), ("t", 3, "123-45-6789")],
                               "scenario_id string, event_id long, text string")
