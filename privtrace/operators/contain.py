@@ -21,6 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:
+    import ahocorasick
+except ImportError:  # without the automaton library every vault goes through the joins
+    ahocorasick = None
+
 MAX_SCAN_PER_KEY = 64
 MAX_AUTOMATON_VALUES = 200_000
 MAX_AUTOMATON_CHARS = 16_000_000
@@ -32,8 +37,6 @@ _AUTOMATA: dict[str, object] = {}
 def _automaton(token: str, entries):
     """Build once per Python worker; entries are (value, [key, ...])."""
     if token not in _AUTOMATA:
-        import ahocorasick
-
         _AUTOMATA.clear()
         a = ahocorasick.Automaton()
         for value, keys in entries:
@@ -73,6 +76,9 @@ class ValueIndex:
         if self.strategy == "auto" and self.on and max(per_key.values(), default=0) <= MAX_SCAN_PER_KEY:
             self.strategy = "scan"
             return
+        if ahocorasick is None:
+            self.strategy = "gram"
+            return
         self.strategy = "automaton"
         by_value: dict[str, list] = {}
         for r in rows:
