@@ -39,3 +39,21 @@ from .mixing import ORACLE_SQL as _MIX_SQL  # noqa: E402
 def op2_mix(spark, d):
     from .mixing import mix
     return mix(read(spark, d, "documents"))
+
+
+@query()
+def op5_byte_bpe(spark, d):
+    from .byte_bpe import token_digests
+    return token_digests(read(spark, d, "documents"))
+
+
+@query()
+def op9_quality_classifier(spark, d):
+    from .quality_classifier import classify
+    return classify(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query()
+def op10_near_dedup(spark, d):
+    from .near_dedup import near_dedup
+    return near_dedup(read(spark, d, "documents"), width=2)
