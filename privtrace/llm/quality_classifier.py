@@ -1,7 +1,8 @@
 """Quality classifier: supervised word and character n-gram vectors.
 
 A document is the mean of the vectors of its features: each word and the
-character n-grams of the word with its borders, hashed into one table. A
+character n-grams of the word with its borders, hashed into one table; a word
+that repeats the one before it is one feature of its own. A
 softmax layer over the mean gives the classes. The table and the layer are
 learned together by plain stochastic gradient descent in numpy, on a bounded
 sample of labelled rows. Each word's features enter the score as one sum, so a
@@ -28,21 +29,24 @@ from .rows import map_texts, texts
 
 #: Labelled rows that the fit uses at most, the first by a hash of their id.
 MAX_ROWS = 3000
-#: Bytes of text of one labelled row that may reach the driver: its features are counted in the task, of which there are at most so many.
+#: Rows of the table of vectors, and so the most features that a labelled row can send to the driver.
 BUCKETS = 1 << 15
 DIM = 12
 GRAMS = (3, 4)
-EPOCHS = 5
+EPOCHS = 8
 RATE = 0.4
 PREDICT = 0.3
 _KNOWN = 400_000
-_SPACE = " \t\n\v\f\r"
+#: Stands for a repeated word; white space keeps it apart from all words.
+AGAIN = b" again "
 
 
 def features(word: str) -> list[int]:
     """Hashed buckets of a word and of its character n-grams."""
     from zlib import crc32
 
+    if word == AGAIN.decode():
+        return [crc32(AGAIN) % BUCKETS]
     w = f"<{word}>"
     out = [crc32(w.encode()) % BUCKETS]
     for n in GRAMS:
@@ -50,8 +54,17 @@ def features(word: str) -> list[int]:
     return out
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode().split()  # bytes split at the six ASCII white-space characters
+def counted(text: str) -> dict[bytes, int]:
+    """How often each word stands in a text; a word that repeats the one before it counts as ``AGAIN`` instead."""
+    from collections import Counter
+
+    words = text.encode().split()  # bytes split at the six ASCII white-space characters
+    out = Counter(words)
+    again = [w for before, w in zip(words, words[1:]) if before == w]
+    if again:
+        out.subtract(again)
+        out[AGAIN] = len(again)
+    return out
 
 
 @dataclass
@@ -62,13 +75,12 @@ class Model:
     bias: float
 
     def scores(self, batch: list[str], known: dict) -> list[float]:
-        from collections import Counter
         from math import exp
 
         out = []
         for text in batch:
             total, n = 0.0, 0
-            for word, k in Counter(words(text)).items():
+            for word, k in counted(text).items():
                 got = known.get(word)
                 if got is None:
                     ids = features(word.decode())
@@ -124,7 +136,7 @@ def _bags():
             ids, counts = [], []
             for text in batch:
                 bag = Counter()
-                for word, k in Counter(words(text)).items():
+                for word, k in counted(text).items():
                     for b in features(word.decode()):
                         bag[b] += k
                 ids.append(np.fromiter(bag.keys(), np.int32, len(bag)).tobytes())
