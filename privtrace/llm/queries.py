@@ -57,3 +57,18 @@ def op9_quality_classifier(spark, d):
 def op10_near_dedup(spark, d):
     from .near_dedup import near_dedup
     return near_dedup(read(spark, d, "documents"), width=2)
+
+
+from .url_filter import oracle_sql as _url_sql  # noqa: E402
+
+
+@query(_url_sql())
+def op8_url_filter(spark, d):
+    from .url_filter import filter_urls
+    return filter_urls(read(spark, d, "pages"))
+
+
+@query()
+def op7_quality_rules(spark, d):
+    from .quality_rules import judge
+    return judge(read(spark, d, "documents"), read(spark, d, "labels"))
