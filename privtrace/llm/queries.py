@@ -72,3 +72,21 @@ def op8_url_filter(spark, d):
 def op7_quality_rules(spark, d):
     from .quality_rules import judge
     return judge(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query()
+def op3_html_text(spark, d):
+    from .html_text import main_text
+    return main_text(read(spark, d, "pages"))
+
+
+@query()
+def op4_token_counts(spark, d):
+    from .token_counts import count_tokens
+    return count_tokens(read(spark, d, "documents"))
+
+
+@query()
+def op6_line_dedup(spark, d):
+    from .line_dedup import line_dedup
+    return line_dedup(read(spark, d, "documents"))
