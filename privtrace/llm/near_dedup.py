@@ -11,13 +11,18 @@ similarity, and the count of agreements is concentrated around it as if the
 coordinates were independent.
 
 The coordinates are cut into ``COORDS / ROWS`` bands. Texts with equal sets are
-one class, named by its smallest id. Classes that share a band are candidates:
-first every class with the smallest class of its bucket; the links are verified
-on the full sets and joined to components. Then, in buckets that still hold
-several components, the classes of different components with compatible sizes.
-So a bucket of copies yields a row per member, not a row per pair, and no
-candidate is lost: two classes of one bucket are either verified or already
-joined. A pair of similarity 0.8 shares no band with a probability of
+one class, named by its smallest id; classes that share a band are candidates.
+A bucket is not expanded into pairs. Its most popular member, the one with most
+companions over all bands, is its centre c; every member is verified against
+the centre on the full sets, and links are joined to components. A pair x, y of
+one bucket with x not linked to c can still be linked, but only within bounds.
+With r(x) elements of c missing in x and k common elements outside c, the
+intersection has at most |c| - max(r(x), r(y)) + k elements. So either k must
+reach a known number, and the pair is found and counted by its common elements
+outside c; or the pair passes with k = 0, which needs a y smaller than c, found
+by size. Only pairs that pass the bound are verified. No candidate is lost: two
+classes of one bucket are joined already, ruled out by the bound, or verified.
+A pair of similarity 0.8 shares no band with a probability of
 (1 - 0.8**6)**48 = 5e-7; nothing else is approximate but the 64-bit names of shingles.
 
 Cases: null and empty texts, and texts without a word, have no shingle, are
@@ -142,30 +147,94 @@ def linked(a: bytes, b: bytes, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     import pyarrow as pa
 
-    x = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-
     def run(batches):
         for r in batches:
             ok = [linked(p, q, threshold) for p, q in zip(r.column("x").to_pylist(), r.column("y").to_pylist(), strict=True)]
             yield r.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return _with_sets(pairs, sets).mapInArrow(run, f"a {kind}, b {kind}")
+
 
+def _compare(stars: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Centres a and members b: their sizes, whether they are linked, how much of a is missing in b, and what b has besides."""
+    import pyarrow as pa
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, width: int) -> DataFrame:
+    def run(batches):
+        for r in batches:
+            out = []
+            for p, q in zip(r.column("x").to_pylist(), r.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                extra = np.setdiff1d(y, x, assume_unique=True)
+                both = len(y) - len(extra)
+                out.append((len(x), len(y), 100 * both >= threshold * (len(x) + len(y) - both), len(x) - both, extra.view(np.int64)))
+            cols = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [r.column("a"), r.column("b"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                names=["a", "b", "na", "nb", "linked", "missing", "extra"])
+
+    kind = stars.schema["a"].dataType.simpleString()
+    return _with_sets(stars, sets).mapInArrow(
+        run, f"a {kind}, b {kind}, na long, nb long, linked boolean, missing long, extra array<long>")
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The sets of the classes in ``pairs``, written to the shared folder."""
     need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    if known is not None:
-        need = need.join(known.select("rep"), "rep", "left_anti")
     rows = docs.join(need, docs.doc_id == need.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    new = cut(map_texts(rows, "set binary", _sets(width)).dropDuplicates(["rep"]), "sets")
-    return new if known is None else known.union(new)
+    return cut(map_texts(rows, "set binary", _sets(width)).dropDuplicates(["rep"]), "sets")
+
+
+#: Sizes of one class differ by less than this factor.
+_CLASS = 1.02
+
+
+def _open_pairs(stars: DataFrame, label: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one centre, not both linked to it, that may be linked by the bound."""
+    t, u = F.lit(threshold), F.lit(100 + threshold)
+    loose = stars.where("NOT linked").select("a").distinct()
+    open_ = stars.join(loose, "a", "left_semi").select(F.col("a").alias("c"), F.col("b").alias("m"), F.col("na").alias("nc"), "nb", "linked", "missing", "extra")
+    open_ = cut(open_.join(label, F.col("m") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "m")).drop("node", "component"), "open")
+
+    def may(common):
+        """Different components, not both linked, compatible sizes, and the bound with ``common`` elements outside c."""
+        return ((F.col("p_comp") != F.col("q_comp")) & ~(F.col("p_linked") & F.col("q_linked"))
+                & (F.lit(100) * F.least("p_nb", "q_nb") >= t * F.greatest("p_nb", "q_nb"))
+                & (u * (F.col("nc") - F.greatest("p_missing", "q_missing") + common) >= t * (F.col("p_nb") + F.col("q_nb"))))
+
+    # by common elements outside the centre; those of one member only cannot be common
+    each = open_.select("c", "m", F.explode("extra").alias("s"))
+    common = cut(each.join(each.groupBy("c", "s").agg(F.count("*").alias("k")).where("k > 1").select("c", "s"), ["c", "s"]), "common")
+    useful = common.groupBy("c", "m").agg(F.count("*").alias("useful"))
+    some = common.join(open_.drop("extra").join(useful, ["c", "m"]), ["c", "m"])
+    p = some.select("c", "s", "nc", *[F.col(x).alias(f"p_{x}") for x in ("m", "nb", "linked", "missing", "comp", "useful")])
+    q = some.select("c", "s", *[F.col(x).alias(f"q_{x}") for x in ("m", "nb", "linked", "missing", "comp", "useful")])
+    met = p.join(q, ["c", "s"]).where((F.col("p_m") < F.col("q_m")) & may(F.least("p_useful", "q_useful")))
+    counted = met.groupBy("c", "p_m", "q_m").agg(F.count("*").alias("k"), *[F.first(x).alias(x) for x in ("nc", "p_nb", "q_nb", "p_missing", "q_missing")])
+    by_common = counted.where(u * (F.col("nc") - F.greatest("p_missing", "q_missing") + F.col("k")) >= t * (F.col("p_nb") + F.col("q_nb")))
+
+    # by size: the other one must fit into the room that an unlinked member leaves
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(_CLASS))).cast("int")
+    room = F.floor((u * (F.col("nc") - F.col("missing")) - t * F.col("nb")) / t)
+    least = F.ceil(t * F.col("nb") / F.lit(100))
+    big = open_.where("NOT linked").withColumn("room", room).where(F.col("room") >= least)
+    big = big.withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.col("room")))))
+    p = big.select("c", "class", "nc", *[F.col(x).alias(f"p_{x}") for x in ("m", "nb", "linked", "missing", "comp")])
+    q = open_.withColumn("class", size_class(F.col("nb"))).select("c", "class", *[F.col(x).alias(f"q_{x}") for x in ("m", "nb", "linked", "missing", "comp")])
+    by_size = p.join(q, ["c", "class"]).where(may(F.lit(0)))
+    both = by_common.select("p_m", "q_m").union(by_size.select("p_m", "q_m"))
+    return both.select(F.least("p_m", "q_m").alias("a"), F.greatest("p_m", "q_m").alias("b")).distinct()
 
 
 def near_dedup(
@@ -181,27 +250,19 @@ def near_dedup(
     classes = cut(some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
     banded = (some.join(classes, (some.name == classes.name) & (F.col("doc_id") == F.col("rep")))
               .select("rep", "n", F.explode("bands").alias("key")))
-    least = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last"))
-    shared = cut(banded.join(least.where("c.rep < last").select("key", F.col("c.rep").alias("c"), F.col("c.n").alias("cn")), "key"), "buckets")
-    fits = lambda p, q: F.lit(100) * F.least(p, q) >= F.lit(threshold) * F.greatest(p, q)
-    stars = cut(shared.where((F.col("rep") > F.col("c")) & fits(F.col("n"), F.col("cn")))
-                .select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    sets = _sets_of(rows, stars, None, width)
-    links = cut(_verify(stars, sets, threshold), "links")
+    several = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(banded.join(several, "key"), "buckets")
+    popular = shared.groupBy("rep").agg(F.sum("members").alias("popularity"))
+    ranked = shared.select("key", "rep").join(popular, "rep")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("popularity", "rep")).alias("top")).select("key", F.col("top.rep").alias("c"))
+    stars = cut(shared.select("key", "rep").join(centre, "key").where("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    sets = _sets_of(rows, stars, width)
+    compared = cut(_compare(stars, sets, threshold), "compared")
+    links = compared.where("linked").select("a", "b")
     label = cut(components(links), "components")
-
-    # buckets that hold several components: pairs across components only
-    at = shared.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_ = cut(at.join(mixed, "key"), "open")
-    p = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    q = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = (p.join(q, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb")))
-            .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = cut(more, "pairs")
+    more = cut(_open_pairs(compared, label, threshold), "pairs")
     if not more.isEmpty():
-        links = cut(links.union(_verify(more, _sets_of(rows, more, sets, width), threshold)), "links")
-        label = cut(components(links), "components")
+        label = cut(components(links.union(_verify(more, sets, threshold))), "components")
 
     of_class = classes.join(label, F.col("rep") == F.col("node"), "left").select(
         F.col("name").alias("__name"), F.coalesce("component", "rep").alias("component_id"))
