@@ -76,3 +76,52 @@ def gated_sql(pattern: str, lowered: str, value: str, otherwise: str) -> str:
     """SQL text: ``value`` where the lower-cased text holds a required literal, else ``otherwise``."""
     words = required_literals(pattern)
     return f"CASE WHEN {any_word_sql(lowered, words)} THEN {value} ELSE {otherwise} END" if words else value
+
+
+_CLASSES = {"d": "0-9", "w": "A-Za-z0-9_", "s": r" \t\n\x0b\f\r"}
+
+
+@lru_cache(maxsize=1024)
+def python_pattern(pattern: str) -> str:
+    """The pattern with the meaning it has in the JVM: classes of ASCII characters only."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            k = pattern[i + 1]
+            if k in _CLASSES:
+                out.append(_CLASSES[k] if inside else f"[{_CLASSES[k]}]")
+            elif k.lower() in _CLASSES and not inside:
+                out.append(f"[^{_CLASSES[k.lower()]}]")
+            else:
+                out.append(c + k)
+            i += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+            out.append(c)
+            # a bracket right behind the opening one is a member
+            for k in ("^", "]"):
+                if pattern[i + 1:i + 2] == k:
+                    out.append(k)
+                    i += 1
+        elif c == "]" and inside:
+            inside = False
+            out.append(c)
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+class Machine:
+    """A compiled pattern that looks at a text only if it holds a required literal."""
+
+    def __init__(self, pattern: str, flags: str = ""):
+        self.words = required_literals(pattern)
+        self.compiled = re.compile(flags + python_pattern(pattern))
+
+    def finditer(self, text: str, lowered: str):
+        if self.words and not any(w in lowered for w in self.words):
+            return ()
+        return self.compiled.finditer(text)

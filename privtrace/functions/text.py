@@ -85,8 +85,13 @@ def normalized_amount(c) -> Column:
 
 
 def thousands(c) -> Column:
-    """188000 -> 188,000 (a whole number given as text or number)."""
-    return F.format_number(col(c).cast("decimal(38,0)"), 0)
+    """188000 -> 188,000 (digits of any length; leading zeros go)."""
+    return F.regexp_replace(bare_number(c), "(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+
+
+def bare_number(c) -> Column:
+    """Digits without leading zeros."""
+    return F.regexp_replace(col(c), "^0+(?=[0-9])", "")
 
 
 def preview(c, n: int = 200) -> Column:

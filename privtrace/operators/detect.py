@@ -119,14 +119,14 @@ def vault_exact(events: DataFrame, vault: DataFrame, on=("scenario_id",), strate
 
 def vault_numeric_forms(vault: DataFrame) -> DataFrame:
     """Written forms of whole-number values of five digits or more: 188,000; 188k; $188,000."""
-    n = F.col("value").cast("decimal(38,0)")
+    n = tx.bare_number("value")
     comma = tx.thousands("value")
-    kilo = F.floor(n / 1000).cast("string")
+    kilo = F.when(F.length(n) > 3, F.substring(n, F.lit(1), F.length(n) - 3)).otherwise("0")
     def form(text, score, kind):
         return F.struct(text.alias("form"), F.lit(score).alias("score"), kind.alias("entity"))
     salary = F.lit("SALARY")
     forms = F.array(
-        form(comma, 0.95, F.when(n >= 10000, "SALARY").otherwise("VAULT_MATCH")),
+        form(comma, 0.95, F.when(F.length(n) >= 5, "SALARY").otherwise("VAULT_MATCH")),
         form(F.concat(kilo, F.lit("k")), 0.90, salary),
         form(F.concat(kilo, F.lit("K")), 0.90, salary),
         form(F.concat(F.lit("$"), comma), 0.95, salary),
@@ -261,11 +261,12 @@ def cascade(events: DataFrame, tiers: list[tuple[str, Callable[[DataFrame], Data
 
     A leak above ``stop_conf`` closes the event; the verdict of the last tier
     that saw the event stands, even if an earlier one had found a weaker leak.
+    Each tier's verdicts are written once, so no tier runs again for the next.
     """
     open_events, verdicts = events, None
     for i, (name, tier) in enumerate(tiers, 1):
-        v = tier(open_events).select(event_id, "leaked", "confidence").withColumns(
-            {"tier": F.lit(i), "tier_name": F.lit(name)})
+        v = cut(tier(open_events).select(event_id, "leaked", "confidence").withColumns(
+            {"tier": F.lit(i), "tier_name": F.lit(name)}), "tier")
         verdicts = v if verdicts is None else verdicts.unionByName(v)
         if i < len(tiers):
             closed = v.where(F.col("leaked") & (F.col("confidence") > stop_conf)).select(event_id)
@@ -450,29 +451,45 @@ def judge_dedupe(requests: DataFrame, cache: DataFrame | None = None, key: str =
     return out.join(cache.select(key), key, "left_anti") if cache is not None else out
 
 
-VERDICT = (
-    "score int, has_leakage boolean, overall_severity string, confidence double, reasoning_summary string,"
-    " leaks array<struct<field_name:string, leaked_content:string, original_value:string, confidence:double,"
-    " severity:string, reasoning:string, leak_type:string>>"
-)
 SEVERITIES = ["none", "low", "medium", "high", "critical"]
+_LEAK = "struct<field_name:string, leaked_content:string, original_value:string, confidence:double, severity:string, reasoning:string, leak_type:string>"
+#: Numbers are read as text first, since judges write 1, 1.0 and "1" alike.
+_ANSWER = (
+    "score string, has_leakage string, overall_severity string, confidence string, reasoning_summary string,"
+    f" leaks array<{_LEAK.replace('confidence:double', 'confidence:string')}>"
+)
+
+
+def _number(x: Column) -> Column:
+    return x.try_cast("double")
 
 
 def parse_verdict(df: DataFrame, verdict: str = "verdict", tau: float = fl.SEMANTIC_TAU) -> DataFrame:
     """Judge answer (bare, or JSON wrapped in text) -> leak flag, leaks above ``tau``, confidence.
 
-    An answer that cannot be read counts as "not leaked".
+    Scores and confidences may be numbers or text. An answer that cannot be
+    read counts as "not leaked"; so does one with a severity outside
+    ``SEVERITIES`` or a number that is none.
     """
     body = F.nullif(F.regexp_extract(verdict, r"(?s)\{.*\}", 0), F.lit(""))
-    out = df.withColumn("__v", F.from_json(body, VERDICT, {"mode": "PERMISSIVE"}))
-    ok = F.col("__v").isNotNull() & F.coalesce(
-        F.col("__v.score"), F.col("__v.has_leakage").cast("int"), F.size("__v.leaks"), F.col("__v.confidence").cast("int")).isNotNull()
-    conf = lambda x: F.coalesce(x["confidence"], F.lit(0.5))
-    kept = F.coalesce(F.filter("__v.leaks", lambda x: conf(x) >= tau), F.array().cast("array<struct<field_name:string, leaked_content:string, original_value:string, confidence:double, severity:string, reasoning:string, leak_type:string>>"))
-    out = out.withColumn("parsed", ok).withColumn("leaks", kept)
-    stated = F.when(F.col("__v.score").isNotNull(), F.col("__v.score") == 1).otherwise(F.coalesce("__v.has_leakage", F.lit(False)))
-    mean = F.aggregate("leaks", F.lit(0.0), lambda s, x: s + conf(x)) / F.size("leaks")
-    given = F.nullif(F.coalesce("__v.confidence", F.lit(0.0)), F.lit(0.0))
+    out = df.withColumn("__v", F.from_json(body, _ANSWER, {"mode": "PERMISSIVE"}))
+    raw = F.col("__v.leaks")
+    fine = lambda s: s.isNull() | F.lower(s).isin(SEVERITIES)
+    number = lambda x: x.isNull() | _number(x).isNotNull()
+    ok = (F.coalesce(F.col("__v.score"), F.col("__v.has_leakage"), F.size(raw).cast("string"), F.col("__v.confidence")).isNotNull()
+          & fine(F.col("__v.overall_severity")) & number(F.col("__v.confidence"))
+          & F.coalesce(F.forall(raw, lambda x: fine(x["severity"]) & number(x["confidence"])), F.lit(True)))
+    none = F.array().cast(f"array<{_LEAK}>")
+    read = F.transform(raw, lambda x: F.struct(
+        x["field_name"].alias("field_name"), x["leaked_content"].alias("leaked_content"), x["original_value"].alias("original_value"),
+        F.coalesce(_number(x["confidence"]), F.lit(0.5)).alias("confidence"), x["severity"].alias("severity"),
+        x["reasoning"].alias("reasoning"), x["leak_type"].alias("leak_type")))
+    kept = F.when(F.col("parsed"), F.coalesce(F.filter(read, lambda x: x["confidence"] >= tau), none)).otherwise(none)
+    out = out.withColumn("parsed", F.col("__v").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("leaks", kept)
+    stated = F.when(F.col("__v.score").isNotNull(), F.coalesce(_number(F.col("__v.score")) == 1, F.lit(False))).otherwise(
+        F.coalesce(F.lower("__v.has_leakage") == "true", F.lit(False)))
+    mean = F.aggregate("leaks", F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size("leaks")
+    given = F.nullif(F.coalesce(_number(F.col("__v.confidence")), F.lit(0.0)), F.lit(0.0))
     return out.withColumns({
         "is_leak": F.col("parsed") & (stated | (F.size("leaks") > 0)),
         "verdict_confidence": F.when(F.col("parsed"), F.coalesce(given, F.when(F.size("leaks") > 0, mean), F.lit(0.0))).otherwise(0.0),
@@ -480,6 +497,15 @@ def parse_verdict(df: DataFrame, verdict: str = "verdict", tau: float = fl.SEMAN
     }).drop("__v")
 
 
+def cached_verdicts(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
+    """Every request with its cached verdict; null where the judge has still to be asked.
+
+    ``cache`` has one row per key; of several the join takes the smallest verdict.
+    """
+    one = cache.groupBy(key).agg(F.min("verdict").alias("verdict"))
+    return requests.join(one, key, "left")
+
+
 def verdict_leaks(verdicts: DataFrame, keep=("scenario_id", "event_id", "channel")) -> DataFrame:
     """Parsed verdicts -> leak rows of the semantic tier."""
     return verdicts.select(*keep, F.explode("leaks").alias("l")).select(

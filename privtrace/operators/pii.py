@@ -1,7 +1,6 @@
 """PII recognition: spans of text that look like personal data."""
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pandas as pd
@@ -13,10 +12,12 @@ from ..dims import false_positives as fp
 from ..dims import fields as fl
 from ..dims import recognizers as rz
 from ..functions import text as tx
-from ..functions.patterns import gated_sql, sql_text
+from ..functions.patterns import Machine, gated_sql, sql_text
 from ..functions.text import col
 
 FLAGS = "(?ims)"
+#: Patterns that one compiled expression holds.
+PATTERNS_PER_STEP = 28
 
 
 def find_spans(
@@ -76,13 +77,14 @@ def _offset_spans(events: DataFrame, table, flags: str, text: str, keep) -> Data
         T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def scan(batches):
-        machines = [(e, i, float(s), re.compile(flags + p)) for e, i, p, s in table]
+        machines = [(e, i, float(s), Machine(p, flags)) for e, i, p, s in table]
         for pdf in batches:
             rows, found = [], []
             for r, t in enumerate(pdf[text]):
                 if t:
+                    low = t.lower()
                     for e, i, s, m in machines:
-                        for hit in m.finditer(t):
+                        for hit in m.finditer(t, low):
                             rows.append(r)
                             found.append((e, i, s, hit.group(), hit.start(), hit.end()))
             if rows:
@@ -108,13 +110,21 @@ def general_spans(events: DataFrame, threshold: float = 0.0, text: str = "text")
 def recognizer_counts(events: DataFrame, recognizers=None, flags: str = "", text: str = "text") -> DataFrame:
     """Matches per recognizer pattern: counted per text, then summed; no span leaves its row."""
     table = rz.flat() if recognizers is None else recognizers
-    arms = []
-    for e, i, p, s in table:
-        n = gated_sql(p, "__low", f"regexp_count({text}, {sql_text(flags + p)})", "0")
-        arms.append(f"named_struct('entity', {sql_text(e)}, 'pattern_no', {int(i)}, 'score', {float(s)}D, 'n', cast({n} AS bigint))")
-    counts = F.expr(f"array({', '.join(arms)})")
-    return (events.withColumn("__low", F.lower(text)).select(F.inline(counts)).where(F.col("n") > 0)
-            .groupBy("entity", "pattern_no", "score").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("texts")))
+    groups = []
+    for first in range(0, len(table), PATTERNS_PER_STEP):
+        arms = []
+        for e, i, p, s in table[first:first + PATTERNS_PER_STEP]:
+            n = gated_sql(p, "__low", f"regexp_count({text}, {sql_text(flags + p)})", "0")
+            arms.append(f"named_struct('entity', {sql_text(e)}, 'pattern_no', {int(i)}, 'score', {float(s)}D, 'n', cast({n} AS bigint))")
+        groups.append(f"filter(array({', '.join(arms)}), x -> x.n > 0)")
+    low = events.select(text, F.lower(text).alias("__low"))
+    # one generator per group of patterns: a single expression over all of them is too long to be compiled
+    counts = None
+    for g in groups:
+        part = low.select(F.inline(F.expr(g))).groupBy("entity", "pattern_no", "score").agg(
+            F.sum("n").alias("matches"), F.count(F.lit(1)).alias("texts"))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
 
 
 def context_boost(spans: DataFrame, events: DataFrame, k: int = 30, boost: float = 0.35, on: str = "event_id") -> DataFrame:

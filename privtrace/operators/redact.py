@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_left
 from functools import reduce
 
@@ -14,8 +13,10 @@ from pyspark.sql import types as T
 from ..dims import channels as ch
 from ..dims import defenses as df_
 from ..functions import text as tx
+from ..functions.patterns import Machine
 from ..functions.text import col
 from .contain import ValueIndex
+from .pii import FLAGS
 
 
 def sanitize(c, patterns=df_.SANITIZE_PATTERNS, token: str = df_.REDACTED) -> Column:
@@ -100,7 +101,7 @@ def redact_spans(events: DataFrame, spans: DataFrame, style: str = "placeholder"
         "redactions", F.coalesce("redactions", F.lit(0))).drop("cuts")
 
 
-def redact_scan(events: DataFrame, recognizers, style: str = "placeholder", flags: str = "", custom: str = "[REDACTED]",
+def redact_scan(events: DataFrame, recognizers, style: str = "placeholder", flags: str = FLAGS, custom: str = "[REDACTED]",
                 text: str = "text") -> DataFrame:
     """Find, settle overlaps and replace in one pass over the texts: no span leaves its row, no text is shuffled.
 
@@ -114,7 +115,8 @@ def redact_scan(events: DataFrame, recognizers, style: str = "placeholder", flag
     make = _REPLACE.get(style, lambda e, m: custom)
 
     def one(t, machines):
-        spans = [(-s, h.start() - h.end(), h.start(), h.end(), e, h.group()) for e, s, m in machines for h in m.finditer(t)]
+        low = t.lower()
+        spans = [(-s, h.start() - h.end(), h.start(), h.end(), e, h.group()) for e, s, m in machines for h in m.finditer(t, low)]
         if not spans:
             return t, 0, None, []
         starts, kept = [], []
@@ -131,7 +133,7 @@ def redact_scan(events: DataFrame, recognizers, style: str = "placeholder", flag
         return "".join(parts) + t[pos:], len(kept), -min(sp[0] for sp in spans), order
 
     def scan(batches):
-        machines = [(e, float(s), re.compile(flags + p)) for e, _, p, s in table]
+        machines = [(e, float(s), Machine(p, flags)) for e, _, p, s in table]
         for pdf in batches:
             rows = [one(t, machines) if t else (t, 0, None, []) for t in pdf[text]]
             out = pdf.copy()
@@ -214,7 +216,7 @@ def apply_defense(text, filtered, action) -> Column:
 
 
 def defend(events: DataFrame, recognizers, style="placeholder", block: bool = False, internal=True, external=True,
-           flags: str = "") -> DataFrame:
+           flags: str = FLAGS) -> DataFrame:
     """Redact, block and decide for each event in one pass: action, final text, confidence."""
     red = redact_scan(events, recognizers, style, flags)
     worst = F.get(F.filter("entities", lambda e: e.isin(df_.HIGH_SEVERITY)), F.lit(0))
@@ -254,7 +256,7 @@ def check_acl(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     return m.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).drop("__send", "__recv", "__deny", "__allow")
 
 
-def filter_messages(messages: DataFrame, recognizers, profiles: DataFrame, block_high: bool = False, flags: str = "") -> DataFrame:
+def filter_messages(messages: DataFrame, recognizers, profiles: DataFrame, block_high: bool = False, flags: str = FLAGS) -> DataFrame:
     """Inter-agent messages (text, source, target): redact, check access, block by severity."""
     out = check_acl(redact_scan(messages, recognizers, flags=flags), profiles)
     if block_high:
@@ -265,7 +267,7 @@ def filter_messages(messages: DataFrame, recognizers, profiles: DataFrame, block
     return out.withColumn("filtered", F.when(F.col("allowed"), F.col("redacted")).otherwise(df_.BLOCKED_MESSAGE))
 
 
-def filter_memory(memory: DataFrame, recognizers, flags: str = "") -> DataFrame:
+def filter_memory(memory: DataFrame, recognizers, flags: str = FLAGS) -> DataFrame:
     """Memory writes and reads by key, redacted."""
     return redact_scan(memory, recognizers, flags=flags).withColumn("changed", F.col("redactions") > 0)
 
