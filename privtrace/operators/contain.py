@@ -1,155 +1,48 @@
 """Which texts hold which values: an exact containment join.
 
-Three exact ways, picked by measured size:
-
-``scan``      equi-join on the keys, ``contains`` as the rest of the condition;
-              for vaults with few values per key.
-``automaton`` the distinct values of a size-checked vault are broadcast as one
-              multi-pattern automaton; each text is read once and never shuffled.
-``gram``      beyond these sizes: a value is found through its rarest character
-              n-gram, so texts and values meet in an equi-join on (keys, gram)
-              and only candidates are verified. No value and no text is dropped,
-              and a key that holds a third of all rows is spread by its grams.
+A value is found through its rarest character n-gram, its anchor: texts and
+anchors meet in an equi-join on (keys, gram), and only the candidates are
+verified. The plan is the same for a vault of any size. Anchors are written
+once; Spark broadcasts them by itself where they are small, so that grams of
+texts are not shuffled, and shuffles them where they are not. No value and no
+text is dropped, and a key that holds a third of all rows is spread by its
+grams.
 """
 from __future__ import annotations
 
-import uuid
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-try:
-    import ahocorasick
-except ImportError:  # without the automaton library every vault goes through the joins
-    ahocorasick = None
+from ..session import cut
 
-MAX_SCAN_PER_KEY = 64
-MAX_AUTOMATON_VALUES = 200_000
-MAX_AUTOMATON_CHARS = 16_000_000
 GRAM_SIZES = (8, 4, 2, 1)
 
-_AUTOMATA: dict[str, object] = {}
-
-
-def _automaton(token: str, entries):
-    """Build once per Python worker; entries are (value, [key, ...])."""
-    if token not in _AUTOMATA:
-        _AUTOMATA.clear()
-        a = ahocorasick.Automaton()
-        for value, keys in entries:
-            a.add_word(value, (value, frozenset(keys)))
-        a.make_automaton()
-        _AUTOMATA[token] = a
-    return _AUTOMATA[token]
-
 
 class ValueIndex:
-    """Distinct values per key, measured once and then used on any number of texts."""
+    """Anchors of the distinct values per key, built once and then used on any number of texts."""
 
-    def __init__(self, vault: DataFrame, on=(), value: str = "value", case_sensitive: bool = False, strategy: str = "auto"):
+    def __init__(self, vault: DataFrame, on=(), value: str = "value", case_sensitive: bool = False):
         self.on = list(on)
         self.case_sensitive = case_sensitive
         norm = F.col(value) if case_sensitive else F.lower(F.col(value))
-        self.values = vault.select(*self.on, norm.alias("__v")).where(F.length("__v") > 0).distinct()
-        self.shared, self.token, self.sizes = None, uuid.uuid4().hex, None
-        self.strategy = strategy
-        if strategy in ("auto", "automaton", "fit"):  # fit: the automaton if the vault fits, grams if not
-            self._measure(vault.sparkSession)
-        if self.strategy == "gram":
-            self.sizes = gram_tiers(self.values)
-        if self.strategy == "scan" and not self.on:
-            raise ValueError("a scan needs join keys")
-
-    def _measure(self, spark) -> None:
-        # one bounded job: at most MAX_AUTOMATON_VALUES + 1 rows reach the driver
-        rows = self.values.limit(MAX_AUTOMATON_VALUES + 1).collect()
-        fits = len(rows) <= MAX_AUTOMATON_VALUES and sum(len(r["__v"]) for r in rows) <= MAX_AUTOMATON_CHARS
-        if not fits:
-            if self.strategy == "automaton":
-                raise ValueError("vault too large for the automaton; use strategy='gram'")
-            self.strategy = "gram"
-            return
-        per_key = Counter(tuple(r[k] for k in self.on) for r in rows)
-        if self.strategy == "auto" and self.on and max(per_key.values(), default=0) <= MAX_SCAN_PER_KEY:
-            self.strategy = "scan"
-            return
-        if ahocorasick is None:
-            self.strategy = "gram"
-            return
-        self.strategy = "automaton"
-        by_value: dict[str, list] = {}
-        for r in rows:
-            by_value.setdefault(r["__v"], []).append(tuple(r[k] for k in self.on))
-        self.shared = spark.sparkContext.broadcast(list(by_value.items()))
+        values = vault.select(*self.on, norm.alias("__v")).where(F.length("__v") > 0).distinct()
+        self.anchors = cut(_anchors(cut(values, "values"), self.on), "anchors")
+        self.sizes = [r[0] for r in self.anchors.select("__q").distinct().collect()]  # at most len(GRAM_SIZES) numbers
 
     def hits(self, events: DataFrame, text: str = "text", event_id: str = "event_id") -> DataFrame:
         """Event columns (without the text) and ``__v``, the normalised value found."""
         cols = [c for c in events.columns if c != text]
         norm = F.col(text) if self.case_sensitive else F.lower(F.col(text))
         ev = events.select(*cols, norm.alias("__t"))
-        if self.strategy == "automaton":
-            return self._automaton_hits(ev, cols)
-        if self.strategy == "gram":
-            return _gram_hits(ev, self.values, self.on, cols, event_id, self.sizes)
-        a, b = ev.alias("a"), self.values.alias("b")
-        cond = F.contains(F.col("a.__t"), F.col("b.__v"))
-        for k in self.on:
-            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        return a.join(b, cond).select(*[F.col(f"a.{c}") for c in cols], F.col("b.__v"))
-
-    def _automaton_hits(self, ev: DataFrame, cols: list[str]) -> DataFrame:
-        types = {f.name: f for f in ev.schema.fields}
-        schema = T.StructType([types[c] for c in cols] + [T.StructField("__v", T.StringType())])
-        on, token, shared = self.on, self.token, self.shared
-
-        def scan(batches):
-            entries = shared.value
-            if not entries:
-                return
-            machine = _automaton(token, entries)
-            for pdf in batches:
-                keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
-                rows, found = [], []
-                for i, text in enumerate(pdf["__t"]):
-                    if not text:
-                        continue
-                    seen = set()
-                    for _, (v, owners) in machine.iter(text):
-                        if v not in seen and keys[i] in owners:
-                            seen.add(v)
-                            rows.append(i)
-                            found.append(v)
-                if rows:
-                    out = pdf.iloc[rows][cols].reset_index(drop=True)
-                    out["__v"] = pd.Series(found, dtype="object")
-                    yield out
-
-        return ev.mapInPandas(scan, schema)
-
-    def replace(self, events: DataFrame, tag: str, text: str = "text", out: str = "redacted") -> DataFrame:
-        """Events with every value found replaced by ``tag``, longest first, in one pass (automaton only)."""
-        schema = T.StructType(list(events.schema.fields) + [T.StructField(out, T.StringType())])
-        on, token, shared = self.on, self.token, self.shared
-
-        def scan(batches):
-            entries = shared.value
-            machine = _automaton(token, entries) if entries else None
-            for pdf in batches:
-                keys = list(zip(*[pdf[k] for k in on])) if on else [()] * len(pdf)
-                done = []
-                for key, t in zip(keys, pdf[text]):
-                    if t and machine is not None:
-                        for v in sorted({v for _, (v, owners) in machine.iter(t) if key in owners}, key=lambda v: (-len(v), v)):
-                            t = t.replace(v, tag)
-                    done.append(t)
-                res = pdf.copy()
-                res[out] = pd.Series(done, index=pdf.index, dtype="object")
-                yield res
-
-        return events.mapInPandas(scan, schema)
+        if not self.sizes:
+            return ev.select(*cols).withColumn("__v", F.lit(None).cast("string")).where(F.lit(False))
+        ids = list(dict.fromkeys(self.on + [event_id]))
+        pieces = None
+        for q in sorted(self.sizes):
+            t = ev.select(*ids, F.lit(q).alias("__q"), F.explode(grams(F.col("__t"), q)).alias("__g"))
+            pieces = t if pieces is None else pieces.unionByName(t)
+        found = pieces.join(self.anchors, self.on + ["__q", "__g"]).select(*ids, "__v")
+        return ev.join(found, ids).where(F.contains("__t", "__v")).select(*cols, "__v")
 
     def attach(self, hits: DataFrame, vault: DataFrame, value: str = "value") -> DataFrame:
         """Vault columns for the values found."""
@@ -166,46 +59,24 @@ def contains_join(
     value: str = "value",
     event_id: str = "event_id",
     case_sensitive: bool = False,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Event columns (without the text) joined with vault columns wherever the text contains the value."""
-    index = ValueIndex(vault, on, value, case_sensitive, strategy)
+    index = ValueIndex(vault, on, value, case_sensitive)
     return index.attach(index.hits(events, text, event_id), vault, value)
 
 
-def gram_tiers(values: DataFrame) -> list[int]:
-    """The gram sizes in use: each value goes to the largest size that fits it."""
-    bounds = list(zip(GRAM_SIZES, (1 << 30,) + GRAM_SIZES))
-    n = F.length("__v")
-    row = values.agg(*[F.bool_or((n >= q) & (n < hi)).alias(f"q{q}") for q, hi in bounds]).first()
-    return [q for q in GRAM_SIZES if row[f"q{q}"]]
-
-
 def grams(c, q: int):
     """All overlapping q-character pieces, in linear time (a look-ahead regex)."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def _gram_hits(ev, values, on, ev_cols, event_id, used) -> DataFrame:
-    tier = F.lit(GRAM_SIZES[-1])
-    for q in reversed(GRAM_SIZES[:-1]):
-        tier = F.when(F.length("__v") >= q, F.lit(q)).otherwise(tier)
-    sized = values.withColumn("__q", tier)
+def _anchors(values: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, __v, __q, __g): of each value's grams, of the largest size that it has, the rarest in the vault."""
     pieces = None
-    ids = list(dict.fromkeys(on + [event_id]))
-    text_grams = None
-    for q in used:
-        p = sized.where(F.col("__q") == q).select(*on, "__v", "__q", F.explode(grams(F.col("__v"), q)).alias("__g"))
-        t = ev.select(*ids, F.lit(q).alias("__q"), F.explode(grams(F.col("__t"), q)).alias("__g"))
+    for q, longer in zip(GRAM_SIZES, (1 << 30,) + GRAM_SIZES):
+        n = F.length("__v")
+        p = values.where((n >= q) & (n < longer)).select(*on, "__v", F.lit(q).alias("__q"), F.explode(grams(F.col("__v"), q)).alias("__g"))
         pieces = p if pieces is None else pieces.unionByName(p)
-        text_grams = t if text_grams is None else text_grams.unionByName(t)
-    if pieces is None:
-        return ev.select(*ev_cols).withColumn("__v", F.lit(None).cast("string")).where(F.lit(False))
     freq = pieces.groupBy("__q", "__g").agg(F.count(F.lit(1)).alias("__n"))
-    anchors = (
-        pieces.join(freq, ["__q", "__g"])
-        .groupBy(*on, "__v", "__q")
-        .agg(F.min_by("__g", F.struct("__n", F.xxhash64("__g"))).alias("__g"))
-    )
-    cand = text_grams.join(anchors, on + ["__q", "__g"]).select(*ids, "__v")
-    return ev.join(cand, ids).where(F.contains("__t", "__v")).select(*ev_cols, "__v")
+    return (pieces.join(freq, ["__q", "__g"]).groupBy(*on, "__v", "__q")
+            .agg(F.min_by("__g", F.struct("__n", F.xxhash64("__g"))).alias("__g")))

@@ -136,11 +136,11 @@ def state_diff(pre: DataFrame, post: DataFrame, by=("scenario_id",)) -> DataFram
     return j.withColumn("change", kind).where(F.col("change").isNotNull()).select(*by, "key", "change")
 
 
-def canary_in_messages(messages: DataFrame, canaries: DataFrame, preview_chars: int = 200, strategy="auto") -> DataFrame:
+def canary_in_messages(messages: DataFrame, canaries: DataFrame, preview_chars: int = 200) -> DataFrame:
     """Canaries in the whole message; ``in_preview`` marks those that the stored preview shows."""
     m = messages.withColumn("__p", F.substring("text", 1, preview_chars))
     hits = contains_join(m, canaries.select("scenario_id", F.col("canary").alias("value")).distinct(), ["scenario_id"],
-                         case_sensitive=True, strategy=strategy)
+                         case_sensitive=True)
     return hits.withColumn("in_preview", F.contains("__p", "value")).withColumn(
         "leaked_data_type", F.concat(F.lit("canary:"), F.substring("value", 1, 20))).drop("__p")
 

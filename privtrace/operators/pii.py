@@ -190,7 +190,7 @@ def fp_context_filter(spans: DataFrame, events: DataFrame, on: str = "event_id")
     return spans.where(~risky).unionByName(tested)
 
 
-def tag_vault(spans: DataFrame, vault: DataFrame, canaries: DataFrame | None = None, strategy="auto") -> DataFrame:
+def tag_vault(spans: DataFrame, vault: DataFrame, canaries: DataFrame | None = None) -> DataFrame:
     """Add ``is_canary`` and ``vault_field``: the first vault field whose value holds the match."""
     from ..session import cut
     from .contain import contains_join
@@ -199,7 +199,7 @@ def tag_vault(spans: DataFrame, vault: DataFrame, canaries: DataFrame | None = N
         "scenario_id", "record_idx", "field", F.col("value").alias("text"),
         F.concat_ws("|", "record_idx", "field", "value").alias("event_id"))
     needle = spans.select("scenario_id", F.col("match").alias("value"), F.col("match")).distinct()
-    first = contains_join(holders, needle, ["scenario_id"], case_sensitive=True, strategy=strategy).groupBy(
+    first = contains_join(holders, needle, ["scenario_id"], case_sensitive=True).groupBy(
         "scenario_id", "match").agg(F.min_by("field", F.struct("record_idx", "field")).alias("vault_field"))
     out = spans.join(first, ["scenario_id", "match"], "left")
     if canaries is None:

@@ -168,17 +168,10 @@ def redact_values(events: DataFrame, leaks: DataFrame, tag: str = "[REDACTED]",
 
 
 def redact_vault(events: DataFrame, vault: DataFrame, on=("scenario_id",), tag: str = "[REDACTED]", min_len: int = 4) -> DataFrame:
-    """Replace every vault value that stands in a text, longest first.
-
-    With a vault of checked size the values are found and replaced in one pass,
-    and no text is shuffled; larger vaults go through the containment join.
-    """
+    """Replace every vault value that stands in a text, longest first."""
     on = list(on)
     v = vault.where(F.length("value") >= min_len)
-    index = ValueIndex(v, on, case_sensitive=True, strategy="fit")
-    if index.strategy == "automaton":
-        return index.replace(events, tag)
-    hits = index.hits(events).select("event_id", F.col("__v").alias("value"))
+    hits = ValueIndex(v, on, case_sensitive=True).hits(events).select("event_id", F.col("__v").alias("value"))
     return redact_values(events, hits, tag)
 
 

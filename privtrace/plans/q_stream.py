@@ -20,8 +20,7 @@ def doc_stream(spark, d):
 
 @query("monitor_stream", "T1", sql("hv_shared_vault", "SELECT d.doc_id AS event_id, field FROM documents d JOIN hv_shared_vault ON contains(lower(d.text), lower(value))"))
 def _(spark, d):
-    hits = op.monitor_stream(doc_stream(spark, d), v.shared_vault(spark, d), on=(), strategy="automaton")
-    return op.run_to_table(hits.select("event_id", "field"), "monitor")
+    return op.monitor_stream(doc_stream(spark, d), v.shared_vault(spark, d), on=()).select("event_id", "field")
 
 
 @query("monitor_batches", "T1", sql("hv_vault", "SELECT d.doc_id AS event_id, field, value FROM documents d JOIN hv_vault v ON d.source = v.scenario_id WHERE length(value) > 3 AND contains(lower(d.text), lower(value))"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.contain import contains_join
+from ..operators.contain import ValueIndex
 from ..operators.detect import leak_check
 from ..operators.redact import sanitize
 from ..session import new_work_path
@@ -52,19 +52,39 @@ def run_to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 # --- live checks --------------------------------------------------------------
 
-def monitor_stream(stream: DataFrame, vault: DataFrame, on=("scenario_id",), min_len: int = 0, strategy: str = "scan") -> DataFrame:
-    """Stream-static check of every message: one row per (message, value) found."""
-    v = vault.where(F.length("value") > 0) if min_len <= 1 else vault.where(F.length("value") >= min_len)
-    return contains_join(stream, v, list(on), strategy=strategy)
+def monitor_batches(stream: DataFrame, vault: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
+                    on=("scenario_id",), min_len: int = 4, case_sensitive: bool = False, **kw):
+    """Check of every micro-batch against a vault of any size, the results going into ``sink``.
 
+    The vault's index is built once, before the stream starts.
+    """
+    index = ValueIndex(vault.where(F.length("value") >= max(1, min_len)), on, case_sensitive=case_sensitive)
 
-def monitor_batches(stream: DataFrame, vault: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **kw):
-    """The same for a vault of any size: each micro-batch goes through the batch operator and into ``sink``."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        sink(leak_check(batch, vault, **kw), batch_id)
+        sink(leak_check(batch, vault, on=on, min_len=max(1, min_len), case_sensitive=case_sensitive, index=index, **kw), batch_id)
+
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
 
 
+def monitor_stream(stream: DataFrame, vault: DataFrame, on=("scenario_id",), min_len: int = 0, label: str = "monitor") -> DataFrame:
+    """The stream's messages checked and drained into a table: one row per (message, value) found.
+
+    A batch is written under its number, so a batch that runs again replaces itself.
+    """
+    spark = stream.sparkSession
+    out, ck = new_work_path(spark, label), new_work_path(spark, label + "-state")
+    kept: dict = {}
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        kept["schema"] = df.schema
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    monitor_batches(stream, vault, sink, ck, on=on, min_len=min_len).awaitTermination()
+    if not kept:
+        return spark.createDataFrame([], stream.drop("text").join(vault, list(on)).schema)
+    return spark.read.schema(kept["schema"]).parquet(f"{out}/batch=*")
+
+
 def alerts(hits: DataFrame, threshold: float = 0.7, redact: bool = False, block: bool = False) -> DataFrame:
     """Severity, preview and what to do; works on streams and tables alike."""
     out = hits.withColumn("severity", F.when(F.col("confidence") >= threshold, "HIGH").otherwise("LOW"))

@@ -16,46 +16,47 @@ def make(n=300, seed=1):
     return ev, va
 
 
-@pytest.mark.parametrize("strategy", ["scan", "automaton", "gram", "auto"])
 @pytest.mark.parametrize("case", [False, True])
-def test_strategies_equal_brute_force(spark, strategy, case):
+def test_equals_brute_force(spark, case):
     ev, va = make()
     e = spark.createDataFrame(ev, "scenario_id string, event_id long, text string")
     v = spark.createDataFrame(va, "scenario_id string, field string, value string")
-    got = {(r.event_id, r.field) for r in contain.contains_join(e, v, ["scenario_id"], case_sensitive=case, strategy=strategy).collect()}
+    got = {(r.event_id, r.field) for r in contain.contains_join(e, v, ["scenario_id"], case_sensitive=case).collect()}
     low = (lambda s: s) if case else str.lower
     want = {(i, f) for k, i, t in ev for k2, f, x in va if k == k2 and x and low(x) in low(t)}
     assert got == want
 
 
-@pytest.mark.parametrize("strategy", ["automaton", "gram"])
-def test_without_keys(spark, strategy):
+def test_without_keys(spark):
     ev, va = make(120, 5)
     e = spark.createDataFrame(ev, "scenario_id string, event_id long, text string")
     v = spark.createDataFrame([(f, x) for _, f, x in va], "field string, value string")
-    got = {(r.event_id, r.field) for r in contain.contains_join(e, v, [], strategy=strategy).collect()}
+    got = {(r.event_id, r.field) for r in contain.contains_join(e, v, []).collect()}
     assert got == {(i, f) for _, i, t in ev for _, f, x in va if x and x.lower() in t.lower()}
 
 
-def test_large_vault_goes_to_grams(spark, monkeypatch):
-    monkeypatch.setattr(contain, "MAX_AUTOMATON_VALUES", 10)
-    ev, va = make()
+def test_redact_vault_longest_first(spark):
+    from privtrace.operators.redact import redact_vault
+    ev, va = make(150, 8)
+    e = spark.createDataFrame(ev, "scenario_id string, event_id long, text string")
     v = spark.createDataFrame(va, "scenario_id string, field string, value string")
-    index = contain.ValueIndex(v, ["scenario_id"])
-    assert index.strategy == "gram"
-    with pytest.raises(ValueError):
-        contain.ValueIndex(v, ["scenario_id"], strategy="automaton")
+    got = {r.event_id: r.redacted for r in redact_vault(e, v).collect()}
+    want = {}
+    for k, i, t in ev:
+        for x in sorted({x for k2, _, x in va if k2 == k and len(x) >= 4 and x in t}, key=lambda x: (-len(x), x)):
+            t = t.replace(x, "[REDACTED]")
+        want[i] = t
+    assert got == want and any("[REDACTED]" in x for x in got.values())
 
 
-def test_redact_vault_two_ways(spark, monkeypatch):
-    from privtrace.operators.redact import redact_vault
-    ev, va = make(150, 8)
+def test_index_is_used_again_and_empty_vault(spark):
+    ev, va = make(60, 9)
     e = spark.createDataFrame(ev, "scenario_id string, event_id long, text string")
     v = spark.createDataFrame(va, "scenario_id string, field string, value string")
-    one = {r.event_id: r.redacted for r in redact_vault(e, v).collect()}
-    monkeypatch.setattr(contain, "MAX_AUTOMATON_VALUES", 3)
-    two = {r.event_id: r.redacted for r in redact_vault(e, v).collect()}
-    assert one == two and any("[REDACTED]" in x for x in one.values())
+    index = contain.ValueIndex(v.where(F.length("value") >= 4), ["scenario_id"])
+    rows = lambda df: sorted((r.event_id, r.field) for r in df.collect())
+    assert rows(leak_check(e, v, index=index)) == rows(leak_check(e, v)) != []
+    assert leak_check(e, v.limit(0)).collect() == []
 
 
 def test_leak_check_rules(spark):
