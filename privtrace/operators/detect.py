@@ -287,55 +287,39 @@ def cosine(a, b) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU,
-                   max_vectors: int = 50_000) -> DataFrame:
+def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU, pivots: int = 3) -> DataFrame:
     """(event, vault entry) pairs of one scenario whose embeddings have cosine >= ``tau``.
 
-    A vault of checked size is broadcast as one matrix per scenario and each
-    batch of events is compared in one matrix product, without a shuffle. Beyond
-    that size both sides meet in an equi-join on the keys whose condition is the
-    cosine, so pairs below the threshold are never emitted and AQE splits hot keys.
+    Unit vectors with that cosine are at most r = sqrt(2 - 2 tau) apart, and so
+    are their distances to any fixed point. Both sides fall into cells of width
+    r around ``pivots`` fixed directions; a vault entry also enters the
+    neighbouring cells. Pairs meet in an equi-join on (keys, cell), whatever the
+    sizes, and the cosine decides. Vectors without length match nothing.
     """
     on = list(on)
-    v = vault.select(*on, "vault_id", F.col("embedding").alias("__w"))
-    if v.limit(max_vectors + 1).count() > max_vectors:
-        a, b = events.select(*on, "event_id", "embedding").alias("a"), v.alias("b")
-        cond = cosine("a.embedding", "b.__w") >= tau
-        for k in on:
-            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        return a.join(b, cond).select(*[f"a.{k}" for k in on], "a.event_id", "b.vault_id",
-                                      cosine("a.embedding", "b.__w").alias("similarity"))
-    groups: dict = {}
-    for row in v.toLocalIterator():  # bounded by max_vectors
-        groups.setdefault(tuple(row[k] for k in on), []).append((row["vault_id"], row["__w"]))
-    shared = events.sparkSession.sparkContext.broadcast(groups)
-    types = {f.name: f.dataType for f in events.schema.fields}
-    id_type = {f.name: f.dataType for f in vault.schema.fields}["vault_id"]
-    schema = T.StructType([T.StructField(c, types[c]) for c in [*on, "event_id"]]
-                          + [T.StructField("vault_id", id_type), T.StructField("similarity", T.DoubleType())])
-
-    def unit(rows):
-        m = np.asarray(rows, dtype="float64")
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1.0, n)
-
-    def match(batches):
-        sides = {k: (np.array([i for i, _ in g], dtype=object), unit([w for _, w in g])) for k, g in shared.value.items()}
-        for pdf in batches:
-            for key, part in pdf.groupby(on if len(on) > 1 else on[0], sort=False) if on else [((), pdf)]:
-                key = key if isinstance(key, tuple) else (key,)
-                if key not in sides:
-                    continue
-                ids, mat = sides[key]
-                sim = unit(list(part["embedding"])) @ mat.T
-                i, j = np.nonzero(sim >= tau)
-                if len(i):
-                    out = part.iloc[i][[*on, "event_id"]].reset_index(drop=True)
-                    out["vault_id"] = ids[j]
-                    out["similarity"] = sim[i, j]
-                    yield out
-
-    return events.select(*on, "event_id", "embedding").mapInPandas(match, schema)
+    r = max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * tau)))) * (1 + 1e-9)
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def along(i: int) -> Column:
+        signed = F.transform("__e", lambda x, k: F.when(F.floor(k / 2**i) % 2 == 0, x).otherwise(-x))
+        return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)
+
+    def unit(df: DataFrame, key: str) -> DataFrame:
+        v = df.select(*on, key, F.transform("embedding", lambda x: x.cast("double")).alias("__e")).withColumn("__n", F.sqrt(square(F.col("__e"))))
+        v = v.where(F.col("__n") > 0).withColumn("__e", F.transform("__e", lambda x: x / F.col("__n"))).drop("__n")
+        # the i-th direction has +1 and -1 in turn, in runs of 2**i
+        far = [F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * along(i) / F.sqrt(F.size("__e").cast("double")))) for i in range(pivots)]
+        return v.withColumn("__cell", F.array(*[F.floor(f / r).cast("int") for f in far]))
+
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a, b = unit(events, "event_id"), unit(vault, "vault_id").withColumnRenamed("__e", "__w")
+    for i in range(pivots):
+        b = b.withColumn("__d", F.explode(near)).withColumn(f"__c{i}", F.col("__cell")[i] + F.col("__d")).drop("__d")
+        a = a.withColumn(f"__c{i}", F.col("__cell")[i])
+    pairs = a.drop("__cell").join(b.drop("__cell"), [*on, *[f"__c{i}" for i in range(pivots)]])
+    return pairs.where(dot(F.col("__e"), F.col("__w")) >= tau).select(
+        *on, "event_id", "vault_id", dot(F.col("__e"), F.col("__w")).alias("similarity"))
 
 
 def fuzzy_match(tokens: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.FUZZY_TAU) -> DataFrame:

@@ -1,36 +1,25 @@
 """Running aggregates over groups of any size.
 
 A window ``partitionBy(key).orderBy(x)`` sorts a whole group in one task. Here
-the order column is first cut into 256 ranges of about equal row count (global
-approximate quantiles, one partial aggregation). A (key, range) pair then holds
-at most about 1/256 of all rows, whatever share one key has; pairs are scanned
-in parallel and the carry of all earlier ranges of the key is added. The result
-is the exact one.
+the rows are dealt into ranges of (keys, order) instead, as many as there are
+shuffle partitions; Spark samples the bounds, so a key with a third of all rows
+covers a third of the ranges. Ranges are scanned in parallel, and the carry of
+all earlier ranges of the key is added. The result is the exact one.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE = 16
-_SLICES = _COARSE * _COARSE
-_CARRY = {"sum": F.sum, "max": F.max, "count": F.sum}
+from ..session import cut
 
+_CARRY = {"sum": F.sum, "max": F.max, "count": F.sum}
 
-def with_slice(df: DataFrame, order: str, name: str = "__slice") -> DataFrame:
-    """Add a range number that rises with the numeric column ``order``.
 
-    The cut points are one row, read as a scalar subquery; a row finds its range
-    in two short steps (16 coarse cuts, then the 15 inside).
-    """
-    num = F.col(order).cast("double")
-    fractions = F.expr("array(" + ", ".join(f"{i / _SLICES}D" for i in range(1, _SLICES)) + ")")
-    cuts = df.agg(F.percentile_approx(num, fractions, F.lit(10 * _SLICES)).alias("c")).scalar()
-    coarse = F.size(F.filter("__coarse", lambda c: c < num))
-    out = df.withColumn("__cuts", cuts).withColumn("__coarse", F.expr(f"transform(sequence({_COARSE}, {_SLICES - _COARSE}, {_COARSE}), i -> __cuts[i - 1])"))
-    out = out.withColumn("__part", coarse)
-    fine = F.size(F.filter(F.slice("__cuts", F.col("__part") * _COARSE + 1, F.lit(_COARSE - 1)), lambda c: c < num))
-    return out.withColumn(name, F.col("__part") * _COARSE + fine).drop("__cuts", "__coarse", "__part")
+def with_range(df: DataFrame, keys: list[str], order: list[str], name: str = "__range") -> DataFrame:
+    """Add a range number that rises along (keys, order); the table is written, so that the number stays with the row."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def running(
@@ -44,28 +33,38 @@ def running(
     """Add running aggregates along ``order``: name -> (``sum``, ``max`` or ``count``, expression[, inclusive]).
 
     ``ties`` breaks equal order values; without ties equal values are peers and
-    see the same result. Exclusive aggregates leave the current row out.
+    see the same result: they are aggregated first, and the result is joined back.
     """
     keys = list(keys)
-    cut = with_slice(df, order)
     ins = {}
     for n, spec in aggs.items():
         fn, e = spec[0], spec[1]
         e = F.when(e.isNotNull(), 1).otherwise(0) if fn == "count" else e
         ins[n] = (fn, e, spec[2] if len(spec) > 2 else inclusive)
-    totals = cut.groupBy(*keys, "__slice").agg(*[_CARRY[fn](e).alias(f"__t_{n}") for n, (fn, e, _) in ins.items()])
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    if ties is None:
+        if not all(incl for _, _, incl in ins.values()):
+            raise ValueError("exclusive running aggregates need tie columns; aggregate peers first")
+        peers = df.groupBy(*keys, order).agg(*[_CARRY[fn](e).alias(f"__p_{n}") for n, (fn, e, _) in ins.items()])
+        run = running(peers, keys, order, {n: ("max" if fn == "max" else "sum", F.col(f"__p_{n}")) for n, (fn, _, _) in ins.items()}, ties=[])
+        right = run.select(*[F.col(c).alias(f"__j_{c}") for c in [*keys, order]], *ins)
+        on = None
+        for c in [*keys, order]:
+            same = F.col(c).eqNullSafe(F.col(f"__j_{c}"))
+            on = same if on is None else on & same
+        return df.join(right, on).drop(*[f"__j_{c}" for c in [*keys, order]])
+    dealt = with_range(df, keys, [order, *ties])
+    totals = dealt.groupBy(*keys, "__range").agg(*[_CARRY[fn](e).alias(f"__t_{n}") for n, (fn, e, _) in ins.items()])
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__slice", *[_CARRY[fn](f"__t_{n}").over(before).alias(f"__c_{n}") for n, (fn, _, _) in ins.items()])
-    out = cut.join(carry, keys + ["__slice"])
-    base = Window.partitionBy(*keys, "__slice").orderBy(order, *(ties or []))
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"),
+        *[_CARRY[fn](f"__t_{n}").over(before).alias(f"__c_{n}") for n, (fn, _, _) in ins.items()])
+    on = F.col("__range") == F.col("__r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = dealt.join(carry, on)
+    base = Window.partitionBy(*keys, "__range").orderBy(order, *ties)
     for n, (fn, e, incl) in ins.items():
-        if ties is not None:
-            w = base.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
-        elif incl:
-            w = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        else:
-            raise ValueError("exclusive running aggregates need tie columns; aggregate peers first")
+        w = base.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
         local, c = _CARRY[fn](e).over(w), F.col(f"__c_{n}")
         out = out.withColumn(n, F.greatest(local, c) if fn == "max" else F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0)))
-    return out.drop("__slice", *[f"__c_{n}" for n in ins])
+    return out.drop("__range", "__r", *[f"__k_{k}" for k in keys], *[f"__c_{n}" for n in ins])

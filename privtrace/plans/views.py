@@ -21,20 +21,13 @@ IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 
 
 TEXT_TABLES = ("documents", "pages", "conversations")
-SMALL_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table. A session that reads single small files may ask to have texts spread over its cores."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    if name in TEXT_TABLES and _plan_bytes(df) <= SMALL_BYTES:
-        # a small file is one row group, i.e. one task: spread it over the cores.
-        # Large inputs come in many splits and are left as they are.
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
-
-
-def _plan_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spread = int(spark.conf.get("spark.privtrace.spreadTexts", "0"))
+    return df.repartition(spread) if spread and name in TEXT_TABLES else df
 
 
 def sql_values(rows, columns: str, name: str) -> str:

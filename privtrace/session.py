@@ -1,6 +1,7 @@
 """Session helpers: settings for tests and benches, and the shared work folder."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "privtrace", memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, with a work folder of its own; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -16,11 +17,16 @@ def local_session(cores: int | str = 8, app: str = "privtrace", memory: str = "8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        # the test tables are single files of one row group
+        .config("spark.privtrace.spreadTexts", str(cores))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="privtrace-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -28,13 +34,13 @@ def local_session(cores: int | str = 8, app: str = "privtrace", memory: str = "8
 def work_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a laptop) a fresh local folder is
-    taken, once per session, and only on a local master: executors on other
-    machines could not read it.
+    Where the setting is missing, a purely local master, whose executors share
+    the machine, takes a fresh folder once per session; any other master has to
+    name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="privtrace-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -26,15 +26,16 @@ def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str =
         results.write.mode(mode).format(fmt).save(path)
 
 
-def assemble_trace(traces: DataFrame, messages: DataFrame, part_size: int = 10_000, order: str = "msg_idx") -> DataFrame:
-    """Messages gathered back into trace documents, in order.
+def assemble_trace(traces: DataFrame, messages: DataFrame, part_size: int | None = None, order: str = "msg_idx") -> DataFrame:
+    """Messages gathered back into one document per trace, in order.
 
-    A trace of more than ``part_size`` messages becomes several documents
-    (``part`` 0, 1, ..): nothing is dropped, and no task gathers an unbounded list.
+    Only a caller who gives ``part_size`` gets a trace of more messages as
+    several documents (``part`` 0, 1, ..).
     """
     rest = [c for c in messages.columns if c not in ("trace_id",)]
-    m = messages.withColumn("part", F.floor(F.col(order) / part_size).cast("int"))
-    lists = m.groupBy("trace_id", "part").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("channel_messages"))
+    part = F.lit(0) if part_size is None else F.floor(F.col(order) / part_size).cast("int")
+    lists = messages.withColumn("part", part).groupBy("trace_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("channel_messages"))
     return traces.join(lists, "trace_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
 

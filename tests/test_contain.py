@@ -71,14 +71,15 @@ def test_leak_check_rules(spark):
     assert {(x.event_id, x.field) for x in leak_check(e, v).collect()} == {(1, "ssn"), (1, "name"), (1, "email")}
 
 
-def test_semantic_paths_agree(spark):
+def test_semantic_equals_brute_force(spark):
     r = random.Random(3)
     vec = lambda: [r.gauss(0, 1) for _ in range(4)]
     e = spark.createDataFrame([("a" if i % 3 else "b", i, vec()) for i in range(60)], "scenario_id string, event_id long, embedding array<double>")
     v = spark.createDataFrame([("a" if i % 2 else "b", i, vec()) for i in range(40)], "scenario_id string, vault_id long, embedding array<double>")
-    pairs = lambda df: {(x.event_id, x.vault_id, round(x.similarity, 9)) for x in df.collect()}
-    a, b = pairs(semantic_match(e, v)), pairs(semantic_match(e, v, max_vectors=5))
-    assert a and a == b
+    for tau in (0.1, 0.72, 0.99):
+        got = {(x.event_id, x.vault_id) for x in semantic_match(e, v, tau=tau).collect()}
+        cos = lambda p, q: sum(x * y for x, y in zip(p, q)) / (sum(x * x for x in p) * sum(y * y for y in q)) ** 0.5
+        assert got == {(x.event_id, y.vault_id) for x in e.collect() for y in v.collect() if x.scenario_id == y.scenario_id and cos(x.embedding, y.embedding) >= tau}
 
 
 def test_fuzzy_equals_brute_force(spark):
