@@ -40,6 +40,8 @@ FORBIDDEN_FIELDS = [
 SENSITIVE_FIELDS = ["ssn", "diagnosis", "account_number", "salary", "treatment_plan", "credit_score"]
 
 CANARY_PREFIX = "CANARY_"
+#: (entity, number, pattern, score) of planted markers.
+MARKER_RECOGNIZERS = [("CANARY_TOKEN", 0, r"CANARY_[A-Z]+_[A-Z0-9]{8}", 1.0)]
 SENSITIVE_MARKERS = ["SENSITIVE_VALUE_", "PII_MARKER_", "PRIVATE_DATA_"]
 
 TIER2_PATTERNS = [

@@ -412,6 +412,26 @@ def skip_semantic(leaks: DataFrame, by=("scenario_id",), at_least: float = 0.95,
         F.count(F.lit(1)).alias("critical")).where(F.col("critical") >= n)
 
 
+def hybrid_detect(events: DataFrame, vault: DataFrame, policy: DataFrame | None = None, requests: DataFrame | None = None,
+                  recognizers=fl.MARKER_RECOGNIZERS) -> DataFrame:
+    """The whole chain from texts to leak rows: vault values, then marker patterns, one row per signature and scenario.
+
+    Vault hits and pattern hits become leak rows of one shape; of equal
+    signatures (field, channel, head of the value) the surest and first stays.
+    ``channel_results``, ``elr_wls_distinct`` and ``skip_semantic`` take the result.
+    """
+    from .pii import find_spans
+
+    exact = leak_check(events, vault, policy, requests).select(
+        "scenario_id", "event_id", F.lit(None).cast("string").alias("vault_field"), F.col("field").alias("entity"), F.col("value").alias("text"), "channel",
+        F.lit(1.0).alias("score"), F.startswith("value", F.lit(fl.CANARY_PREFIX)).alias("is_canary"))
+    spans = find_spans(events.select("scenario_id", "event_id", "channel", "text"), recognizers, flags="").select(
+        "scenario_id", "event_id", F.lit(None).cast("string").alias("vault_field"), "entity", F.col("match").alias("text"), "channel",
+        "score", F.startswith("match", F.lit(fl.CANARY_PREFIX)).alias("is_canary"))
+    rows = leak_rows(exact, "vault").unionByName(leak_rows(score_threshold(spans)))
+    return dedup_leaks(rows.withColumn("event_sequence", F.col("event_id")))
+
+
 # --- judge requests and verdicts ---------------------------------------------
 
 def judge_candidates(events: DataFrame, min_chars: int = 20) -> DataFrame:

@@ -174,4 +174,3 @@ def agent_activity(agents: DataFrame, messages: DataFrame, calls: DataFrame) ->
         *k, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sent", "received", "tool_calls")])
 
 
-PROTECTED_MARK = fl.CANARY_PREFIX

@@ -378,4 +378,3 @@ def channels_where(visibility=None, risk=None) -> list[str]:
     return [c[0] for c in ch.CHANNELS if (visibility is None or c[3] in visibility) and (risk is None or c[5] == risk)]
 
 
-PRICE_TABLE = de.PRICES

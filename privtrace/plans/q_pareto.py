@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as mx
 from ..operators import pareto as op
-from ..operators.reshape import extract_canaries
 from . import query
 from . import views as v
 from .q_metrics import MS, RUNS
@@ -72,6 +71,3 @@ def _(spark, d):
 def _(spark, d):
     e = v.live(spark, d).withColumn("seq", F.col("event_id"))
     return op.event_order(e, by=["framework"]).select("event_id", "leaks_so_far", "prev_seq", "is_first_leak")
-
-
-_ = extract_canaries

@@ -84,20 +84,22 @@ def _(spark, d):
     return op.resolve_overlaps(spans(spark, d, OVERLAP)).groupBy("entity").agg(F.count(F.lit(1)).alias("kept"), F.sum("start").alias("offsets"))
 
 
-@query("redact_values", "R5", sql("hv_event hv_vault hv_request hv_policy", f"""\n, l AS (SELECT event_id, value FROM ({LEAK_SQL}) WHERE field IN ('ssn', 'confidential_notes', 'credit_card'))
- SELECT e.event_id, md5(CASE WHEN l.v1 IS NULL THEN e.text ELSE replace(e.text, l.v1, '[REDACTED]') END) AS redacted_md5 FROM hv_event e
- LEFT JOIN (SELECT event_id, max(value) AS v1 FROM l GROUP BY 1) l ON e.event_id = l.event_id"""))
+# all values found in a text, longest first, replaced one after the other
+REPLACED = """, u AS (SELECT DISTINCT event_id, value FROM l), g AS (SELECT event_id, list(value ORDER BY length(value) DESC, value) AS vs FROM u GROUP BY 1)
+ SELECT e.event_id, md5(CASE WHEN g.vs IS NULL THEN e.text ELSE list_reduce(list_prepend(e.text, g.vs), lambda t, x: replace(t, x, '[REDACTED]')) END) AS redacted_md5
+ FROM hv_event e LEFT JOIN g ON e.event_id = g.event_id"""
+
+
+@query("redact_values", "R5", sql("hv_event hv_vault hv_request hv_policy", f"""\n, l AS (SELECT event_id, value FROM ({LEAK_SQL})) {REPLACED}"""))
 def _(spark, d):
-    lk = leaks_of(spark, d).where(F.col("field").isin("ssn", "confidential_notes", "credit_card")).select("event_id", "value", "field")
+    lk = leaks_of(spark, d).select("event_id", "value", "field")
     return op.redact_values(v.events(spark, d), lk).select("event_id", F.md5("redacted").alias("redacted_md5"))
 
 
-@query("redact_vault", "R5", sql("hv_event hv_vault", """\n, l AS (SELECT e.event_id, max(v.value) AS v1 FROM hv_event e JOIN hv_vault v ON e.scenario_id = v.scenario_id
-  AND v.field IN ('ssn', 'confidential_notes', 'credit_card') AND contains(e.text, v.value) GROUP BY 1)
- SELECT e.event_id, md5(CASE WHEN l.v1 IS NULL THEN e.text ELSE replace(e.text, l.v1, '[REDACTED]') END) AS redacted_md5 FROM hv_event e LEFT JOIN l ON e.event_id = l.event_id"""))
+@query("redact_vault", "R5", sql("hv_event hv_vault", f"""\n, l AS (SELECT e.event_id, v.value FROM hv_event e JOIN hv_vault v ON e.scenario_id = v.scenario_id
+  AND length(v.value) >= 4 AND contains(e.text, v.value)) {REPLACED}"""))
 def _(spark, d):
-    secrets = v.vault(spark, d).where(F.col("field").isin("ssn", "confidential_notes", "credit_card"))
-    return op.redact_vault(v.events(spark, d), secrets).select("event_id", F.md5("redacted").alias("redacted_md5"))
+    return op.redact_vault(v.events(spark, d), v.vault_table(spark, d)).select("event_id", F.md5("redacted").alias("redacted_md5"))
 
 
 @query("sanitize_named", "R6", sql("hv_event_ascii", f"SELECT event_id, md5({sub_sql('text', de.NAMED_PATTERNS)}) AS sanitized_md5 FROM hv_event_ascii"))
