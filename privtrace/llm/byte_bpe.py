@@ -34,7 +34,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixCoder:
-    """Encodes bytes by rank; ``last[i]`` is the last token of the first i bytes."""
+    """Encodes bytes by rank; ``last[i]`` is the last token of the first i bytes.
+
+    Ranks have to be in merge order, as learning gives them: a token is made of
+    tokens of lower rank.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
