@@ -23,7 +23,7 @@ outside c; or the pair passes with k = 0, which needs a y smaller than c, found
 by size. Only pairs that pass the bound are verified. No candidate is lost: two
 classes of one bucket are joined already, ruled out by the bound, or verified.
 A pair of similarity 0.8 shares no band with a probability of
-(1 - 0.8**6)**48 = 5e-7; nothing else is approximate but the 64-bit names of shingles.
+(1 - 0.8**5)**40 = 1e-7; nothing else is approximate but the 64-bit names of shingles.
 
 Cases: null and empty texts, and texts without a word, have no shingle, are
 linked with nothing and are kept. A text of fewer words than ``width`` has one
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .rows import components, map_texts, texts
 
-ROWS = 6
-BANDS = 48
+ROWS = 5
+BANDS = 40
 COORDS = ROWS * BANDS
 THRESHOLD = 80
 
@@ -147,12 +147,6 @@ def linked(a: bytes, b: bytes, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     import pyarrow as pa
@@ -163,10 +157,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield r.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return _with_sets(pairs, sets).mapInArrow(run, f"a {kind}, b {kind}")
+    x = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _compare(stars: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _compare(sets: DataFrame, threshold: int) -> DataFrame:
     """Centres a and members b: their sizes, whether they are linked, how much of a is missing in b, and what b has besides."""
     import pyarrow as pa
 
@@ -184,16 +181,22 @@ def _compare(stars: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 [r.column("a"), r.column("b"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                 names=["a", "b", "na", "nb", "linked", "missing", "extra"])
 
-    kind = stars.schema["a"].dataType.simpleString()
-    return _with_sets(stars, sets).mapInArrow(
+    kind = sets.schema["a"].dataType.simpleString()
+    centres = sets.where("a = b").select("a", F.col("set").alias("x")).dropDuplicates(["a"])
+    both = sets.where("a <> b").withColumnRenamed("set", "y").join(centres, "a")
+    return both.select("a", "b", "x", "y").mapInArrow(
         run, f"a {kind}, b {kind}, na long, nb long, linked boolean, missing long, extra array<long>")
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The sets of the classes in ``pairs``, written to the shared folder."""
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    rows = docs.join(need, docs.doc_id == need.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    return cut(map_texts(rows, "set binary", _sets(width)).dropDuplicates(["rep"]), "sets")
+def _sets_of(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
+    """(a, b, set): the set of every member b beside its centre a, and of every centre beside itself; written to the shared folder.
+
+    The texts are dealt out by id once. The pairs grow with the data and are
+    not to be broadcast, however few they are.
+    """
+    need = stars.select("a", "b").union(stars.select("a", F.col("a"))).distinct()
+    rows = docs.join(need.hint("merge"), docs.doc_id == need.b).select("a", "b", "text")
+    return cut(map_texts(rows, "set binary", _sets(width)), "sets")
 
 
 #: Sizes of one class differ by less than this factor.
@@ -247,9 +250,9 @@ def near_dedup(
     rows = texts(docs, id_col, text_col)
     sketched = cut(map_texts(rows, "n_shingles long, name binary, bands array<long>", _sketcher(width)), "sketches")
     some = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    classes = cut(some.groupBy("name").agg(F.min("doc_id").alias("rep")), "classes")
     banded = (some.join(classes, (some.name == classes.name) & (F.col("doc_id") == F.col("rep")))
-              .select("rep", "n", F.explode("bands").alias("key")))
+              .select("rep", F.explode("bands").alias("key")))
     several = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut(banded.join(several, "key"), "buckets")
     popular = shared.groupBy("rep").agg(F.sum("members").alias("popularity"))
@@ -257,12 +260,13 @@ def near_dedup(
     centre = ranked.groupBy("key").agg(F.max(F.struct("popularity", "rep")).alias("top")).select("key", F.col("top.rep").alias("c"))
     stars = cut(shared.select("key", "rep").join(centre, "key").where("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     sets = _sets_of(rows, stars, width)
-    compared = cut(_compare(stars, sets, threshold), "compared")
+    compared = cut(_compare(sets, threshold), "compared")
     links = compared.where("linked").select("a", "b")
     label = cut(components(links), "components")
     more = cut(_open_pairs(compared, label, threshold), "pairs")
     if not more.isEmpty():
-        label = cut(components(links.union(_verify(more, sets, threshold))), "components")
+        named = sets.select(F.col("b").alias("rep"), "set").dropDuplicates(["rep"])
+        label = cut(components(links.union(_verify(more, named, threshold))), "components")
 
     of_class = classes.join(label, F.col("rep") == F.col("node"), "left").select(
         F.col("name").alias("__name"), F.coalesce("component", "rep").alias("component_id"))
