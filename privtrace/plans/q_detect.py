@@ -73,14 +73,14 @@ def _(spark, d):
 
 
 @query("infer_leak_channels", "D3", sql("hv_event hv_vault", """\n, x AS (SELECT e.event_id, lower(e.text) AS low, e.event_id % 2 = 0 AS verbose_, e.event_id % 3 = 0 AS tools, e.event_id % 5 = 0 AS mem,
- EXISTS (SELECT 1 FROM hv_vault v WHERE v.scenario_id = e.scenario_id AND v.field = 'ssn' AND contains(e.text, v.value)) AS leaked FROM hv_event e)
+ EXISTS (SELECT 1 FROM hv_vault v WHERE v.scenario_id = e.scenario_id AND length(v.value) >= 4 AND contains(e.text, v.value)) AS leaked FROM hv_event e)
  SELECT event_id, CASE WHEN NOT leaked THEN '' ELSE
   (CASE WHEN verbose_ AND (contains(low, 'thought') OR contains(low, 'reasoning') OR contains(low, 'step')) THEN 'C2,' ELSE '' END) ||
   (CASE WHEN tools AND (contains(low, 'action') OR contains(low, 'tool') OR contains(low, 'command')) THEN 'C3,' ELSE '' END) ||
   (CASE WHEN mem THEN 'C5,' ELSE '' END) || 'C1' END AS channels FROM x"""))
 def _(spark, d):
     ev = v.events(spark, d)
-    hit = op.leak_check_forbidden(ev, v.vault_table(spark, d), fields=["ssn"], case_sensitive=True).select("event_id").distinct().withColumn("h", F.lit(True))
+    hit = op.leak_check(ev, v.vault_table(spark, d), case_sensitive=True).select("event_id").distinct().withColumn("h", F.lit(True))
     i = F.col("event_id")
     return ev.join(hit, "event_id", "left").select("event_id", F.array_join(op.infer_leak_channels(
         "text", F.coalesce("h", F.lit(False)), i % 2 == 0, i % 3 == 0, i % 5 == 0), ",").alias("channels"))

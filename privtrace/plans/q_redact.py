@@ -242,11 +242,12 @@ def _(spark, d):
     return r6(op.expected_leaks_after_defense(leaks, de.dim_defense(spark)))
 
 
-@query("mitigate", "R19", sql("hv_event_ascii hv_vault", f"""\n, l AS (SELECT e.event_id, max(v.value) AS v1 FROM hv_event_ascii e JOIN hv_vault v ON e.scenario_id = v.scenario_id AND v.field = 'ssn' AND contains(e.text, v.value) GROUP BY 1),
- m AS (SELECT e.event_id, e.text AS orig, CASE WHEN v1 IS NULL THEN e.text ELSE replace(e.text, v1, '[REDACTED]') END AS text FROM hv_event_ascii e LEFT JOIN l ON e.event_id = l.event_id)
+@query("mitigate", "R19", sql("hv_event_ascii hv_vault", f"""\n, l AS (SELECT DISTINCT e.event_id, v.value FROM hv_event_ascii e JOIN hv_vault v ON e.scenario_id = v.scenario_id AND length(v.value) >= 4 AND contains(e.text, v.value)),
+ g AS (SELECT event_id, list(value ORDER BY length(value) DESC, value) AS vs FROM l GROUP BY 1),
+ m AS (SELECT e.event_id, e.text AS orig, CASE WHEN vs IS NULL THEN e.text ELSE list_reduce(list_prepend(e.text, vs), lambda t, x: replace(t, x, '[REDACTED]')) END AS text FROM hv_event_ascii e LEFT JOIN g ON e.event_id = g.event_id)
  SELECT event_id, md5({SAN}) AS final_md5, text <> orig AS value_filtered, {SAN} <> text AS pattern_filtered FROM m"""))
 def _(spark, d):
-    from ..operators.detect import leak_check_forbidden
+    from ..operators.detect import leak_check
     ev = v.events_ascii(spark, d)
-    lk = leak_check_forbidden(ev, v.vault_table(spark, d), fields=["ssn"], case_sensitive=True)
+    lk = leak_check(ev, v.vault_table(spark, d), case_sensitive=True)
     return op.mitigate(ev, lk).select("event_id", F.md5("final_text").alias("final_md5"), "value_filtered", "pattern_filtered")

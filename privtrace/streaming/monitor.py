@@ -153,8 +153,8 @@ def audit_gap_state(stream: DataFrame, timeout: str = "1 hour", delay: str = "10
 def late_events(stream: DataFrame, label: str = "late", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """(batch, rows, late): rows older than the newest event of all earlier batches minus the delay.
 
-    One small row per batch is written; the bound is read back from these rows,
-    so a restarted job goes on where it stopped.
+    One small row per batch is written, with the newest event so far; the next
+    batch reads it back, so a restarted job goes on where it stopped.
     """
     spark = stream.sparkSession
     out, ck = new_work_path(spark, label), new_work_path(spark, label + "-state")
@@ -162,14 +162,13 @@ def late_events(stream: DataFrame, label: str = "late", delay: str = "10 minutes
     schema = "batch bigint, n bigint, late bigint, newest bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = None
-        if batch_id > 0:
-            seen = spark.read.schema(schema).parquet(*[f"{out}/b={i}" for i in range(batch_id)]).agg(F.max("newest")).first()[0]
+        # the row before holds the newest event so far
+        seen = spark.read.schema(schema).parquet(f"{out}/b={batch_id - 1}").first()["newest"] if batch_id > 0 else None
         bound = F.lit(None).cast("bigint") if seen is None else F.lit(seen - us)
         t = F.unix_micros(ts)
         batch.agg(F.lit(batch_id).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("n"),
-                  F.count_if(F.coalesce(t < bound, F.lit(False))).alias("late"), F.max(t).alias("newest")
-                  ).coalesce(1).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
+                  F.count_if(F.coalesce(t < bound, F.lit(False))).alias("late"),
+                  F.greatest(F.max(t), F.lit(seen).cast("bigint")).alias("newest")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
     stream.writeStream.option("checkpointLocation", ck).foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/b=*").select("batch", "n", "late")
