@@ -578,8 +578,12 @@ def _texts(node: Node) -> list[Node]:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_chars: int = 200_000) -> Boosted:
     """Trees from at most ``max_pages`` pages of at most ``max_chars`` characters; pages of any length are extracted."""
     rows = texts(pages, id_col, html_col, "page_id").where((F.length("text") > 0) & (F.length("text") <= max_chars))
-    some = rows.select("text", F.xxhash64("page_id", "text").alias("h")).orderBy("h", "text").limit(max_pages)
-    return train([r.text for r in some.select("text").collect()])
+    # the bound is found on hashes alone, so that no task sends pages that are not taken
+    hashed = rows.select("text", F.xxhash64("page_id", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    return train(sorted(r.text for r in hashed.where(F.col("h") <= last).select("text").limit(max_pages).collect()))
 
 
 def main_text(pages: DataFrame, model: Boosted | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
