@@ -130,13 +130,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # lines that agree with another one in all but one part
     entries = F.explode(F.array(*[
-        F.struct(F.col(f"p{s}_{q}").alias("key"), (F.col("n") - s).alias("size"), F.lit(q).alias("part")) for s in (0, 1) for q in range(PARTS)]))
-    parts = firsts.where(F.col("n") >= min_chars).select("l1", "l2", "first", entries.alias("e")).select("l1", "l2", "first", "e.*")
+        F.struct(F.col(f"p{s}_{q}").alias("key"), ((F.col("n") - s) * PARTS + q).alias("code")) for s in (0, 1) for q in range(PARTS)]))
+    parts = firsts.where(F.col("n") >= min_chars).select("first.doc_id", "first.line_no", entries.alias("e")).select("doc_id", "line_no", "e.*")
     shared = parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    near = cut(parts.join(shared, "key").select("l1", "l2", "first.doc_id", "first.line_no", "size", "part").distinct(), "near")
+    near = parts.join(shared, "key").select("doc_id", "line_no", "code").distinct()
+    near = cut(near.select("doc_id", "line_no", F.floor(F.col("code") / PARTS).cast("int").alias("size"), (F.col("code") % PARTS).alias("part")), "near")
     own = near.select("doc_id", "line_no").distinct()
     at = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("line_no") == F.col("__no")]
-    wanted = cut(worded.join(own.select(F.col("doc_id").alias("__id"), F.col("line_no").alias("__no")), at, "left_semi")
+    # these rows grow with the data and are not to be broadcast, however few they are
+    wanted = cut(worded.join(own.select(F.col("doc_id").alias("__id"), F.col("line_no").alias("__no")).hint("merge"), at, "left_semi")
                  .dropDuplicates(["doc_id", "line_no"]), "lines")
     w = wanted.select(F.col("doc_id").alias("__id"), F.col("line_no").alias("__no"), "line")
     candidates = near.join(w, at).select("doc_id", "line_no", "size", "part", "line")
