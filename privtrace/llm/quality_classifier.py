@@ -139,8 +139,8 @@ def _bags():
                 for word, k in counted(text).items():
                     for b in features(word.decode()):
                         bag[b] += k
-                ids.append(np.fromiter(bag.keys(), np.int32, len(bag)).tobytes())
-                counts.append(np.fromiter(bag.values(), np.float32, len(bag)).tobytes())
+                ids.append(np.fromiter(bag.keys(), np.uint16, len(bag)).tobytes())
+                counts.append(np.minimum(np.fromiter(bag.values(), np.int64, len(bag)), 65535).astype(np.uint16).tobytes())
             return [ids, counts]
         return each
     return start
@@ -149,17 +149,19 @@ def _bags():
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Learn from at most ``max_rows`` labelled rows that are not held out.
 
-    Their features are counted in tasks, in at most ``BUCKETS`` numbers a row,
-    so what reaches the driver is bounded by rows, not by lengths of texts.
+    Their features are counted in tasks, in at most ``BUCKETS`` pairs of two
+    bytes each a row, so what reaches the driver in the one job is bounded by
+    rows, not by lengths of texts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the limit bounds what is broadcast
     rows = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = map_texts(rows, "ids binary, counts binary", _bags()).toLocalIterator(prefetchPartitions=True)
-    bags = sorted((r.doc_id, r.label, bytes(r.ids), bytes(r.counts)) for r in got)
-    return train([(np.frombuffer(i, np.int32), np.frombuffer(c, np.float32), label) for _, label, i, c in bags[:max_rows]])
+    # one row per id, even where rows repeat
+    got = map_texts(rows, "ids binary, counts binary", _bags()).groupBy("doc_id").agg(F.min(F.struct("label", "ids", "counts")).alias("b")).collect()
+    bags = sorted((r.doc_id, r.b.label, bytes(r.b.ids), bytes(r.b.counts)) for r in got)
+    return train([(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(c, np.uint16).astype(np.float32), label) for _, label, i, c in bags])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
