@@ -125,3 +125,41 @@ def test_quotas_sum():
     q = compose.quotas(1000)
     assert sum(n for *_, n in q) == 248 * 4 + 8 * 1 or sum(n for *_, n in q) <= 1000
     assert all(n >= 1 for *_, n in compose.quotas(3))
+
+
+def test_both_span_engines_agree_and_redaction_follows(spark):
+    from privtrace.operators import pii, redact
+    rows = [(1, "pt-123456 and mrn: 1234567 pin 1234"), (2, "PT-١٢٣٤٥٦ ١٢٣-45-6789"), (3, "é123-45-6789 Ünï 123-45-6789é Straße 12"),
+            (4, "Salary: $120,000\nDOB 01/02/1990 Mr Smith, john.doe@mail.org"), (5, ""), (6, None), (7, "IP 10.0.0.1 card 4111-1111-1111-1111")]
+    df = spark.createDataFrame(rows, "event_id long, text string")
+    a = sorted((r.event_id, r.entity, r.pattern_no, r.match) for r in pii.find_spans(df, threshold=0.0).collect())
+    b = sorted((r.event_id, r.entity, r.pattern_no, r.match) for r in pii.find_spans(df, threshold=0.0, offsets=True).collect())
+    assert a == b and a
+    found = {i for i, *_ in a}
+    from privtrace.dims import recognizers as rz
+    changed = {r.event_id for r in redact.redact_scan(df, rz.flat()).collect() if r.redactions}
+    assert changed == found and 1 in changed
+
+
+def test_verdicts_with_text_numbers(spark):
+    from privtrace.operators.detect import parse_verdict
+    rows = [(1, '{"score": 1.0}'), (2, 'so: {"score": "1", "confidence": "0.9"}'), (3, '{"score": 0, "leaks": [{"field_name": "ssn", "confidence": "0.9"}]}'),
+            (4, '{"score": 1, "overall_severity": "huge"}'), (5, '{"score": 1, "confidence": "much"}'), (6, "no json"), (7, None), (8, '{"has_leakage": true, "overall_severity": "high"}')]
+    got = {r.i: (r.is_leak, r.parsed, r.severity) for r in parse_verdict(spark.createDataFrame(rows, "i int, verdict string")).collect()}
+    assert got == {1: (True, True, "none"), 2: (True, True, "none"), 3: (True, True, "none"), 4: (False, False, "none"), 5: (False, False, "none"),
+                   6: (False, False, "none"), 7: (False, False, "none"), 8: (True, True, "high")}
+
+
+def test_numbers_of_any_length(spark):
+    from privtrace.functions import text as tx
+    rows = [("188000", "188,000"), ("7", "7"), ("1234567", "1,234,567"), ("007000", "7,000"), ("9" * 45, ",".join(["999"] * 15)), ("0", "0")]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "v string").select("v", tx.thousands("v").alias("t"))
+    assert {r.v: r.t for r in df.collect()} == dict(rows)
+
+
+def test_cached_verdicts(spark):
+    from privtrace.operators.detect import cached_verdicts, judge_dedupe
+    req = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "event_id long, cache_key string")
+    cache = spark.createDataFrame([("a", "{}")], "cache_key string, verdict string")
+    assert {r.event_id: r.verdict for r in cached_verdicts(req, cache).collect()} == {1: "{}", 2: "{}", 3: None}
+    assert [r.cache_key for r in judge_dedupe(req, cache).collect()] == ["b"]
