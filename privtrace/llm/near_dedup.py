@@ -182,7 +182,8 @@ def _compare(sets: DataFrame, threshold: int) -> DataFrame:
                 names=["a", "b", "na", "nb", "linked", "missing", "extra"])
 
     kind = sets.schema["a"].dataType.simpleString()
-    centres = sets.where("a = b").select("a", F.col("set").alias("x")).dropDuplicates(["a"])
+    # written, so that the join stands on shuffles that Spark can split where one centre has very many members
+    centres = cut(sets.where("a = b").select("a", F.col("set").alias("x")).dropDuplicates(["a"]), "centres")
     both = sets.where("a <> b").withColumnRenamed("set", "y").join(centres, "a")
     return both.select("a", "b", "x", "y").mapInArrow(
         run, f"a {kind}, b {kind}, na long, nb long, linked boolean, missing long, extra array<long>")
