@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .rows import map_texts, texts
 
 #: Pieces a Python worker remembers.
-KNOWN = 600_000
+KNOWN = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,7 +87,7 @@ class PrefixCoder:
                 limit, x = x, hx[1]
             else:
                 limit, y = y + 1, hy[0]  # the merge across lies left of b's own and wins a tie
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > 500_000:
             self._fits.clear()
         self._fits[a, b] = ok
         return ok

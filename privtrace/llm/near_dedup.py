@@ -49,7 +49,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 _VALUE = np.uint64(2**48 - 1)
 #: Words whose hashes a task remembers.
-_KNOWN = 500_000
+_KNOWN = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ GRAMS = (3, 4)
 EPOCHS = 8
 RATE = 0.4
 PREDICT = 0.3
-_KNOWN = 400_000
+_KNOWN = 150_000
 #: Stands for a repeated word; white space keeps it apart from all words.
 AGAIN = b" again "
 

@@ -29,7 +29,7 @@ from .rows import map_texts, texts
 BORDER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a Python worker remembers.
-KNOWN = 600_000
+KNOWN = 250_000
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
