@@ -1,8 +1,10 @@
-"""Line deduplication within an edit distance of 1: deletion neighbourhoods joined as hashed keys.
+"""Line deduplication within a bound of edits: deletion neighbourhoods and shared segments joined as hashed keys.
 
 A line goes if an earlier line, by (doc_id, line number), equals it or is
-within one edit (a character inserted, deleted or replaced). Equal lines meet
-in one aggregation of 128-bit keys. For the rest, two lines within one edit
+within the bound (characters inserted, deleted or replaced). The bound follows
+the length: ``edits`` for lines of ``min_chars`` characters or more,
+``short_edits`` for shorter ones; for two lines the smaller of theirs holds.
+Equal lines meet in one aggregation of 128-bit keys. Two lines within one edit
 have a common deletion variant: the same variant from the same place if a
 character was replaced, or one line is a variant of the other. So variants are
 emitted as hashed keys and equal ones joined. A bucket of replaced characters
@@ -17,9 +19,14 @@ instead of a character (two lines within one edit agree in all but one
 quarter), which takes eight keys a line. Only lines that share such a key emit
 variants, and only for the places inside that quarter.
 
+Under a bound k of two or more that serves the short lines, up to one character
+more than they have. The others are compared by segments: of k + 1 segments of the shorter line one stands unchanged in the other, and the places
+it can stand at follow from its number and the two lengths. Lines that share
+such a segment are verified, first against the earliest line of the segment and
+then, if still open, against all earlier ones.
+
 Cases: null and empty texts have one empty line. Lines without a word are never
-dropped. Lines of fewer than ``MIN_CHARS`` characters are compared for equality
-only. Documents with a null id have their lines compared after all others; of
+dropped. Documents with a null id have their lines compared after all others; of
 equal lines of one (doc_id, line number), which repeated rows bring, all stay
 or go together. An empty table gives an empty result.
 """
@@ -34,6 +41,8 @@ from .rows import WORD, texts
 
 MIN_CHARS = 20
 PARTS = 4
+#: The bounds of the query, for lines of MIN_CHARS characters or more and for shorter ones.
+EDITS, SHORT_EDITS = 2, 1
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
 
@@ -116,8 +125,59 @@ def _part_key(line: Column, size: Column, part: int) -> Column:
     return F.xxhash64(F.lit(part), size, F.substring(line, F.lit(1), first), tail)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_dropped, dropped (numbers of the dropped lines, from 0)."""
+def _segment_keys(line: Column, n: Column, edits: int, min_chars: int) -> dict[str, Column]:
+    """Hashes of the segments of a line and of the places where segments of a line up to ``edits`` shorter can stand.
+
+    Up to the first unchanged segment i there are at most i edits, behind it at
+    most edits - i, which bounds its shift from both ends. Null if the shorter
+    line would have fewer than ``min_chars`` characters.
+    """
+    out = {}
+    for less in range(edits + 1):
+        size = n - less
+        for i in range(edits + 1):
+            first, stop = F.floor(size * i / (edits + 1)).cast("int"), F.floor(size * (i + 1) / (edits + 1)).cast("int")
+            for shift in range(max(-i, less - edits + i), min(i, less + edits - i) + 1):
+                key = F.xxhash64(F.lit(i), size, F.substring(line, first + shift + 1, stop - first))
+                out[f"s{less}_{i}_{shift - less + edits}"] = F.when(size >= min_chars, key)
+    return out
+
+
+def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names: list[str], edits: int) -> DataFrame:
+    """Keys (l1, l2) of the lines of ``firsts`` that are not among ``settled`` and have an earlier line within ``edits``."""
+    # narrow rows while all keys are there; lines of equal l1 are told apart afterwards
+    entries = firsts.select("l1", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
+    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    found = cut(entries.join(shared, "key"), "segments")
+    lines = firsts.select("l1", "l2", "first").join(settled.withColumn("done", F.lit(True)), ["l1", "l2"], "left")
+    lines = lines.select("l1", "l2", "first", F.col("done").isNull().alias("open"))
+    entries = cut(found.join(lines, "l1"), "entries")
+    shared = entries.groupBy("key").agg(F.min("first").alias("earliest"), F.max(F.when(F.col("open"), F.col("first"))).alias("latest")).where("earliest < latest")
+    members = cut(entries.join(shared, "key").where(F.col("first") <= F.col("latest")).drop("latest"), "members")
+    own = members.select("l1", "l2").distinct().hint("merge")
+    wanted = cut(keyed.select("l1", "l2", "line").join(own, ["l1", "l2"], "left_semi").dropDuplicates(["l1", "l2"]), "segment_lines")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = wanted.select("l1", "l2", F.col("line").alias("a"))
+        b = wanted.select(F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("line").alias("b"))
+        return pairs.distinct().join(a, ["l1", "l2"]).join(b, ["o1", "o2"]).where(F.levenshtein("a", "b", edits).between(0, edits)).select("l1", "l2").distinct()
+
+    open_ = members.where("open AND earliest < first")
+    # of several lines at one place all are heads; they are as many as repeated rows make them
+    heads = members.where("first = earliest").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"))
+    near = cut(verified(open_.join(heads, "key").select("l1", "l2", "o1", "o2")), "near_heads")
+    rest = open_.join(near.hint("merge"), ["l1", "l2"], "left_anti").select("key", "l1", "l2", "first")
+    others = members.where("earliest < first").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("first").alias("other"))
+    return near.union(verified(rest.join(others, "key").where("other < first").select("l1", "l2", "o1", "o2")))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, short_edits: int = 0) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, dropped (numbers of the dropped lines, from 0).
+
+    ``edits`` is 1 or more, ``short_edits`` 0 or 1.
+    """
+    if edits < 1 or short_edits not in (0, 1):
+        raise ValueError("edits is 1 or more, short_edits 0 or 1")
     rows = texts(docs, id_col, text_col)
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     worded = lines.where(F.regexp_like("line", F.lit(WORD)))
@@ -125,13 +185,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = worded.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), F.col("line")), "n": n})
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     part_keys = {f"p{s}_{q}": _part_key(F.col("line"), n - s, q) for s in (0, 1) for q in range(PARTS)}
-    firsts = cut(keyed.withColumns(part_keys).groupBy("l1", "l2").agg(
-        F.min(order).alias("first"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in part_keys]), "firsts")
+    if edits > 1:  # segments find the longer lines' neighbours
+        part_keys = {name: F.when(n <= min_chars, key) for name, key in part_keys.items()}
+    segment_keys = _segment_keys(F.col("line"), n, edits, min_chars) if edits > 1 else {}
+    firsts = cut(keyed.withColumns(part_keys | segment_keys).groupBy("l1", "l2").agg(
+        F.min(order).alias("first"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in part_keys | segment_keys]), "firsts")
 
     # lines that agree with another one in all but one part
     entries = F.explode(F.array(*[
         F.struct(F.col(f"p{s}_{q}").alias("key"), ((F.col("n") - s) * PARTS + q).alias("code")) for s in (0, 1) for q in range(PARTS)]))
-    parts = firsts.where(F.col("n") >= min_chars).select("first.doc_id", "first.line_no", entries.alias("e")).select("doc_id", "line_no", "e.*")
+    parts = firsts.where((F.col("n") >= (0 if short_edits else min_chars)) & ((F.col("n") <= min_chars) | F.lit(edits == 1)))
+    parts = parts.select("first.doc_id", "first.line_no", entries.alias("e")).select("doc_id", "line_no", "e.*")
     shared = parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     near = parts.join(shared, "key").select("doc_id", "line_no", "code").distinct()
     near = cut(near.select("doc_id", "line_no", F.floor(F.col("code") / PARTS).cast("int").alias("size"), (F.col("code") % PARTS).alias("part")), "near")
@@ -161,9 +225,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = cut(checked, "copies")
 
     # a line stays if it is the first of its equals and no earlier line is near
-    first = firsts.select("l1", "l2", "first").join(
+    first = firsts.join(
         copies.select(F.col("doc_id").alias("__id"), F.col("line_no").alias("__no")),
         [F.col("first.doc_id").eqNullSafe(F.col("__id")), F.col("first.line_no") == F.col("__no")], "left")
+    if edits > 1:
+        settled = first.where("__no IS NOT NULL").select("l1", "l2").distinct()
+        far = cut(_near_earlier(firsts, settled, keyed, list(segment_keys), edits), "far_copies").withColumn("far", F.lit(True))
+        first = first.join(far, ["l1", "l2"], "left").withColumn("__no", F.coalesce("__no", F.when(F.col("far"), F.lit(0))))
     first = first.select("l1", "l2", F.when(F.col("__no").isNull(), F.col("first")).alias("first"))
     here = keyed.select("l1", "l2", "doc_id", "line_no")
     gone = here.join(first, ["l1", "l2"]).where(F.col("first").isNull() | (order != F.col("first"))).select("doc_id", "line_no")

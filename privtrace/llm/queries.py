@@ -88,5 +88,5 @@ def op4_token_counts(spark, d):
 
 @query()
 def op6_line_dedup(spark, d):
-    from .line_dedup import line_dedup
-    return line_dedup(read(spark, d, "documents"))
+    from .line_dedup import EDITS, SHORT_EDITS, line_dedup
+    return line_dedup(read(spark, d, "documents"), edits=EDITS, short_edits=SHORT_EDITS)

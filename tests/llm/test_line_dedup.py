@@ -71,3 +71,51 @@ def test_variant_keys_are_keys_of_the_variants(line, d):
     short = line[:i] + line[i + 1:]
     a, b = op.variant_keys(short, 0, 0, powers)
     assert (one[1 + i], two[1 + i]) == (a[0], b[0])
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_wider_bounds_match_brute_force(docs):
+    def limit(x, edits):
+        return edits if len(x) >= op.MIN_CHARS else 1
+
+    rng = random.Random(5)
+    base = [f"the quick brown fox jumps over {i * 37}" for i in range(8)] + ["short", "abc", "a" * 24, "ü" * 19 + "漢字🙂", "  "]
+    texts = []
+    for _ in range(70):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            x = rng.choice(base)
+            for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 5])):
+                p = rng.randrange(len(x) + 1)
+                x = rng.choice([x[:p] + rng.choice("aX ") + x[p:], x[:p] + x[p + 1:], x[:p] + "Z" + x[p + 1:]])
+            lines.append(x)
+        texts.append("\n".join(lines))
+    long = " ".join(f"word{i}" for i in range(80))
+    texts += [long, "X" + long[1:-1] + "Y"]
+    for edits in (2, 3):
+        seen, want = [], {}
+        for i, t in enumerate(texts):
+            want[i] = []
+            for k, x in enumerate(t.split("\n")):
+                if re.search(r"[^\x20\x09-\x0D]", x):
+                    if any(x == y or abs(len(x) - len(y)) <= edits and distance(x, y) <= min(limit(x, edits), limit(y, edits)) for y in seen):
+                        want[i].append(k)
+                    seen.append(x)
+        assert want[len(texts) - 1] == [0]
+        got = op.line_dedup(docs(list(enumerate(texts))), edits=edits, short_edits=1)
+        assert {r.doc_id: r.dropped for r in got.collect()} == want
+
+
+def test_query_takes_the_production_bounds(spark, tmp_path):
+    from privtrace.llm.queries import QUERIES
+    texts = ["a line of some length that stands here", "A line of some length that stands hero", "short one", "short ones"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_dropped for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
