@@ -18,7 +18,8 @@ the article, make the other features carry the same knowledge.
 
 Cases: null and empty html give an empty text and 0. Broken markup is read as
 browsers do where it matters: unclosed elements end with their parent, a new
-block closes an open paragraph, a comment, script or style without an end takes
+block closes an open paragraph, a head ends at what cannot stand in it, the end
+tag of a script-like element closes what is open inside, a comment, script or style without an end takes
 the rest. Pages of any length are read whole. Repeated rows give repeated
 results, an empty table an empty one.
 """
@@ -43,7 +44,9 @@ BINS = 32
 
 # fixed values: HTML's element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select option svg math canvas object head title".split())
+RAW = frozenset("script style noscript template iframe textarea select option head title annotation annotation-xml desc metadata".split())
+#: What can stand in a head; the first other element, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 TEXT_ONLY = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -104,6 +107,8 @@ def parse(page: str) -> Node:
         m = _MARKUP.search(page, at)
         stop = m.start() if m else n
         if stop > at:
+            if node.tag == "head" and not page[at:stop].isspace():
+                node = node.parent
             node.kids.append(Node("", node, page[at:stop]))
         if not m:
             break
@@ -116,13 +121,15 @@ def parse(page: str) -> Node:
             up = node
             while up.parent is not None and up.tag != tag:
                 # an end tag of an inline element doesn't reach beyond the block it stands in
-                if up.tag in BLOCK and tag not in BLOCK:
+                if up.tag in BLOCK and tag not in BLOCK and tag not in RAW:
                     up = root
                     break
                 up = up.parent
             if up.tag == tag and up.parent is not None:
                 node = up.parent
             continue
+        if node.tag == "head" and tag not in IN_HEAD:
+            node = node.parent
         if tag in BLOCK:  # a new block ends an open paragraph, with what is open in it
             up = node
             while up.parent is not None and up.tag not in BLOCK:

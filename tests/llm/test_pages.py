@@ -91,3 +91,23 @@ def test_url_model_fits_its_table(spark):
     assert right >= 0.95 * len(urls.LABELLED)
     new = spark.createDataFrame([(0, "http://best-casino.example/free-spins/win"), (1, "https://www.example.com/en/77.html")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in urls.filter_urls(new).collect()} == {0: "block", 1: "allow"}
+
+
+def test_heads_without_end_tag(model):
+    full = page(11)
+    for cut in (full.replace("</head>", ""), full.replace("</head><body>", ""), full.replace("</head><body>", "<head>"),
+                full.replace("</head>", "<noscript><img src=x><p>Switch scripts on</p></noscript>")):
+        assert op.extract([cut], model) == [wanted(full)]
+    assert "loose words" in op.render(op.parse("<head><title>T</title>loose words<p>more"), set())
+
+
+def test_raw_elements_end_at_their_end_tag(model):
+    for box in ("<noscript><p>Switch scripts on</noscript>", "<template><div><p>Not shown</template>", "<noscript><ul><li>Not shown</noscript>"):
+        assert op.extract([page(7, box)], model) == [wanted(page(7))], box
+
+
+def test_embedded_elements_keep_their_text(model):
+    for tag in ("math", "svg", "object", "canvas"):
+        html = page(8, f"<p>alpha beta gamma delta <{tag}>omega</{tag}> sigma alpha beta gamma delta</p>")
+        assert op.extract([html], model) == [wanted(html)], tag
+        assert "omega" in wanted(html)
