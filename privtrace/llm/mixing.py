@@ -90,11 +90,12 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
     The copy of a document at the edge of its source's budget holds its leading
-    words up to the budget. Documents that the mix does not take are absent. Of
+    words up to the budget; with ``whole`` it is taken whole, beyond the budget.
+    Documents that the mix does not take are absent. Of
     rows that repeat whole, each gets the largest share of them.
     """
     told = (mix(docs, **options).where("taken > 0")
@@ -105,9 +106,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     on = (F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size"))
           & F.col("source").cast("string").eqNullSafe(F.col("__source")))
     part = F.col("__taken") - F.col("__epochs") * F.col("__n")
+    if whole:
+        part = F.when(part > 0, F.col("__n")).otherwise(F.lit(0))
     copies = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("__epochs"), F.lit(1).cast("long"))), lambda i: F.col("__n"))
     copies = F.concat(F.when(F.col("__epochs") > 0, copies).otherwise(F.array().cast("array<bigint>")),
-                      F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+                      F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<bigint>")))
     out = mine.join(told, on).withColumn("__take", F.explode(copies))
     words = F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.col("__take").cast("int"))
     out = out.withColumn("text", F.when(F.col("__take") == F.col("__n"), F.col("text")).otherwise(F.array_join(words, "")))

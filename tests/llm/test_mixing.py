@@ -68,3 +68,21 @@ def test_no_words_and_empty(docs):
     assert mix(docs([])).collect() == []
     assert mixed_documents(docs([])).collect() == []
     assert len(mix(docs([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).collect()) == 3
+
+
+def test_whole_documents_are_never_cut(docs):
+    df = docs(rows())
+    texts = {(r.doc_id, r.text) for r in df.collect()}
+    assert any((r.doc_id, r.text) not in texts for r in mixed_documents(df).collect())
+    out = mixed_documents(df, whole=True).collect()
+    assert out and all((r.doc_id, r.text) in texts for r in out)
+    told = mix(df).collect()
+    want = sum(r.epochs + (r.taken > r.epochs * r.size) for r in told if r.taken > 0)
+    assert len(out) == want
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline
+    df = spark.createDataFrame([(i, f"a{i} " * (50 + i), "xyz"[i % 3]) for i in range(40)], "doc_id long, text string, source string")
+    texts = {r.text for r in df.collect()}
+    assert {r.text for r in corpus_pipeline.mix(spark, df, "").collect()} <= texts
