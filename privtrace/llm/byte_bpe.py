@@ -8,8 +8,9 @@ adds prefixes and changes none; after an edit the prefixes before it stand, and
 behind it only those are computed again until the stored tokens of one token
 length agree with the new ones.
 
-Texts are cut by the tokenizer's pattern, pieces are coded separately, and
-coded pieces are remembered in a table of bounded size per Python worker.
+Texts are cut by the tokenizer's pattern and pieces are coded separately; the
+chunks of ``chunks`` are coded once per block and remembered in a table of
+bounded size per Python worker.
 
 Cases: a null text counts as empty and has no token. Any other text, of any
 length, is coded whole. Repeated rows give repeated results, an empty table an
@@ -18,14 +19,18 @@ empty one.
 from __future__ import annotations
 
 import base64
+import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import ChunkCoder, ragged
 from .rows import map_texts, texts
 
-#: Pieces a Python worker remembers.
-KNOWN = 250_000
+#: Pairs of tokens that a coder remembers, in each of two halves.
+PAIRS = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,7 +50,9 @@ class PrefixCoder:
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._step = max(self.tokens, default=0) + 1
+        self._fits: dict[int, bool] = {}  # by a * step + b, in two halves
+        self._older: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte, (-1, -1) if merging never makes it."""
@@ -71,7 +78,10 @@ class PrefixCoder:
         those of a's right ends and b's left ends, walked from the latest made
         to the first. Of merges with equal rank the left one happens first.
         """
-        known = self._fits.get((a, b))
+        pair = a * self._step + b
+        known = self._fits.get(pair)
+        if known is None and (known := self._older.get(pair)) is not None:
+            self._fits[pair] = known
         if known is not None:
             return known
         x, y, limit, ok = a, b, 1 << 60, True
@@ -87,16 +97,16 @@ class PrefixCoder:
                 limit, x = x, hx[1]
             else:
                 limit, y = y + 1, hy[0]  # the merge across lies left of b's own and wins a tie
-        if len(self._fits) > 500_000:
-            self._fits.clear()
-        self._fits[a, b] = ok
+        if len(self._fits) >= PAIRS:
+            self._older, self._fits = self._fits, {}
+        self._fits[pair] = ok
         return ok
 
     def _last(self, data: bytes, last: list[int], i: int) -> int:
         get, tokens = self.ranks.get, self.tokens
         for n in range(min(i, self.longest), 0, -1):
             t = get(data[i - n:i])
-            if t is not None and self.halves(t) != (-1, -1) and (n == i or self.fits(last[i - n], t)):
+            if t is not None and self._made(t) and (n == i or self.fits(last[i - n], t)):
                 return t
         raise ValueError("a byte has no token")
 
@@ -106,10 +116,23 @@ class PrefixCoder:
     def extend(self, data: bytes, last: list[int], more: bytes) -> list[int]:
         """The prefix tokens of data + more, from those of data."""
         last, data = list(last), data + more
+        rank, longest, step, fits = self.ranks.get, self.longest, self._step, self.fits
         for i in range(len(last), len(data) + 1):
-            last.append(self._last(data, last, i))
+            near = self._fits
+            for start in range(max(0, i - longest), i):
+                t = rank(data[start:i])
+                # the pairs met most are looked up here, without a call
+                if t is not None and (not start or (near.get(last[start] * step + t) or fits(last[start], t))) and self._made(t):
+                    last.append(t)
+                    break
+            else:
+                raise ValueError("a byte has no token")
         return last
 
+    def _made(self, token: int) -> bool:
+        """Whether merging ever makes the token."""
+        return (self._halves[token] if token in self._halves else self.halves(token)) != (-1, -1)
+
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int], int]:
         """Replace data[start:stop]: the new bytes, their prefix tokens, and how many prefixes were computed."""
         out = data[:start] + new + data[stop:]
@@ -143,43 +166,40 @@ class PrefixCoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in one array, and by id where they start and how many they are."""
+        top = max(self.tokens, default=-1) + 1
+        sizes = np.array([len(self.tokens.get(i, b"")) for i in range(top)], np.int64)
+        return np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+_CODERS: dict[tuple, tuple] = {}
 
-_CODERS: dict[str, tuple] = {}
 
+def _coder(path: str, pattern: str | None = None):
+    """The coder of a rank file and its chunks, one per Python worker."""
+    if (path, pattern) not in _CODERS:
+        coder = PrefixCoder(load_ranks(path))
 
-def _coder(path: str):
-    """The coder of a rank file and its remembered pieces, one per Python worker."""
-    if path not in _CODERS:
-        _CODERS[path] = (PrefixCoder(load_ranks(path)), {})
-    return _CODERS[path]
+        def code(match: str) -> bytes:
+            tokens = coder.encode(match.encode())
+            return struct.pack(f"<{len(tokens)}I", *tokens)
+
+        # the cuts of a chunk hold for this pattern only; any other one cuts every text itself
+        sure = pattern in (None, _files("", None)[1])
+        _CODERS[path, pattern] = (coder, ChunkCoder(code, pattern or "", every_text=not sure))
+    return _CODERS[path, pattern]
 
 
 def encode_texts(batch: list[str], path: str, pattern) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    import struct
-
-    coder, known = _coder(path)
-    out = []
-    for text in batch:
-        ids = []
-        for piece in pattern.findall(text):
-            got = known.get(piece)
-            if got is None:
-                tokens = coder.encode(piece.encode())
-                got = struct.pack(f"<{len(tokens)}I", *tokens)
-                if len(piece) <= 64:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[piece] = got
-            ids.append(got)
-        out.append(b"".join(ids))
-    return out
+    return _coder(path, pattern.pattern)[1](batch)
 
 
 def _files(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
-    return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken") if path is None else path, public_tokenizers.PATTERN if pattern is None else pattern
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,19 +207,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = _files(path, pattern)
 
     def start():
-        import numpy as np
-        import regex
-
-        cut_up = regex.compile(pattern)
-        return lambda batch: [[np.frombuffer(b, "<u4").astype(np.int32) for b in encode_texts(batch, path, cut_up)]]
+        coder = _coder(path, pattern)[1]
+        return lambda batch: [[np.frombuffer(b, "<u4").astype(np.int32) for b in coder(batch)]]
 
     return map_texts(texts(docs, id_col, text_col), "ids array<int>", start)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ``bytes`` from doc_id and ``ids``; null ids count as none."""
-    import pyarrow as pa
-
     path, _ = _files(path, "")
 
     def run(batches):
@@ -219,16 +234,22 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
     def start():
         from hashlib import sha256
 
-        import numpy as np
-        import regex
-
-        cut_up = regex.compile(pattern)
+        ranks, coder = _coder(path, pattern)
+        spelled, starts, sizes = ranks.spelling()
 
         def each(batch: list[str]) -> list:
-            coder = _coder(path)[0]
-            coded = encode_texts(batch, path, cut_up)
-            back = [sha256(coder.decode(np.frombuffer(b, "<u4").tolist())).hexdigest() for b in coded]
-            return [[len(b) // 4 for b in coded], [sha256(b).hexdigest() for b in coded], back]
+            counts, sums, back = [], [], []
+            for ids, ends in coder.blocks(pa.array(batch, pa.string())):
+                n = sizes[ids]
+                decoded = ragged(spelled, starts[ids], n)
+                cuts = np.concatenate([[0], np.cumsum(n)])[ends]
+                at = was = 0
+                for end, cut in zip(ends.tolist(), cuts.tolist()):
+                    counts.append(end - at)
+                    sums.append(sha256(ids[at:end]).hexdigest())
+                    back.append(sha256(decoded[was:cut]).hexdigest())
+                    at, was = end, cut
+            return [counts, sums, back]
         return each
 
     return map_texts(texts(docs, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string", start)

@@ -90,3 +90,27 @@ def op4_token_counts(spark, d):
 def op6_line_dedup(spark, d):
     from .line_dedup import EDITS, SHORT_EDITS, line_dedup
     return line_dedup(read(spark, d, "documents"), edits=EDITS, short_edits=SHORT_EDITS)
+
+
+@query()
+def op11_token_files(spark, d):
+    from .token_files import token_files
+    return token_files(read(spark, d, "documents"))
+
+
+from .merkle import ORACLE_SQL as _MERKLE_SQL  # noqa: E402
+
+
+@query(_MERKLE_SQL)
+def op12_merkle(spark, d):
+    from .merkle import merkle_manifest
+    return merkle_manifest(read(spark, d, "documents"))
+
+
+from .spelling import ORACLE_SQL as _SPELLING_SQL  # noqa: E402
+
+
+@query(_SPELLING_SQL)
+def op13_spelling(spark, d):
+    from .spelling import spelling_variants
+    return spelling_variants(read(spark, d, "documents"))

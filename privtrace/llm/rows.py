@@ -47,8 +47,8 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str
     return df.mapInArrow(run, out)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Add the sum of ``value`` over the earlier rows of the same keys, for groups of any size.
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str | None = None) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of the same keys (and over all of them as ``total``), for groups of any size.
 
     The rows are dealt into ranges of (keys, order), so that a key with a third
     of all rows covers many tasks. A row of totals per key and range gives each
@@ -60,7 +60,10 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, na
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (ranged.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
               .withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))))
-    s = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "__start")
+    if total:
+        starts = starts.withColumn(total, F.sum("__sum").over(Window.partitionBy(*keys)))
+    s = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "__start",
+                      *[total] * bool(total))
     on = F.col("__range") == F.col("__r")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
