@@ -42,6 +42,33 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[at]
 
 
+def byte_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[pa.Array]:
+    """Runs of consecutive texts of about ``size`` bytes; a longer text is a run of its own."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of each word, its text's row, the distinct words): words as ``WORD`` in ``rows`` has them."""
+    t = texts.cast(pa.large_binary())
+    ends = np.frombuffer(t.buffers()[1], np.int64)[t.offset:t.offset + len(t) + 1]
+    data = np.frombuffer(t.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy() if t.buffers()[2] is not None else np.zeros(0, np.uint8)
+    data[(data >= 9) & (data <= 13)] = 32
+    plain = pa.Array.from_buffers(pa.large_binary(), len(t), [None, pa.py_buffer(np.ascontiguousarray(ends - ends[0])), pa.py_buffer(data)])
+    lists = pc.split_pattern(plain, b" ")
+    found = lists.flatten().dictionary_encode()
+    number, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+    row = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
+    if b"" in words:
+        full = number != words.index(b"")
+        number, row = number[full], row[full]
+    return number, row, words
+
+
 class ChunkCoder:
     """Codes texts through ``code``, which maps one match of the pattern to the bytes of its ids.
 
@@ -60,13 +87,8 @@ class ChunkCoder:
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ends) of blocks of consecutive texts: ends[i] is where the ids of a block's text i end."""
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        ends, at = np.cumsum(sizes), 0
-        while at < len(sizes):
-            done = int(ends[at - 1]) if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
-            yield self._block(texts.slice(at, stop - at))
-            at = stop
+        for block in byte_blocks(texts):
+            yield self._block(block)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""

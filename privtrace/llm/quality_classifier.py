@@ -5,8 +5,10 @@ character n-grams of the word with its borders, hashed into one table; a word
 that repeats the one before it is one feature of its own. A
 softmax layer over the mean gives the classes. The table and the layer are
 learned together by plain stochastic gradient descent in numpy, on a bounded
-sample of labelled rows. Each word's features enter the score as one sum, so a
-task scores a word once and remembers it; the whole text counts.
+sample of labelled rows. Each word's features enter the score as one sum, so
+the distinct words of a block of texts are scored once, all together in numpy;
+the whole text counts. In the fit a text with more than 65,535 of one feature
+keeps the shares of its features, rounded.
 
 Labels, language, source and id never enter a score; the id only decides which
 labelled rows are held out (crc32 of the id as text, modulo 5, is 0).
@@ -22,9 +24,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import byte_blocks, numbered_words, ragged
 from .rows import map_texts, texts
 
 #: Labelled rows that the fit uses at most, the first by a hash of their id.
@@ -36,35 +40,46 @@ GRAMS = (3, 4)
 EPOCHS = 8
 RATE = 0.4
 PREDICT = 0.3
-_KNOWN = 150_000
 #: Stands for a repeated word; white space keeps it apart from all words.
 AGAIN = b" again "
 
 
-def features(word: str) -> list[int]:
-    """Hashed buckets of a word and of its character n-grams."""
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of every feature of some words: the word itself and its character n-grams."""
     from zlib import crc32
 
-    if word == AGAIN.decode():
-        return [crc32(AGAIN) % BUCKETS]
-    w = f"<{word}>"
-    out = [crc32(w.encode()) % BUCKETS]
+    which = [np.arange(len(words))]
+    bucket = [np.fromiter((crc32(w) % BUCKETS for w in words), np.int64, len(words))]
+    # the n-grams of all words are hashed together
+    bordered = [f"<{w.decode()}>" if w != AGAIN else "" for w in words]
+    points = np.frombuffer("".join(bordered).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, bordered), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
     for n in GRAMS:
-        out += [crc32(w[i:i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+        many = np.maximum(sizes - n + 1, 0)
+        at = ragged(np.arange(len(points)), starts, many)
+        h = np.full(len(at), n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = (h ^ points[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        which.append(np.repeat(np.arange(len(words)), many))
+        bucket.append((h % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(which), np.concatenate(bucket)
+
+
+def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers, rows and distinct words; a word that repeats the one before it counts as ``AGAIN`` instead."""
+    number, row, words = numbered_words(texts)
+    again = np.zeros(len(number), bool)
+    again[1:] = (number[1:] == number[:-1]) & (row[1:] == row[:-1])
+    return np.where(again, len(words), number), row, [*words, AGAIN]
 
 
 def counted(text: str) -> dict[bytes, int]:
-    """How often each word stands in a text; a word that repeats the one before it counts as ``AGAIN`` instead."""
-    from collections import Counter
-
-    words = text.encode().split()  # bytes split at the six ASCII white-space characters
-    out = Counter(words)
-    again = [w for before, w in zip(words, words[1:]) if before == w]
-    if again:
-        out.subtract(again)
-        out[AGAIN] = len(again)
-    return out
+    """How often each word stands in one text."""
+    number, _, words = word_counts(pa.array([text], pa.string()))
+    return {words[i]: int(n) for i, n in zip(*np.unique(number, return_counts=True))}
 
 
 @dataclass
@@ -74,25 +89,18 @@ class Model:
     gain: np.ndarray
     bias: float
 
-    def scores(self, batch: list[str], known: dict) -> list[float]:
-        from math import exp
-
+    def scores(self, batch: list[str]) -> np.ndarray:
         out = []
-        for text in batch:
-            total, n = 0.0, 0
-            for word, k in counted(text).items():
-                got = known.get(word)
-                if got is None:
-                    ids = features(word.decode())
-                    got = (float(self.gain[ids].sum()), len(ids))
-                    if len(known) >= _KNOWN:
-                        known.clear()
-                    known[word] = got
-                total += k * got[0]
-                n += k * got[1]
-            margin = self.bias + (total / n if n else 0.0)
-            out.append(1 / (1 + exp(-max(-700.0, min(700.0, margin)))))
-        return out
+        for texts_ in byte_blocks(pa.array(batch, pa.string())):
+            number, row, words = word_counts(texts_)
+            which, bucket = features(words)
+            gain = np.bincount(which, self.gain[bucket], len(words))
+            many = np.bincount(which, minlength=len(words))
+            total = np.bincount(row, gain[number], len(texts_))
+            n = np.bincount(row, many[number], len(texts_))
+            margin = self.bias + np.divide(total, n, out=np.zeros(len(texts_)), where=n > 0)
+            out.append(1 / (1 + np.exp(-np.clip(margin, -700, 700))))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> Model:
@@ -128,22 +136,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and how often each occurs; beyond 16 bits all counts of the text are scaled down alike."""
+    number, _, words = word_counts(pa.array([text], pa.string()))
+    which, bucket = features(words)
+    times = np.bincount(number, minlength=len(words))
+    counts = np.bincount(bucket, times[which], BUCKETS)
+    ids = np.flatnonzero(counts)
+    counts = counts[ids]
+    if len(counts) and counts.max() > 65535:
+        counts = np.maximum(1, np.rint(counts * (65535 / counts.max())))
+    return ids.astype(np.uint16), counts.astype(np.uint16)
+
+
 def _bags():
-    def start():
-        from collections import Counter
-
-        def each(batch: list[str]) -> list:
-            ids, counts = [], []
-            for text in batch:
-                bag = Counter()
-                for word, k in counted(text).items():
-                    for b in features(word.decode()):
-                        bag[b] += k
-                ids.append(np.fromiter(bag.keys(), np.uint16, len(bag)).tobytes())
-                counts.append(np.minimum(np.fromiter(bag.values(), np.int64, len(bag)), 65535).astype(np.uint16).tobytes())
-            return [ids, counts]
-        return each
-    return start
+    def each(batch: list[str]) -> list:
+        got = [bag(t) for t in batch]
+        return [[i.tobytes() for i, _ in got], [c.tobytes() for _, c in got]]
+    return each
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
@@ -155,11 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
+    # labels of absent documents must not use up the sample
+    present = docs.select(F.col("doc_id").alias("__id"))
+    known = known.join(present, F.col("doc_id") == F.col("__id"), "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the limit bounds what is broadcast
     rows = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     # one row per id, even where rows repeat
-    got = map_texts(rows, "ids binary, counts binary", _bags()).groupBy("doc_id").agg(F.min(F.struct("label", "ids", "counts")).alias("b")).collect()
+    got = map_texts(rows, "ids binary, counts binary", _bags).groupBy("doc_id").agg(F.min(F.struct("label", "ids", "counts")).alias("b")).collect()
     bags = sorted((r.doc_id, r.b.label, bytes(r.b.ids), bytes(r.b.counts)) for r in got)
     return train([(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(c, np.uint16).astype(np.float32), label) for _, label, i, c in bags])
 
@@ -167,8 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     def start():
-        known: dict = {}
-        return lambda batch: [model.scores(batch, known)]
+        return lambda batch: [model.scores(batch)]
 
     out = map_texts(texts(docs, id_col, text_col), "score double", start)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
@@ -183,8 +195,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def start():
-        known: dict = {}
-        return lambda batch: [model.scores(batch, known)]
+        return lambda batch: [model.scores(batch)]
 
     mine = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     return map_texts(mine, "__score double", start, "__text").where(F.col("__score") >= PREDICT).select(docs.columns)
