@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import fields as fl
 from ..functions import text as tx
 from ..functions.text import col
+from .sorted_runs import sorted_runs
 from .contain import contains_join
 
 DATA_LEVEL = 2  # vault data counts as confidential
@@ -92,37 +94,52 @@ def match_tool_calls_greedy(expected: DataFrame, actual: DataFrame, by=("scenari
     expected: by.., tool, call_no, args map, dynamic array; actual: by.., tool,
     call_no (unique per agent), args map. First come, first served in call order.
 
-    An expected call can lose at most n - 1 of its candidates to the n - 1 other
-    expected calls of its agent and tool, so its first n candidates decide. They
-    are found with a join and a ranked cut; the sequential part then sees only
-    the ground truth (a definition of some calls per agent), never the log.
+    Expected calls with the same arguments have the same candidates, so these
+    are found once per form, not once per call. A call can lose at most n - 1
+    candidates to the n - 1 other expected calls of its agent and tool: the
+    first n of each form decide. The sequential rule then runs over sorted rows,
+    candidates first, with one pointer per form; it sees the ground truth and as
+    many candidates of a form, never the log.
     """
     by = list(by)
     keys = [*by, "tool"]
+    form = F.md5(F.concat_ws("|", F.to_json(F.array_sort(F.map_entries("args"))), F.to_json(F.array_sort("dynamic"))))
+    e = expected.withColumn("__form", F.coalesce(form, F.lit("")))
+    forms = e.groupBy(*keys, "__form").agg(F.any_value("args").alias("args"), F.any_value("dynamic").alias("dynamic"))
     n = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    e = expected.join(n, keys)
     a = actual.select(*keys, F.col("call_no").alias("__a"), F.col("args").alias("__args"))
     fits = F.forall(F.map_entries("args"), lambda kv: F.map_contains_key("__args", kv["key"]) & (
         F.array_contains("dynamic", kv["key"]) | (F.element_at("__args", kv["key"]) == kv["value"])))
-    rank = F.row_number().over(Window.partitionBy(*keys, "call_no").orderBy("__a"))
-    # the literal bound lets Spark cut the candidates of each call before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*keys, "__form").orderBy("__a"))
+    # the literal bound lets Spark cut the candidates of each form before the shuffle
     most = n.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
-    first = (e.join(a, keys).where(fits).select(*keys, "call_no", "__n", "__a").withColumn("__r", rank)
+    first = (forms.join(n, keys).join(a, keys).where(fits).select(*keys, "__form", "__n", "__a").withColumn("__r", rank)
              .where(F.col("__r") <= most).where(F.col("__r") <= F.col("__n")))
-    cand = first.groupBy(*keys, "call_no").agg(F.array_sort(F.collect_list("__a")).alias("cand"))
-    todo = expected.select(*keys, "call_no").join(cand, [*keys, "call_no"], "left")
-    id_type = actual.schema["call_no"].dataType.simpleString()
-    no_type = expected.schema["call_no"].dataType.simpleString()
-    none = F.array().cast(f"array<{id_type}>")
-    queue = todo.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("call_no", F.coalesce("cand", none).alias("cand")))).alias("q"))
-    start = F.struct(none.alias("used"), F.array().cast(f"array<struct<call_no:{no_type},found:boolean>>").alias("out"))
-
-    def serve(acc, x):
-        free = F.filter(x["cand"], lambda c: ~F.array_contains(acc["used"], c))
-        return F.struct(F.concat(acc["used"], F.slice(free, 1, 1)).alias("used"),
-                        F.concat(acc["out"], F.array(F.struct(x["call_no"].alias("call_no"), (F.size(free) > 0).alias("found")))).alias("out"))
-
-    return queue.select(*keys, F.inline(F.aggregate("q", start, serve, lambda acc: acc["out"])))
+    rows = first.select(*keys, F.lit(False).alias("call"), F.col("__a").alias("candidate"),
+                        F.lit(None).cast(expected.schema["call_no"].dataType).alias("call_no"), F.col("__form").alias("form")).unionByName(
+        e.select(*keys, F.lit(True).alias("call"), F.lit(None).cast(actual.schema["call_no"].dataType).alias("candidate"), "call_no", F.col("__form").alias("form")))
+
+    def start():
+        lists: dict[str, list] = {}
+        at: dict[str, int] = {}
+        used = set()
+
+        def each(row):
+            is_call, candidate, call_no, name = row
+            if not is_call:
+                lists.setdefault(name, []).append(candidate)
+                return []
+            own, i = lists.get(name, ()), at.get(name, 0)
+            while i < len(own) and own[i] in used:
+                i += 1
+            if i < len(own):
+                used.add(own[i])
+            at[name] = i + 1
+            return [(call_no, i < len(own))]
+        return each
+
+    schema = T.StructType([T.StructField("call_no", expected.schema["call_no"].dataType), T.StructField("found", T.BooleanType())])
+    return sorted_runs(rows, keys, ["call", "candidate", "call_no", "form"], schema, start)
 
 
 def state_diff(pre: DataFrame, post: DataFrame, by=("scenario_id",)) -> DataFrame:

@@ -4,14 +4,10 @@ Points are (by.., name, cost, utility): cost should be low, utility high.
 """
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut
+from .layers import pareto_layers  # noqa: F401
 from .scan import running
 
 
@@ -73,50 +69,6 @@ def hypervolume(points: DataFrame, by=(), ref=(1.0, 0.0)) -> DataFrame:
     return points.select(*by).distinct().join(hv, by, "left").select(*by, F.coalesce("hypervolume", F.lit(0.0)).alias("hypervolume"))
 
 
-def pareto_layers(points: DataFrame, by=(), max_group: int = 500_000) -> DataFrame:
-    """Rank of every point: 1 = frontier, 2 = frontier of the rest, ...
-
-    The rank is the length of the longest chain of dominating points. Groups up
-    to ``max_group`` distinct (cost, utility) pairs are ranked in one sorted
-    sweep each; larger groups are peeled layer by layer with distributed
-    frontiers and a checkpoint per round. Both ways give the same ranks.
-    """
-    by = list(by)
-    distinct = points.select(*by, "cost", "utility").distinct()
-    keyed = distinct if by else distinct.withColumn("__g", F.lit(0))
-    keys = by or ["__g"]
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    big = sizes.where(F.col("__n") > max_group).drop("__n")
-    has_big = big.limit(1).count() > 0
-    small = keyed.join(big, keys, "left_anti") if has_big else keyed
-    schema = T.StructType([keyed.schema[c] for c in keys] + [keyed.schema["cost"], keyed.schema["utility"],
-                                                             T.StructField("layer", T.IntegerType())])
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cost", "utility"], ascending=[True, False])
-        best: list[float] = []  # negated highest utility per layer: rises with the layer
-        layers = []
-        for u in pdf["utility"]:
-            i = bisect_right(best, -u)
-            if i == len(best):
-                best.append(-u)
-            else:
-                best[i] = -u
-            layers.append(i + 1)
-        return pdf.assign(layer=pd.Series(layers, index=pdf.index, dtype="int32"))[[f.name for f in schema.fields]]
-
-    ranked = small.groupBy(*keys).applyInPandas(rank, schema)
-    if has_big:
-        rest, layer = cut(keyed.join(big, keys, "left_semi")), 1
-        while rest.limit(1).count():
-            top = cut(_steps(rest, keys))
-            ranked = ranked.unionByName(top.withColumn("layer", F.lit(layer)).select(*[f.name for f in schema.fields]))
-            rest, layer = cut(rest.join(top, [*keys, "cost", "utility"], "left_anti")), layer + 1
-    if not by:
-        ranked = ranked.drop("__g")
-    return points.join(ranked, [*by, "cost", "utility"])
-
-
 def optimal_point(points: DataFrame, by=(), max_cost=None, min_utility=None) -> DataFrame:
     """Frontier point nearest to (0, 1) among those that meet the limits."""
     f = pareto_frontier(points, by)

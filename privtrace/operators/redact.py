@@ -17,6 +17,7 @@ from ..functions.patterns import Machine
 from ..functions.text import col
 from .contain import ValueIndex
 from .pii import FLAGS
+from .sorted_runs import sorted_runs
 
 
 def sanitize(c, patterns=df_.SANITIZE_PATTERNS, token: str = df_.REDACTED) -> Column:
@@ -62,24 +63,31 @@ def replacement(entity, match, style: str = "placeholder", custom: str = "[REDAC
 def resolve_overlaps(spans: DataFrame, key: str = "event_id") -> DataFrame:
     """Spans left after overlaps are settled: higher score, then longer, then earlier wins.
 
-    Overlapping spans form clusters (a running maximum of the ends, cut where a
-    span starts beyond it); inside a cluster the best span stays and everything
-    that touches a kept span goes.
+    Spans come sorted by that rule, one text after the other; a span stays if it
+    touches none that stayed before. Those do not overlap, so a search among
+    their starts finds the only two that could touch it.
     """
-    w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    brk = F.when(F.col("start") < F.coalesce(F.max("end").over(w), F.lit(0)), 0).otherwise(1)
-    wk = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    cl = spans.withColumn("__b", brk).withColumn("__c", F.sum("__b").over(wk))
     rest = [c for c in spans.columns if c != key]
-    ranked = F.array_sort(F.collect_list(F.struct(
-        (-F.col("score")).alias("o1"), (F.col("start") - F.col("end")).alias("o2"), F.col("start").alias("o3"),
-        F.struct(*rest).alias("r"))))
-    packed = cl.groupBy(key, "__c").agg(ranked.alias("s"))
-    empty = F.filter("s", lambda x: F.lit(False))
-    kept = F.aggregate("s", empty, lambda acc, x: F.when(
-        F.exists(acc, lambda k: (x["r"]["start"] < k["r"]["end"]) & (k["r"]["start"] < x["r"]["end"])), acc
-    ).otherwise(F.concat(acc, F.array(x))))
-    return packed.select(key, F.explode(kept).alias("k")).select(key, *[F.col(f"k.r.{c}").alias(c) for c in rest])
+    at = {c: rest.index(c) for c in ("start", "end")}
+
+    def start():
+        starts: list[int] = []
+        ends: list[int] = []
+
+        def each(row):
+            lo, hi = row[at["start"]], row[at["end"]]
+            i = bisect_left(starts, hi)
+            # of those that begin before its end, the last one ends last
+            if i and ends[i - 1] > lo:
+                return []
+            starts.insert(i, lo)
+            ends.insert(i, hi)
+            return [row]
+        return each
+
+    order = [F.col("score").desc(), (F.col("start") - F.col("end")), "start", *[c for c in rest if c not in ("score", "start", "end")]]
+    schema = T.StructType([spans.schema[c] for c in rest])
+    return sorted_runs(spans, [key], order, schema, start).select(*[c for c in (key, *rest)])
 
 
 def redact_spans(events: DataFrame, spans: DataFrame, style: str = "placeholder", key: str = "event_id",

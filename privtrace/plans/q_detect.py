@@ -191,15 +191,14 @@ def _(spark, d):
 
 
 TIERS = r"""SELECT e.event_id, e.vertical, CASE
- WHEN contains(text, 'SENSITIVE_VALUE_') OR contains(text, 'PII_MARKER_') OR contains(text, 'PRIVATE_DATA_') OR EXISTS (SELECT 1 FROM hv_vault v WHERE v.scenario_id = e.scenario_id AND length(v.value) > 5 AND v.field IN ('ssn', 'salary') AND contains(e.text, v.value)) THEN 1
+ WHEN contains(text, 'SENSITIVE_VALUE_') OR contains(text, 'PII_MARKER_') OR contains(text, 'PRIVATE_DATA_') OR EXISTS (SELECT 1 FROM hv_vault v WHERE v.scenario_id = e.scenario_id AND length(v.value) > 5 AND contains(e.text, v.value)) THEN 1
  WHEN regexp_matches(text, '(?i)\b\d{3}-\d{2}-\d{4}\b') OR regexp_matches(text, '(?i)\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b') OR regexp_matches(text, '(?i)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b')
   OR regexp_matches(text, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') OR regexp_matches(text, '(?i)\b[A-Z]\d{2}(\.\d{1,2})?\b') OR regexp_matches(text, '(?i)\b\d{9,16}\b') THEN 2
  WHEN PHRASES THEN 3 ELSE NULL END AS tier FROM hv_event_ascii e""".replace("PHRASES", " OR ".join(f"contains(lower(text), '{w}')" for _, ws in fl.TIER3_PHRASES for w in ws))
 
 
 def waterfall(spark, d):
-    vault = v.vault(spark, d).where(F.col("field").isin("ssn", "salary"))
-    return op.tier_waterfall(v.events_ascii(spark, d), vault)
+    return op.tier_waterfall(v.events_ascii(spark, d), v.vault(spark, d))
 
 
 @query("tier_waterfall", "D13 D14", sql("hv_event_ascii hv_vault", f"SELECT event_id, coalesce(tier, 0) AS tier FROM ({TIERS})"))

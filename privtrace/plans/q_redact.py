@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..dims import defenses as de
+from ..dims import recognizers as rz
 from ..operators import pii
 from ..operators import redact as op
 from . import query
@@ -81,7 +82,22 @@ def _(spark, d):
 
 @query("resolve_overlaps", "R4")
 def _(spark, d):
-    return op.resolve_overlaps(spans(spark, d, OVERLAP)).groupBy("entity").agg(F.count(F.lit(1)).alias("kept"), F.sum("start").alias("offsets"))
+    """The whole catalogue, whatever the score; held against the greedy rule in the tests."""
+    return op.resolve_overlaps(spans(spark, d, rz.flat())).groupBy("entity").agg(F.count(F.lit(1)).alias("kept"), F.sum("start").alias("offsets"))
+
+
+@query("redact_catalogue", "R3 R4 R16")
+def _(spark, d):
+    """Every recognizer at once, overlaps settled; held against the greedy rule in the tests."""
+    return op.redact_scan(v.events_ascii(spark, d), rz.flat()).select(
+        "event_id", F.md5("redacted").alias("redacted_md5"), "redactions", "confidence", F.array_join("entities", ",").alias("entities"))
+
+
+@query("defend_catalogue", "R8 R9 R10 R11 R13 R14")
+def _(spark, d):
+    """Decisions by the whole catalogue on all channels."""
+    out = op.defend(v.events_ascii(spark, d), rz.flat(), block=True, internal=True, external=True)
+    return out.select("event_id", "action", "confidence", F.md5("final_text").alias("final_md5"))
 
 
 # all values found in a text, longest first, replaced one after the other

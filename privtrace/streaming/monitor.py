@@ -121,11 +121,20 @@ def agent_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10
 
 
 def leak_then_output(internal: DataFrame, output: DataFrame, within: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """An internal leak followed by an output of the same scenario within a time limit (interval join)."""
+    """An internal leak followed by an output of the same scenario within a time limit (interval join).
+
+    Time is cut into buckets as long as the limit. A leak enters its own bucket
+    and the next one, which is all its window touches; an output stands in one.
+    So a pair meets once, and a busy scenario is spread over its buckets.
+    """
+    us = int(pd.Timedelta(within).total_seconds() * 1_000_000)
+    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(us))
     a = internal.withWatermark("ts", delay).select(
         F.col("scenario_id").alias("a_scenario"), F.col("event_id").alias("leak_id"), F.col("ts").alias("leak_ts"))
-    b = output.withWatermark("ts", delay).select("scenario_id", F.col("event_id").alias("output_id"), F.col("ts").alias("output_ts"))
-    cond = F.expr(f"a_scenario = scenario_id AND output_ts > leak_ts AND output_ts <= leak_ts + interval {within}")
+    a = a.withColumn("a_bucket", F.explode(F.array(bucket("leak_ts"), bucket("leak_ts") + 1)))
+    b = output.withWatermark("ts", delay).select("scenario_id", F.col("event_id").alias("output_id"), F.col("ts").alias("output_ts"),
+                                                 bucket("ts").alias("bucket"))
+    cond = F.expr(f"a_scenario = scenario_id AND a_bucket = bucket AND output_ts > leak_ts AND output_ts <= leak_ts + interval {within}")
     return a.join(b, cond).select("scenario_id", "leak_id", "output_id",
                                   (F.unix_micros("output_ts") - F.unix_micros("leak_ts")).alias("lag_us"))
 
