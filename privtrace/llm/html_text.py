@@ -14,7 +14,9 @@ come from the pages' own semantic markup where it is unambiguous (inside
 ``article`` or ``main``, or inside ``nav``, ``footer``, ``aside``, ``form`` and
 their like). Copies of the sampled trees in which these tags are replaced by
 plain containers with usual class names, and in which boilerplate is put inside
-the article, make the other features carry the same knowledge.
+the article, make the other features carry the same knowledge. If no sampled
+page is marked in this way, the paragraphs of each stand for its article; if
+there is nothing to learn from at all, everything is kept.
 
 Cases: null and empty html give an empty text and 0. Broken markup is read as
 browsers do where it matters: unclosed elements end with their parent, a new
@@ -44,6 +46,8 @@ BINS = 32
 
 # fixed values: HTML's element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of these, the ones that part words.
+BREAKS = frozenset("br hr".split())
 RAW = frozenset("script style noscript template iframe textarea select option head title annotation annotation-xml desc metadata".split())
 #: What can stand in a head; the first other element, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -51,7 +55,7 @@ TEXT_ONLY = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 
-# fixed values: tokens of class, id and role that speak for or against main text
+# tokens of class, id and role that speak for or against main text
 GOOD = "article body content entry main post story text".split()
 BAD = ("ad ads advert advertisement alert author banner breadcrumb breadcrumbs bottom byline categories comment comments consent cookie cookies copyright "
        "date disqus footer form gdpr head header hidden legal links masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination "
@@ -62,7 +66,9 @@ TAGS = ("article main section div p h1 h2 h3 ul ol li table td pre blockquote sp
 MAIN_TAGS = frozenset(["article", "main"])
 SIDE_TAGS = frozenset("nav footer aside form header dialog menu button label fieldset search".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quoted value stands behind an equals sign only; no part of a tag is tried twice
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>", re.S)
+_ANY_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _ENDS = {t: re.compile(f"</{t}\\s*>", re.I) for t in TEXT_ONLY}
 _TOKEN = re.compile(r"[A-Za-z]+")
@@ -99,24 +105,54 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _HOLDS = frozenset("ul ol dl table body html article section div main".split())
 
 
+def _pieces(page: str):
+    """(end of the text, tag or None, start of the text) in page order, in time linear in the page.
+
+    Comments without an end, and script-like elements without one, take the
+    rest. A ``<`` that no ``>`` follows is text. If a tag's quotes leave it
+    without an end, that and all later tags end at their first ``>``.
+    """
+    begin = at = 0
+    n, last, loose = len(page), page.rfind(">"), False
+    while (i := page.find("<", at)) >= 0:
+        after = page[i + 1:i + 3]
+        if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:].isalpha():
+            whole = page.startswith("<!--", i)
+            end = page.find("-->" if whole else ">", i + (4 if whole else 1))
+            if end < 0 and not whole:
+                break
+            yield i, None, begin
+            begin = at = n if end < 0 else end + (3 if whole else 1)
+            continue
+        if not after.lstrip("/")[:1].isalpha() or not after.lstrip("/")[:1].isascii():
+            at = i + 1
+            continue
+        if i > last:
+            break
+        m = None if loose else _TAG.match(page, i)
+        if m is None:
+            loose, m = True, _ANY_TAG.match(page, i)
+        yield i, m, begin
+        begin = at = m.end()
+        tag = m[2].lower()
+        if not m[1] and tag in TEXT_ONLY:
+            end = _ENDS[tag].search(page, at)
+            begin = at = end.end() if end else n
+    yield n, None, begin
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = node = Node("#root", None)
-    at, n = 0, len(page)
-    while at < n:
-        m = _MARKUP.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            if node.tag == "head" and not page[at:stop].isspace():
+    n = len(page)
+    for stop, m, begin in _pieces(page):
+        if stop > begin:
+            if node.tag == "head" and not page[begin:stop].isspace():
                 node = node.parent
-            node.kids.append(Node("", node, page[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if not name:
+            node.kids.append(Node("", node, page[begin:stop]))
+        if m is None:
             continue
-        tag = name.lower()
+        tag = m[2].lower()
         if m[1]:
             up = node
             while up.parent is not None and up.tag != tag:
@@ -145,10 +181,7 @@ def parse(page: str) -> Node:
         new = Node(tag, node)
         _attributes(new, m[3])
         node.kids.append(new)
-        if tag in TEXT_ONLY:
-            end = _ENDS[tag].search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        if tag not in TEXT_ONLY and tag not in VOID and not m[3].endswith("/"):
             node = new
     return root
 
@@ -373,7 +406,7 @@ def render(root: Node, dropped: set[int]) -> str:
 
     def close() -> None:
         if run:
-            line = " ".join(_html.unescape("".join(run)).split())
+            line = " ".join("".join(run).split())
             if line:
                 lines.append(line)
             run.clear()
@@ -384,9 +417,9 @@ def render(root: Node, dropped: set[int]) -> str:
         if leave:
             close()
         elif not node.tag:
-            run.append(node.text)
+            run.append(_html.unescape(node.text))
         elif node.tag in VOID:
-            run.append(" ")
+            run.append(" " if node.tag in BREAKS else "")
         elif id(node) not in dropped and node.tag not in RAW:
             if node.tag in BLOCK:
                 close()
@@ -434,10 +467,14 @@ def marked(page: str) -> tuple[list[Node], list[Node]] | None:
 
 
 def _copy(node: Node, parent: Node | None) -> Node:
-    new = Node(node.tag, parent, node.text)
-    new.tokens, new.hidden = node.tokens, node.hidden
-    new.kids = [_copy(k, new) for k in node.kids]
-    return new
+    top = Node(node.tag, parent, node.text)
+    todo = [(node, top)]
+    while todo:
+        old, new = todo.pop()
+        new.tokens, new.hidden = old.tokens, old.hidden
+        new.kids = [Node(k.tag, new, k.text) for k in old.kids]
+        todo += zip(old.kids, new.kids)
+    return top
 
 
 def _box(tag: str, tokens: str, kids: list[Node]) -> Node:
@@ -464,9 +501,23 @@ _MAIN_BOXES = (
     ("article", "post"), ("div", "post"), ("section", ""), ("div", "text"))
 
 
-def variants(page: str, rng: np.random.Generator, spare: list[str]) -> list[tuple[Node, dict[int, int]]]:
-    """Trees made from a page's parts, with the label of every element that has one."""
+def paragraphs(page: str) -> list[Node]:
+    """The texts of a page's paragraphs, or of its longer pieces where it has none."""
+    root = parse(page)
+    texts_ = [" ".join(_html.unescape(n.text).split()) for n in _texts(root)]
+    inside = [" ".join(_html.unescape(n.text).split()) for n in _texts(root) if n.parent is not None and n.parent.tag == "p"]
+    return [_words(t) for t in inside or [t for t in texts_ if len(t) >= 40] if t]
+
+
+def variants(page: str, rng: np.random.Generator, spare: list[str], unmarked: bool = False) -> list[tuple[Node, dict[int, int]]]:
+    """Trees made from a page's parts, with the label of every element that has one.
+
+    A page without markup has none, unless its paragraphs are to stand for the article (``unmarked``).
+    """
     parts = marked(page)
+    if parts is None and unmarked:
+        body = paragraphs(page)
+        parts = (body, []) if body else None
     if parts is None:
         return []
     body, sides = parts
@@ -560,14 +611,17 @@ def train(pages: list[str], seed: int = 5) -> Boosted:
             text = " ".join(_html.unescape(n.text) for n in _texts(kid)).strip()
             spare += [text[:600]] if text else []
     x, y = [], []
-    for p in pages:
-        for root, label in variants(p, rng, spare or ["text"]):
-            listed = settle(root)
-            known = [label.get(id(n.kids[0] if n.tag == _LOOSE else n), -1) for n, _, _ in listed]
-            x.append(matrix(listed)[np.array(known) >= 0])
-            y += [k for k in known if k >= 0]
+    for unmarked in (False, True):
+        if y:
+            break
+        for p in pages:
+            for root, label in variants(p, rng, spare or ["text"], unmarked):
+                listed = settle(root)
+                known = [label.get(id(n.kids[0] if n.tag == _LOOSE else n), -1) for n, _, _ in listed]
+                x.append(matrix(listed)[np.array(known) >= 0])
+                y += [k for k in known if k >= 0]
     if not y:
-        return Boosted(0.0, *(np.zeros((0, 1), k) for k in (np.int64, np.float64, np.int64, np.float64)))
+        return Boosted(1.0, *(np.zeros((0, 1), k) for k in (np.int64, np.float64, np.int64, np.float64)))
     return boost(np.concatenate(x), np.array(y, np.float64))
 
 

@@ -167,8 +167,8 @@ class BiIndex:
             state = tuple(np.concatenate([p[i] for p in parts]) for i in range(6))
         a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        if not len(a):
-            return a, b
+        # the text is a circle: its last delimiter and its first one would be an empty word
+        a, b = a[b >= 0], b[b >= 0]
         pairs = np.unique(a.astype(np.int64) * (len(self.word_at) + 1) + b)
         return pairs // (len(self.word_at) + 1), pairs % (len(self.word_at) + 1)
 

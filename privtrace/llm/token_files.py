@@ -126,6 +126,8 @@ class SequenceFile:
             values = self._load(start // size).column("ids").values.to_numpy(zero_copy_only=True)
             at = start % size
             view = values[at:at + n]
+            if not len(view):
+                raise IndexError("beyond the end of the file")
             yield view
             start, n = start + len(view), n - len(view)
 
