@@ -30,7 +30,7 @@ from .chunks import ChunkCoder, ragged
 from .rows import map_texts, texts
 
 #: Pairs of tokens that a coder remembers, in each of two halves.
-PAIRS = 250_000
+PAIRS = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -237,9 +237,9 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
         ranks, coder = _coder(path, pattern)
         spelled, starts, sizes = ranks.spelling()
 
-        def each(batch: list[str]) -> list:
+        def each(batch: pa.Array) -> list:
             counts, sums, back = [], [], []
-            for ids, ends in coder.blocks(pa.array(batch, pa.string())):
+            for ids, ends in coder.blocks(batch):
                 n = sizes[ids]
                 decoded = ragged(spelled, starts[ids], n)
                 cuts = np.concatenate([[0], np.cumsum(n)])[ends]
@@ -252,4 +252,4 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
             return [counts, sums, back]
         return each
 
-    return map_texts(texts(docs, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string", start)
+    return map_texts(texts(docs, id_col, text_col), "n_tokens long, ids_sha256 string, decoded_sha256 string", start, arrow=True)

@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a Python worker remembers, in each of two halves.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer chunks are coded anew in each block.
 LONGEST = 64
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: What may follow a word as a match of its own.
 MARKS = frozenset(",.;:!?")
 #: Stands before a text's first chunk; a text that holds it is cut by the pattern.

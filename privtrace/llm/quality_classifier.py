@@ -89,9 +89,9 @@ class Model:
     gain: np.ndarray
     bias: float
 
-    def scores(self, batch: list[str]) -> np.ndarray:
+    def scores(self, batch: list[str] | pa.Array) -> np.ndarray:
         out = []
-        for texts_ in byte_blocks(pa.array(batch, pa.string())):
+        for texts_ in byte_blocks(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string())):
             number, row, words = word_counts(texts_)
             which, bucket = features(words)
             gain = np.bincount(which, self.gain[bucket], len(words))
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def start():
         return lambda batch: [model.scores(batch)]
 
-    out = map_texts(texts(docs, id_col, text_col), "score double", start)
+    out = map_texts(texts(docs, id_col, text_col), "score double", start, arrow=True)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
 
 
@@ -198,4 +198,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return lambda batch: [model.scores(batch)]
 
     mine = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return map_texts(mine, "__score double", start, "__text").where(F.col("__score") >= PREDICT).select(docs.columns)
+    return map_texts(mine, "__score double", start, "__text", arrow=True).where(F.col("__score") >= PREDICT).select(docs.columns)

@@ -21,9 +21,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_as
     return docs.select(F.col(id_col).alias(id_as), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str]], list]], text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str]], list]], text: str = "text", arrow: bool = False) -> DataFrame:
     """Add columns computed from ``text`` batch by batch; the other columns pass through and the text goes.
 
+    With ``arrow`` the function gets the texts as they came, an Arrow array.
+
     ``start`` runs once per task and returns a function from a list of texts to
     one list (or Arrow array) per column of ``schema``. Spark bounds a batch by
     rows and bytes.
@@ -39,10 +41,12 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str
         each = start()
         kinds = [to_arrow_type(f.dataType) for f in made.fields]
         for b in batches:
-            new = each(b.column(b.schema.get_field_index(text)).to_pylist())
+            got = b.column(b.schema.get_field_index(text))
+            new = each(got if arrow else got.to_pylist())
             cols = [b.column(b.schema.get_field_index(n)) for n in names]
             cols += [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(new, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *(f.name for f in made.fields)])
+            pa.default_memory_pool().release_unused()  # a worker lives on, beside others
 
     return df.mapInArrow(run, out)
 
