@@ -77,18 +77,18 @@ class ChunkCoder:
     the newer one. So the table stays bounded and keeps what is frequent.
     """
 
-    def __init__(self, code: Callable[[str], bytes], pattern: str, remembered: int = REMEMBERED, every_text: bool = False):
+    def __init__(self, code: Callable[[str], bytes], pattern: str, remembered: int = REMEMBERED, block: int = BLOCK, every_text: bool = False):
         import regex
 
-        self.code, self.cut, self.remembered = code, regex.compile(pattern).findall, remembered
+        self.code, self.cut, self.remembered, self.block = code, regex.compile(pattern).findall, remembered, block
         self.every_text = every_text  # for a pattern without these cuts
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ends) of blocks of consecutive texts: ends[i] is where the ids of a block's text i end."""
-        for block in byte_blocks(texts):
-            yield self._block(block)
+        for some in byte_blocks(texts, self.block):
+            yield self._block(some)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""

@@ -40,6 +40,8 @@ GRAMS = (3, 4)
 EPOCHS = 8
 RATE = 0.4
 PREDICT = 0.3
+#: Bytes of text scored together.
+BLOCK = 2 << 20
 #: Stands for a repeated word; white space keeps it apart from all words.
 AGAIN = b" again "
 
@@ -91,7 +93,7 @@ class Model:
 
     def scores(self, batch: list[str] | pa.Array) -> np.ndarray:
         out = []
-        for texts_ in byte_blocks(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string())):
+        for texts_ in byte_blocks(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string()), BLOCK):
             number, row, words = word_counts(texts_)
             which, bucket = features(words)
             gain = np.bincount(which, self.gain[bucket], len(words))
