@@ -13,7 +13,7 @@ from ..dims import attacks as at
 from ..dims import channels as ch
 from ..session import cut
 
-# --- fixed values of the views ------------------------------------------------
+# --- values of the views ------------------------------------------------------
 ACCENTS = "[À-ÖØ-öø-ɏ]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
