@@ -38,7 +38,7 @@ RULES = (
     ("org/fr/", "allow"),
 )
 
-# fixed values: the labelled table the classifier learns from, as (url, 1 to block or 0 to allow)
+# the labelled table the classifier learns from, as (url, 1 to block or 0 to allow)
 LABELLED = (
     ("https://free-casino-bonus.example/win/jackpot", 1),
     ("http://www.casino-slots.example/free-spins", 1),
