@@ -322,32 +322,57 @@ def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau
         *on, "event_id", "vault_id", dot(F.col("__e"), F.col("__w")).alias("similarity"))
 
 
+def _segments(df: DataFrame, length: str, tau: float) -> DataFrame:
+    """Add the class of a length and its segments: lo and hi (the lengths with the same four leading bits), segs, w.
+
+    A class has as many segments as its longest text can have edits, and one
+    more; segment i is the characters i * w to (i + 1) * w - 1.
+    """
+    unit = F.expr(f"shiftleft(1L, greatest(0, length(bin({length})) - 4))")
+    df = df.withColumn("lo", F.floor(F.col(length) / unit) * unit).withColumn("hi", F.col("lo") + unit - 1)
+    # a value is at most 1 / tau times as long as its text; a tiny slack keeps exact borders
+    df = df.withColumn("segs", F.floor(F.lit(1 - tau + 1e-9) * F.col("hi") / F.lit(tau) + 1e-9) + 1)
+    return df.withColumn("w", F.floor(F.col("lo") / F.col("segs")).cast("int"))
+
+
 def fuzzy_match(tokens: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.FUZZY_TAU) -> DataFrame:
     """(text, value) pairs with 1 - levenshtein / longer length >= tau, inside the scenario.
 
-    With at most k = (1 - tau) * longer length edits, one of k + 1 equal cuts of
-    the value stands unchanged in the text, shifted by at most k: an exact
-    blocking key (the pigeonhole principle), instead of comparing all pairs.
+    An inverted index of segments: a text is cut into one segment more than the
+    edits a match of its length class can have, and enters one key (keys, class,
+    segment number, segment) for each. Under k edits some segment i stands
+    unchanged in the value with exactly i edits before it and at most k - i
+    behind it, which bounds its shift from both ends; the value probes these few
+    places for every class its partners can have. Both sides meet in one
+    equi-join, so a busy scenario is spread by its segments, and the distance
+    decides. Texts that no value of their scenario can match in length enter no
+    key. With ``tau`` above 0.6 no segment of a text of 2 characters or more is
+    empty; below, empty segments keep the result exact but meet often.
     """
+    if not 0 < tau <= 1:
+        raise ValueError("tau is above 0 and at most 1")
     on = list(on)
-    v = vault.select(*on, F.col("value")).distinct().where(F.length("value") > 0)
-    t = tokens.select(*on, F.col("text")).distinct().where(F.length("text") > 0)
-    # lengths of a match differ by at most k, so longer <= len / tau; a tiny slack keeps exact borders
-    def edits(n):
-        return F.floor(F.lit(1 - tau + 1e-9) * (n / F.lit(tau) + 1e-9)).cast("int")
-    v = v.withColumn("n", F.length("value")).withColumn("k", edits(F.col("n")))
-    cuts = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(
-        (F.floor(i * F.col("n") / (F.col("k") + 1)) + 1).cast("int").alias("p"),
-        (F.floor((i + 1) * F.col("n") / (F.col("k") + 1)) - F.floor(i * F.col("n") / (F.col("k") + 1))).cast("int").alias("w")))
-    v = v.select(*on, "value", "n", "k", F.inline(cuts)).where(F.col("w") > 0)
-    v = v.withColumn("piece", F.expr("substring(value, p, w)"))
-    shapes = v.select(*on, "n", "k", "p", "w").distinct()
-    tl = t.withColumn("tn", F.length("text"))
-    pos = tl.join(shapes, on).where(F.abs(F.col("tn") - F.col("n")) <= F.col("k"))
-    pos = pos.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(1), F.col("p") - F.col("k")), F.col("p") + F.col("k"))))
-    pos = pos.withColumn("piece", F.expr("substring(text, s, w)")).where(F.length("piece") == F.col("w"))
-    pairs = pos.join(v.select(*on, "value", "n", "p", "w", "piece"), on + ["n", "p", "w", "piece"]).select(
-        *on, "text", "value").distinct()
+    keys = [*on, "lo", "i", "piece"]
+    v = vault.select(*on, F.col("value").alias("value")).distinct().withColumn("n", F.length("value")).where("n > 0")
+    v = v.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(tau) - 1e-6))).withColumn("most", F.floor(F.col("n") / F.lit(tau) + 1e-6))
+    reach = v.groupBy(*on).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+    t = tokens.select(*on, F.col("text").alias("text")).distinct().withColumn("m", F.length("text")).where("m > 0")
+    t = t.join(reach, on).where("m BETWEEN least AND most")
+    t = _segments(t, "m", tau).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segs") - 1)))
+    t = t.withColumn("piece", F.expr("substring(text, int(i * w) + 1, w)"))
+
+    starts = _segments(v.select("n", "least", "most").distinct().withColumn("m", F.explode(F.sequence("least", "most"))), "m", tau)
+    starts = starts.groupBy("n", "lo", "w", "segs").agg(F.min("m").alias("m1"), F.max("m").alias("m2"))
+    # the shapes depend on a value's length only
+    k = F.floor(F.lit(1 - tau + 1e-9) * F.greatest("m2", "n") + 1e-9)
+    starts = starts.withColumn("k", F.least(k, F.col("segs") - 1)).withColumn("i", F.explode(F.expr("sequence(0L, k)")))
+    starts = starts.withColumn("s1", F.expr("greatest(-i, n - m2 - (k - i), -i * w)")).withColumn("s2", F.expr("least(i, n - m1 + (k - i), n - (i + 1) * w)"))
+    starts = starts.where("s1 <= s2").groupBy("n").agg(F.collect_list(F.struct("lo", "i", "w", "s1", "s2")).alias("places"))
+    probes = v.select(*on, "value", "n").join(starts, "n").select(*on, "value", F.inline("places"))
+    probes = probes.withColumn("s", F.explode(F.expr("sequence(s1, s2)"))).withColumn("piece", F.expr("substring(value, int(i * w + s) + 1, w)"))
+
+    pairs = t.select(*keys, "text").join(probes.select(*keys, "value").distinct(), keys).select(*on, "text", "value").distinct()
     score = 1 - F.levenshtein("text", "value") / F.greatest(F.length("text"), F.length("value"))
     return pairs.withColumn("score", score).where(F.col("score") >= tau)
 

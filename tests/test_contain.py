@@ -93,3 +93,45 @@ def test_fuzzy_equals_brute_force(spark):
     score = 1 - F.levenshtein("text", "value") / F.greatest(F.length("text"), F.length("value"))
     want = {(x.text, x.value) for x in both.where(score >= 0.8).collect()}
     assert want and got == want
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("tau", [0.5, 0.65, 0.8, 0.93, 1.0])
+def test_fuzzy_of_many_lengths_equals_brute_force(spark, tau):
+    """Texts of 0 to 70 characters with inserted, deleted, replaced and moved parts; one scenario holds most rows."""
+    rng = random.Random(int(tau * 100))
+    word = lambda n: "".join(rng.choice("abcä") for _ in range(n))
+
+    def change(s, k):
+        for _ in range(k):
+            at = rng.randrange(len(s) + 1)
+            s = s[:at] + rng.choice(["", word(1)]) + s[at + rng.choice([0, 1]):]
+        return s
+
+    values = [(rng.choice("aaab"), word(n)) for n in [*range(1, 40), 50, 60, 70]] + [("a", ""), ("a", None), ("c", "alone")]
+    texts = [(s, change(w, rng.randrange(len(w) // 3 + 2))) for s, w in values if w for _ in range(4)]
+    texts += [(s, w[2:] + w[:2]) for s, w in values if w] + [("a", ""), ("a", None), ("d", "alone")] + texts[:5]
+    got = fuzzy_match(spark.createDataFrame(texts, "scenario_id string, text string"),
+                      spark.createDataFrame(values, "scenario_id string, value string"), tau=tau).collect()
+    want = {(s, t, w) for s, t in texts for z, w in values if s == z and t and w
+            and 1 - edit_distance(t, w) / max(len(t), len(w)) >= tau}
+    assert {(r.scenario_id, r.text, r.value) for r in got} == want
+    assert len(got) == len(want) > 0
+
+
+def test_fuzzy_of_a_busy_scenario(spark):
+    """Every text is found by itself, and few others by it."""
+    n = 400
+    texts = [("hot", f"{i * 7919:07d}-{i:05d}-{i * 104729 % 1000003:07d}") for i in range(n)]
+    df = spark.createDataFrame(texts, "scenario_id string, text string")
+    got = fuzzy_match(df, df.withColumnRenamed("text", "value")).collect()
+    assert len(got) < n * n / 20
+    assert {r.text for r in got if r.text == r.value} == {t for _, t in texts}
