@@ -329,6 +329,18 @@ def _(spark, d):
     return op.judge_dedupe(judge_requests(spark, d)).agg(F.count(F.lit(1)).alias("misses"))
 
 
+@query("judge_cached", "D26 D27", sql("hv_event", """
+, c AS (SELECT event_id, scenario_id, text FROM hv_event WHERE channel <> 'C6' AND length(trim(text)) > 0 AND length(text) >= 20), k AS (SELECT DISTINCT scenario_id, text FROM c WHERE event_id % 2 = 0)
+ SELECT c.event_id, k.text IS NOT NULL AS cached, k.text IS NOT NULL AND length(c.text) % 2 = 1 AS is_leak FROM c LEFT JOIN k ON c.scenario_id = k.scenario_id AND c.text = k.text"""))
+def _(spark, d):
+    """The verdicts of an earlier run on the even events answer all requests with their key."""
+    asked = judge_requests(spark, d).select("event_id", "cache_key", "text")
+    verdict = F.concat(F.lit('{"score": '), F.length("text") % 2, F.lit(', "confidence": 0.75, "leaks": []}'))
+    cache = asked.where("event_id % 2 = 0").select("cache_key", verdict.alias("verdict"))
+    found = op.cached_verdicts(asked.drop("text"), cache)
+    return op.parse_verdict(found).select("event_id", F.col("verdict").isNotNull().alias("cached"), "is_leak")
+
+
 def verdict_text():
     i = F.col("conv_id") + F.col("turn")
     bare = F.concat(F.lit('{"score": 1, "overall_severity": "high", "confidence": 0.9, "leaks": [{"field_name": "ssn", "leaked_content": "x", "confidence": 0.'),

@@ -73,16 +73,37 @@ def _(spark, d):
     return rd.read_pair_traces(spark, path).groupBy("channel", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"))
 
 
-@query("read_annotated", "S5", "SELECT lang AS category, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 2 = 0) AS with_ssn FROM documents GROUP BY 1")
-def _(spark, d):
-    path = new_work_path(spark, "annotated")
-    v.table(spark, d, "documents").select(
+def annotated(spark, d):
+    return v.table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), F.col("text").alias("source_text"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("US_SSN"))).otherwise(F.array().cast("array<string>")).alias("expected_detections")).write.json(path)
-    return rd.read_annotated(spark, path, array_file=False).groupBy("category").agg(
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("US_SSN"))).otherwise(F.array().cast("array<string>")).alias("expected_detections"))
+
+
+def annotated_stats(df):
+    return df.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("source_text")).alias("chars"), F.count_if(F.array_contains("expected_detections", "US_SSN")).alias("with_ssn"))
 
 
+ANNOTATED = "SELECT lang AS category, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 2 = 0) AS with_ssn FROM documents GROUP BY 1"
+
+
+@query("read_annotated", "S5", ANNOTATED)
+def _(spark, d):
+    path = new_work_path(spark, "annotated")
+    annotated(spark, d).write.json(path)
+    return annotated_stats(rd.read_annotated(spark, path, array_file=False))
+
+
+@query("read_annotated_arrays", "S5", ANNOTATED)
+def _(spark, d):
+    """Pretty-printed files, each an array of the samples of 50 consecutive ids."""
+    path = new_work_path(spark, "annotated-arrays")
+    df = annotated(spark, d)
+    files = df.groupBy(F.expr("bigint(id) div 50").alias("file")).agg(F.collect_list(F.struct(*df.columns)).alias("samples"))
+    files.select("file", F.to_json("samples", {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
+    return annotated_stats(rd.read_annotated(spark, path))
+
+
 def result_rows(spark, d):
     t = v.results(spark, d)
     chans = F.array_compact(F.array(*[F.when(F.col(f"{c}_leaked"), c.upper()) for c in ("c1", "c2", "c5")]))
@@ -140,11 +161,30 @@ def _(spark, d):
     return r6(sk.results_table(mx.headline(v.traces(spark, d))))
 
 
-@query("collect_claims", "S11", sql("hv_trace", f"SELECT model, round(({C['c3']})::DOUBLE, 6) AS c3, round(({C['c6']})::DOUBLE, 6) AS c6 FROM hv_trace GROUP BY 1"))
-def _(spark, d):
-    path = new_work_path(spark, "claims")
+CLAIMS = sql("hv_trace", f"SELECT model, round(({C['c3']})::DOUBLE, 6) AS c3, round(({C['c6']})::DOUBLE, 6) AS c6 FROM hv_trace GROUP BY 1")
+
+
+def claims(spark, d):
     g = v.traces(spark, d).groupBy(F.col("model").alias("m")).agg(mx.pct("c3_leaked").alias("c3"), mx.pct("c6_leaked").alias("c6"))
-    g.select("m", F.struct(F.col("c3").alias("rate")).alias("C3_tool_input"), F.struct(F.col("c6").alias("rate")).alias("C6_logs")).write.partitionBy("m").json(path)
-    c = rd.collect_claims(spark, f"{path}/*/*.json", multi_line=False)
+    return g.select("m", F.struct(F.col("c3").alias("rate")).alias("C3_tool_input"), F.struct(F.col("c6").alias("rate")).alias("C6_logs"))
+
+
+def claims_read(spark, path, multi_line):
+    c = rd.collect_claims(spark, f"{path}/*/*", multi_line=multi_line)
     name = F.call_function("url_decode", F.regexp_replace("model", "^m=", ""))
     return r6(c.select(name.alias("model"), "c3", "c6"))
+
+
+@query("collect_claims", "S11", CLAIMS)
+def _(spark, d):
+    path = new_work_path(spark, "claims")
+    claims(spark, d).write.partitionBy("m").json(path)
+    return claims_read(spark, path, False)
+
+
+@query("collect_claims_pretty", "S11", CLAIMS)
+def _(spark, d):
+    """One pretty-printed file for each model."""
+    path = new_work_path(spark, "claims-pretty")
+    claims(spark, d).select("m", F.to_json(F.struct("C3_tool_input", "C6_logs"), {"pretty": "true"}).alias("value")).write.partitionBy("m").text(path)
+    return claims_read(spark, path, True)

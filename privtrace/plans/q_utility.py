@@ -130,11 +130,11 @@ def _(spark, d):
 
 
 @query("task_heuristics", "U12", sql("hv_task", """SELECT task_id, length(output) > 10 AS answered, CASE WHEN contains(output, '[ERROR') OR contains(lower(substring(output, 1, 50)), 'cannot') THEN FALSE WHEN length(output) < 30 THEN FALSE
- WHEN len(regexp_extract_all(lower(output), 'redacted')) > 3 THEN length(output) > 100 ELSE TRUE END AS useful FROM (SELECT task_id, CASE WHEN task_id % 4 = 0 THEN '[ERROR] ' || output WHEN task_id % 4 = 1 THEN 'redacted redacted redacted redacted ' || substring(output, 1, 90)
+ WHEN len(regexp_extract_all(lower(output), 'redacted')) > 3 THEN length(output) > 100 ELSE TRUE END AS useful FROM (SELECT task_id, CASE WHEN task_id % 4 = 0 THEN '[ERROR] ' || output WHEN task_id % 4 = 1 THEN 'redacted redacted redacted redacted ' || output
  WHEN task_id % 4 = 2 THEN 'I Cannot. ' || output ELSE output END AS output FROM hv_task)"""))
 def _(spark, d):
     k, o = F.col("task_id"), F.col("output")
-    x = (F.when(k % 4 == 0, F.concat(F.lit("[ERROR] "), o)).when(k % 4 == 1, F.concat(F.lit("redacted redacted redacted redacted "), F.substring(o, 1, 90)))
+    x = (F.when(k % 4 == 0, F.concat(F.lit("[ERROR] "), o)).when(k % 4 == 1, F.concat(F.lit("redacted redacted redacted redacted "), o))
          .when(k % 4 == 2, F.concat(F.lit("I Cannot. "), o)).otherwise(o))
     return v.tasks(spark, d).select("task_id", x.alias("output")).select("task_id", op.answered("output").alias("answered"), op.useful("output").alias("useful"))
 

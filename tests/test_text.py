@@ -163,3 +163,13 @@ def test_cached_verdicts(spark):
     cache = spark.createDataFrame([("a", "{}")], "cache_key string, verdict string")
     assert {r.event_id: r.verdict for r in cached_verdicts(req, cache).collect()} == {1: "{}", 2: "{}", 3: None}
     assert [r.cache_key for r in judge_dedupe(req, cache).collect()] == ["b"]
+
+
+def test_useful_answers(spark):
+    from privtrace.operators.utility import useful
+    red = "redacted " * 4
+    rows = {"short": False, "a plain answer that is long enough": True, "I Cannot do this, whatever you may say": False,
+            "x" * 50 + " cannot, but said too late to count": True, "well, [ERROR] " + "x" * 40: False,
+            red + "x" * 30: False, red + "x" * 65: True, "redacted " * 3 + "x" * 30: True}
+    df = spark.createDataFrame([(a,) for a in rows], "t string").select("t", useful("t").alias("u"))
+    assert {r.t: r.u for r in df.collect()} == rows
