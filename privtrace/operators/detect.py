@@ -287,6 +287,16 @@ def cosine(a, b) -> Column:
     return dot / (norm(a) * norm(b))
 
 
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _unit(df: DataFrame, on: list[str], key: str) -> DataFrame:
+    """(keys, id, __e): the vectors divided by their lengths, without those that have none."""
+    v = df.select(*on, key, F.transform("embedding", lambda x: x.cast("double")).alias("__e")).withColumn("__n", F.sqrt(_dot("__e", "__e")))
+    return v.where((F.col("__n") > 0) & ~F.isnan("__n")).withColumn("__e", F.transform("__e", lambda x: x / F.col("__n"))).drop("__n")
+
+
 def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU, pivots: int = 3) -> DataFrame:
     """(event, vault entry) pairs of one scenario whose embeddings have cosine >= ``tau``.
 
@@ -298,16 +308,13 @@ def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau
     """
     on = list(on)
     r = max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * tau)))) * (1 + 1e-9)
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     def along(i: int) -> Column:
         signed = F.transform("__e", lambda x, k: F.when(F.floor(k / 2**i) % 2 == 0, x).otherwise(-x))
         return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)
 
     def unit(df: DataFrame, key: str) -> DataFrame:
-        v = df.select(*on, key, F.transform("embedding", lambda x: x.cast("double")).alias("__e")).withColumn("__n", F.sqrt(square(F.col("__e"))))
-        v = v.where(F.col("__n") > 0).withColumn("__e", F.transform("__e", lambda x: x / F.col("__n"))).drop("__n")
+        v = _unit(df, on, key)
         # the i-th direction has +1 and -1 in turn, in runs of 2**i
         far = [F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * along(i) / F.sqrt(F.size("__e").cast("double")))) for i in range(pivots)]
         return v.withColumn("__cell", F.array(*[F.floor(f / r).cast("int") for f in far]))
@@ -318,8 +325,78 @@ def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau
         b = b.withColumn("__d", F.explode(near)).withColumn(f"__c{i}", F.col("__cell")[i] + F.col("__d")).drop("__d")
         a = a.withColumn(f"__c{i}", F.col("__cell")[i])
     pairs = a.drop("__cell").join(b.drop("__cell"), [*on, *[f"__c{i}" for i in range(pivots)]])
-    return pairs.where(dot(F.col("__e"), F.col("__w")) >= tau).select(
-        *on, "event_id", "vault_id", dot(F.col("__e"), F.col("__w")).alias("similarity"))
+    return pairs.where(_dot("__e", "__w") >= tau).select(*on, "event_id", "vault_id", _dot("__e", "__w").alias("similarity"))
+
+
+def sign_tables(tau: float, recall: float, bits: int) -> int:
+    """How many tables of ``bits`` signs find a pair of cosine ``tau`` with probability ``recall``, one sign of a code being free."""
+    p = 1 - np.arccos(min(1.0, tau)) / np.pi
+    one = p**bits + bits * p ** (bits - 1) * (1 - p)
+    return 1 if one >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
+
+
+def _sign_codes(df: DataFrame, on: list[str], key: str, dim: int, bits: int, tables: int, probe: bool, seed: int) -> DataFrame:
+    """(keys, id, table, code) of unit vectors: the signs along random hyperplanes; with ``probe`` also the codes one sign away."""
+    import pyarrow as pa
+
+    out = T.StructType([*df.select(*on, key).schema.fields, T.StructField("table", T.IntegerType()), T.StructField("code", T.IntegerType())])
+    flips = np.concatenate([[0], 1 << np.arange(bits)]) if probe else np.zeros(1, np.int64)
+
+    def run(batches):
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                b = batch.slice(at, 2_000)
+                e = b.column("__e")
+                sizes = e.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(e)), sizes)
+                x = np.zeros((len(e), dim))
+                x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = e.flatten().to_numpy(zero_copy_only=False)
+                signs = (x @ planes >= 0).reshape(len(e), tables, bits)
+                codes = (signs @ (1 << np.arange(bits)))[:, :, None] ^ flips
+                who = pa.array(np.repeat(np.arange(len(e)), tables * len(flips)))
+                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(flips)), len(e))
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).take(who) for c in [*on, key]], pa.array(table), pa.array(codes.ravel().astype(np.int32))],
+                    names=out.names)
+
+    return df.select(*on, key, "__e").mapInArrow(run, out)
+
+
+def sign_pairs(a: DataFrame, b: DataFrame, on: list[str], dim: int, bits: int, tables: int, seed: int) -> DataFrame:
+    """Distinct (keys, event_id, vault_id) whose codes are at most one sign apart in some table."""
+    x = _sign_codes(a, on, "event_id", dim, bits, tables, False, seed)
+    y = _sign_codes(b, on, "vault_id", dim, bits, tables, True, seed)
+    return x.join(y, [*on, "table", "code"]).select(*on, "event_id", "vault_id").distinct()
+
+
+def semantic_search(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU,
+                    recall: float = 0.99, bits: int | None = None, seed: int = 1) -> DataFrame:
+    """The pairs of ``semantic_match``, each found with probability ``recall`` or more, for groups too large for exact cells.
+
+    Sign-hash tables: in every table a vector's code is its side of ``bits``
+    random hyperplanes. Two vectors at an angle share a sign with probability
+    1 - angle / pi, whatever the dimension. Events stand in their own bucket and
+    vault entries probe theirs and those one sign away; ``sign_tables`` says how
+    many tables the recall takes at cosine ``tau`` (nearer pairs are found more
+    often). ``bits`` grow with the largest group, so the share of pairs formed
+    falls as it grows. Only ids are joined; the vectors of found pairs are joined
+    back and the cosine decides, so nothing is returned wrongly. A busy key is
+    spread by table and code. Vectors without length, and rows without key or id,
+    match nothing; repeated rows come as often as they are.
+    """
+    if not 0 < recall < 1:
+        raise ValueError("recall lies between 0 and 1")
+    on = list(on)
+    a, b = _unit(events, on, "event_id"), _unit(vault, on, "vault_id").withColumnRenamed("__e", "__w")
+    dims = b.agg(F.max(F.size("__w")).alias("d")).first()["d"]
+    top = a.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__e")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    dim = max(dims or 1, top["d"] or 1)
+    if bits is None:
+        bits = max(4, min(20, round(0.6 * float(np.log2(max(1, top["n"] or 1))))))
+    pairs = sign_pairs(a, b.withColumnRenamed("__w", "__e"), on, dim, bits, sign_tables(tau, recall, bits), seed)
+    found = pairs.join(a, [*on, "event_id"]).join(b, [*on, "vault_id"])
+    return found.where(_dot("__e", "__w") >= tau).select(*on, "event_id", "vault_id", _dot("__e", "__w").alias("similarity"))
 
 
 def _segments(df: DataFrame, length: str, tau: float) -> DataFrame:

@@ -232,6 +232,17 @@ def _(spark, d):
     return op.semantic_match(out, vault, tau=0.3).withColumn("similarity", F.round("similarity", 5))
 
 
+# every twentieth vector, with some of its dimensions weakened, looks for its like among all
+@query("semantic_search", "D16", """SELECT a.vec_id AS event_id, b.vec_id AS vault_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.w), 5) AS similarity
+ FROM embeddings a JOIN (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * CASE WHEN (i + vec_id) % 5 = 0 THEN 0.5 ELSE 1 END) AS w FROM embeddings WHERE vec_id % 20 = 0) b
+ ON list_cosine_similarity(a.embedding::DOUBLE[], b.w) >= 0.72""")
+def _(spark, d):
+    e = v.table(spark, d, "embeddings")
+    weak = F.transform("embedding", lambda x, i: x.cast("double") * F.when((i + 1 + F.col("vec_id")) % 5 == 0, 0.5).otherwise(1.0))
+    vault = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("vault_id"), weak.alias("embedding"))
+    return op.semantic_search(e.select(F.col("vec_id").alias("event_id"), "embedding"), vault, on=()).withColumn("similarity", F.round("similarity", 5))
+
+
 @query("fuzzy_match", "D17", """SELECT DISTINCT p.p_brand AS scenario_id, p.p_name AS text, q.value, round(1 - levenshtein(p.p_name, q.value) / greatest(length(p.p_name), length(q.value)), 6) AS score
  FROM part p JOIN (SELECT DISTINCT p_brand, replace(p_name, 'a', 'o') AS value FROM part) q ON p.p_brand = q.p_brand
  WHERE 1 - levenshtein(p.p_name, q.value) / greatest(length(p.p_name), length(q.value)) >= 0.8""")

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from privtrace.operators import contain
-from privtrace.operators.detect import fuzzy_match, leak_check, semantic_match
+from privtrace.operators import contain, detect
+from privtrace.operators.detect import fuzzy_match, leak_check, semantic_match, semantic_search
 
 
 def make(n=300, seed=1):
@@ -135,3 +135,41 @@ def test_fuzzy_of_a_busy_scenario(spark):
     got = fuzzy_match(df, df.withColumnRenamed("text", "value")).collect()
     assert len(got) < n * n / 20
     assert {r.text for r in got if r.text == r.value} == {t for _, t in texts}
+
+
+def planted(n, dim=24, seed=8):
+    """n event vectors, one key for most of them, and n / 4 vault vectors at cosines around the threshold."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    e = rng.standard_normal((n, dim))
+    v = e[::4] / np.linalg.norm(e[::4], axis=1, keepdims=True) + rng.uniform(0.5, 1.0, (len(e[::4]), 1)) * rng.standard_normal((len(e[::4]), dim)) / dim**0.5
+    key = lambda i: "hot" if i % 8 else "cold"
+    return [(key(i), i, x.tolist()) for i, x in enumerate(e)], [(key(4 * i), i, x.tolist()) for i, x in enumerate(v)]
+
+
+def test_semantic_search_recall_and_growth(spark):
+    import numpy as np
+    formed = []
+    for n in (500, 2000):
+        ev, va = planted(n)
+        e = spark.createDataFrame(ev, "scenario_id string, event_id long, embedding array<double>")
+        v = spark.createDataFrame(va, "scenario_id string, vault_id long, embedding array<double>")
+        got = {(r.event_id, r.vault_id): r.similarity for r in semantic_search(e, v).collect()}
+        x, y = (np.array([r[2] for r in rows]) for rows in (ev, va))
+        cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        want = {(i, j) for i, j in zip(*np.where(cos >= 0.72)) if ev[i][0] == va[j][0]}
+        assert set(got) <= want and len(got) >= 0.95 * len(want) > 50
+        assert all(abs(c - cos[k]) < 1e-9 for k, c in got.items())
+        bits = round(0.6 * np.log2(sum(r[0] == "hot" for r in ev)))
+        units = detect._unit(e, ["scenario_id"], "event_id"), detect._unit(v, ["scenario_id"], "vault_id")
+        formed.append(detect.sign_pairs(*units, ["scenario_id"], 24, bits, detect.sign_tables(0.72, 0.99, bits), 1).count())
+    assert formed[1] < 0.8 * 16 * formed[0]
+
+
+def test_semantic_search_odd_rows(spark):
+    e = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 0.0]), ("s", 3, None), ("s", 4, []), ("s", 5, [1.0, None]),
+                               ("s", 6, [float("nan"), 1.0]), ("s", 7, [1.0, 0.0, 0.0]), (None, 8, [1.0, 0.0])],
+                              "scenario_id string, event_id long, embedding array<double>")
+    v = spark.createDataFrame([("s", 1, [2.0, 0.1]), ("s", 2, None)], "scenario_id string, vault_id long, embedding array<double>")
+    assert sorted((r.event_id, r.vault_id) for r in semantic_search(e, v).collect()) == [(1, 1), (1, 1)]
+    assert semantic_search(e.limit(0), v).count() == 0 and semantic_search(e, v.limit(0)).count() == 0
