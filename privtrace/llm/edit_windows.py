@@ -1,0 +1,239 @@
+"""Deletion neighbourhoods of lines for any bound of edits, formed only where a line has a partner.
+
+Two lines are within k edits exactly if deleting d characters of one, d' of the
+other, and covering w characters at the same places of what is left makes them
+equal, with d + d' + w <= k. So a variant is a set of deleted and a set of
+covered characters, its key the remaining text with the covered places, and all
+lines of a bucket with d + d' + w <= k are within the bound by construction:
+the earliest line for each d stands for all others, and no bucket is expanded.
+
+A line of n characters has some n**k variants, so the places are narrowed first.
+A spec is (size, a, b, m, e, ...): the shorter line has ``size`` characters, and
+up to m edits lie in its places a..b-1, where this line has e characters more.
+The key of a spec is the text outside its windows. Each round cuts every window
+into four and emits all ways the edits can lie in the parts; only lines that
+still share a key with an earlier line go on, and windows of ``LEAF`` places or
+fewer emit variants.
+"""
+from __future__ import annotations
+
+from functools import lru_cache
+from itertools import combinations, product
+
+import numpy as np
+
+#: Windows of so many places emit their variants.
+LEAF = 8
+#: Rows of a batch that a task hands on.
+_ROWS = 100_000
+
+_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Powers:
+    """Powers of a base modulo 2**64, as many as the longest line so far needs."""
+
+    def __init__(self, base: int):
+        self.base, self.back = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.table = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.table) < n:
+            with np.errstate(over="ignore"):
+                step = np.multiply.reduce(np.full(len(self.table), self.base))
+                self.table = np.concatenate([self.table, self.table * step])
+        return self.table[:n]
+
+    def sums(self, line: str) -> np.ndarray:
+        """Sums of the weighted characters before each place."""
+        chars = _mix(np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * self.upto(len(chars)), dtype=np.uint64)])
+
+    def moves(self, edits: int) -> np.ndarray:
+        """What moves a sum by -edits..edits places to the left; index shift + edits."""
+        base, mod = int(self.base), 1 << 64
+        return np.array([pow(base, -s, mod) for s in range(-edits, edits + 1)], np.uint64)
+
+
+def start_specs(n: int, edits: int, least: int) -> list[tuple[int, ...]]:
+    """The specs of a line before any narrowing: one window, the shorter line of at least ``least`` characters."""
+    return [(n - less, 0, n - less, edits, less) for less in range(edits + 1) if n - less >= max(least, 1)]
+
+
+@lru_cache(1 << 12)
+def _ways(a: int, b: int, m: int, e: int) -> list[tuple[tuple[int, int, int, int], ...]]:
+    """How m edits that add e characters can lie in four parts of a window."""
+    cuts = [a + (b - a) * i // 4 for i in range(5)]
+    out = []
+    for where in {tuple(sorted(c)) for c in product(range(4), repeat=m)}:
+        parts = sorted(set(where))
+        counts = [where.count(p) for p in parts]
+        for extra in product(*[range(-c, c + 1) for c in counts]):
+            windows = tuple((cuts[p], cuts[p + 1], c, x) for p, c, x in zip(parts, counts, extra))
+            if sum(extra) == e and all(w[1] - w[0] + w[3] >= 0 for w in windows):
+                out.append(windows)
+    return out
+
+
+def windows_of(spec: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
+    return [tuple(spec[i:i + 4]) for i in range(1, len(spec), 4)]
+
+
+def is_leaf(spec: tuple[int, ...]) -> bool:
+    return all(b - a <= LEAF for a, b, _, _ in windows_of(spec))
+
+
+@lru_cache(1 << 12)
+def _narrowed(spec: tuple[int, ...], edits: int) -> tuple:
+    """(specs, from, to, shift, name): the narrower specs, and per spec the kept stretches of the line."""
+    ways = [_ways(*w) if w[1] - w[0] > LEAF else [(w,)] for w in windows_of(spec)]
+    specs = [sum(w, ()) for w in product(*ways)]
+    stretches, names = [], []
+    for s in specs:
+        at = shift = 0
+        rows = []
+        for a, b, _, e in s:
+            rows.append((at, a + shift, shift))
+            shift += e
+            at = b + shift
+        rows.append((at, spec[0] + shift, shift))
+        stretches.append(rows + [(0, 0, 0)] * (2 + edits - len(rows)))
+        name = spec[0]
+        for a, b, m, _ in s:
+            for x in (a, b, m):
+                name = (name * _B2 + x + 1) % (1 << 64)
+        names.append(name)
+    cut = np.array(stretches, np.int64).reshape(len(specs), 2 + edits, 3)
+    flat = [[spec[0], *(x for w in s for x in w)] for s in specs]
+    return flat, cut[:, :, 0], cut[:, :, 1], cut[:, :, 2] + edits, _mix(np.array(names, np.uint64))
+
+
+def spec_keys(sums: np.ndarray, moves: np.ndarray, spec: tuple[int, ...], edits: int) -> tuple[list[list[int]], np.ndarray]:
+    """The narrower specs of a line with these sums, and the key of each."""
+    specs, start, stop, shift, name = _narrowed(spec, edits)
+    with np.errstate(over="ignore"):
+        kept = ((sums[stop] - sums[start]) * moves[shift]).sum(1, dtype=np.uint64)
+        return specs, _mix(kept ^ name)
+
+
+def _choices(size: int, m: int, e: int, whole: bool) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Deleted and covered places of a window: all with up to m, or only those that fit a line with e characters more."""
+    out = []
+    for d in range(m + 1):
+        for w in range(m + 1 - d):
+            if d + w > size or not (whole or (d >= e and 2 * d - e + w <= m)):
+                continue
+            for gone in combinations(range(size), d):
+                rest = [i for i in range(size) if i not in gone]
+                out += [(gone, covered) for covered in combinations(rest, w)]
+    return out
+
+
+@lru_cache(1 << 10)
+def _variants(shape: tuple[tuple[int, int, int], ...], edits: int) -> list[tuple]:
+    """(deleted, covered, window and place of each removed character, covered flags) grouped by how many are removed."""
+    whole = all(e == 0 for _, _, e in shape)
+    groups: dict[int, list] = {}
+    for chosen in product(*[_choices(n, m, e, whole) for n, m, e in shape]):
+        removed = sorted((j, i, i in covered) for j, (gone, covered) in enumerate(chosen) for i in (*gone, *covered))
+        if len(removed) <= edits:
+            groups.setdefault(len(removed), []).append(removed)
+    out = []
+    for r, rows in groups.items():
+        table = np.array(rows, np.int64).reshape(len(rows), r, 3)
+        covered = table[:, :, 2]
+        out.append((r, table[:, :, 0], table[:, :, 1], covered, (r - covered.sum(1)).astype(np.int8), covered.sum(1).astype(np.int8)))
+    return out
+
+
+def variant_rows(sums: tuple[np.ndarray, np.ndarray], moves: tuple[np.ndarray, np.ndarray], spec: tuple[int, ...], edits: int) -> list[np.ndarray]:
+    """(k1, k2, deleted, covered) of the variants of a line whose sums these are, inside the windows of a spec."""
+    starts, shape, shift = [], [], 0
+    for a, b, m, e in windows_of(spec):
+        starts.append(a + shift)
+        shape.append((b - a + e, m, e))
+        shift += e
+    n, offset, out = len(sums[0]) - 1, np.array(starts, np.int64), []
+    for r, window, place, covered, deleted, n_covered in _variants(tuple(shape), edits):
+        at = offset[window] + place
+        edge = np.full((len(at), 1), -1), np.full((len(at), 1), n)
+        start, stop = np.concatenate([edge[0], at], 1) + 1, np.concatenate([at, edge[1]], 1)
+        # a covered character's place counts the characters and covers before it, not the deleted ones
+        before = at - np.cumsum(1 - covered, 1) + (1 - covered)
+        with np.errstate(over="ignore"):
+            name = np.full(len(at), n - r, np.uint64)
+            for j in range(r):
+                name = np.where(covered[:, j] == 1, _mix(name * np.uint64(_B2) + before[:, j].astype(np.uint64) + np.uint64(1)), name)
+            name = _mix(name * np.uint64(_B1) + n_covered.astype(np.uint64))
+            keys = [_mix(((s[stop] - s[start]) * mv[edits + np.arange(r + 1)]).sum(1, dtype=np.uint64) ^ name) for s, mv in zip(sums, moves)]
+        out.append((*keys, deleted, n_covered))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _send(b, who: list[int], columns: dict):
+    import pyarrow as pa
+
+    take = pa.array(who, pa.int64())
+    keep = [n for n in b.schema.names if n not in ("line", "spec")]
+    return pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in keep), *columns.values()], names=[*keep, *columns])
+
+
+def narrow(edits: int, least: int):
+    """For ``mapInArrow``: rows with line and spec (null: not narrowed yet) become rows with narrower specs and their keys."""
+    def run(batches):
+        import pyarrow as pa
+
+        powers = _Powers(_B1)
+        moves = powers.moves(edits)
+        for b in batches:
+            who, specs, keys = [], [], []
+
+            def made():
+                key = np.concatenate(keys).view(np.int64)
+                return _send(b, who, {"spec": pa.array(specs, pa.list_(pa.int32())), "key": pa.array(key)})
+
+            for row, (line, spec) in enumerate(zip(b.column("line").to_pylist(), b.column("spec").to_pylist(), strict=True)):
+                sums = powers.sums(line)
+                for s in start_specs(len(line), edits, least) if spec is None else [tuple(spec)]:
+                    more, key = spec_keys(sums, moves, s, edits)
+                    who += [row] * len(more)
+                    specs += more
+                    keys.append(key)
+                if len(who) > _ROWS:
+                    yield made()
+                    who, specs, keys = [], [], []
+            if who:
+                yield made()
+    return run
+
+
+def emit(edits: int):
+    """For ``mapInArrow``: rows with line and spec become the variants inside their windows: k1, k2, deleted, covered."""
+    def run(batches):
+        import pyarrow as pa
+
+        powers = _Powers(_B1), _Powers(_B2)
+        moves = tuple(p.moves(edits) for p in powers)
+        for b in batches:
+            who, found = [], []
+
+            def made():
+                cols = [np.concatenate(c) for c in zip(*found)]
+                return _send(b, who, {"k1": pa.array(cols[0].view(np.int64)), "k2": pa.array(cols[1].view(np.int64)),
+                                      "deleted": pa.array(cols[2]), "covered": pa.array(cols[3])})
+
+            for row, (line, spec) in enumerate(zip(b.column("line").to_pylist(), b.column("spec").to_pylist(), strict=True)):
+                found.append(variant_rows(tuple(p.sums(line) for p in powers), moves, tuple(spec), edits))
+                who += [row] * len(found[-1][0])
+                if len(who) > _ROWS:
+                    yield made()
+                    who, found = [], []
+            if who:
+                yield made()
+    return run

@@ -1,4 +1,4 @@
-"""Line deduplication within a bound of edits: deletion neighbourhoods and shared segments joined as hashed keys.
+"""Line deduplication within a bound of edits: deletion neighbourhoods joined as hashed keys.
 
 A line goes if an earlier line, by (doc_id, line number), equals it or is
 within the bound (characters inserted, deleted or replaced). The bound follows
@@ -20,10 +20,13 @@ quarter), which takes eight keys a line. Only lines that share such a key emit
 variants, and only for the places inside that quarter.
 
 Under a bound k of two or more that serves the short lines, up to one character
-more than they have. The others are compared by segments: of k + 1 segments of the shorter line one stands unchanged in the other, and the places
-it can stand at follow from its number and the two lengths. Lines that share
-such a segment are verified, first against the earliest line of the segment and
-then, if still open, against all earlier ones.
+more than they have. Of longer ones, segments show first which can have a
+partner: of k + 1 segments of the shorter line one stands unchanged in the
+other, and the places it can stand at follow from its number and the two
+lengths. A line that shares a segment is verified against the earliest line of
+the segment. If it is still open, it and the earlier lines of the segment emit
+their deletion variants as ``edit_windows`` has them, where again the earliest
+line of a bucket stands for all.
 
 Cases: null and empty texts have one empty line. Lines without a word are never
 dropped. Documents with a null id have their lines compared after all others; of
@@ -37,6 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import edit_windows
+from .edit_windows import _B1, _B2, _mix, _Powers
 from .rows import WORD, texts
 
 MIN_CHARS = 20
@@ -44,30 +49,6 @@ PARTS = 4
 #: The bounds of the query, for lines of MIN_CHARS characters or more and for shorter ones.
 EDITS, SHORT_EDITS = 2, 1
 
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of a base modulo 2**64, as many as the longest line so far needs."""
-
-    def __init__(self, base: int):
-        self.base, self.back = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.table = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        while len(self.table) < n:
-            with np.errstate(over="ignore"):
-                step = np.multiply.reduce(np.full(len(self.table), self.base))
-                self.table = np.concatenate([self.table, self.table * step])
-        return self.table[:n]
-
-
 def variant_keys(line: str, first: int, stop: int, powers: tuple[_Powers, _Powers]) -> tuple[np.ndarray, np.ndarray]:
     """128-bit keys of the line itself and of its variants without the characters first..stop-1, as (high, low).
 
@@ -143,7 +124,7 @@ def _segment_keys(line: Column, n: Column, edits: int, min_chars: int) -> dict[s
     return out
 
 
-def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names: list[str], edits: int) -> DataFrame:
+def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names: list[str], edits: int, min_chars: int) -> DataFrame:
     """Keys (l1, l2) of the lines of ``firsts`` that are not among ``settled`` and have an earlier line within ``edits``."""
     # narrow rows while all keys are there; lines of equal l1 are told apart afterwards
     entries = firsts.select("l1", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
@@ -166,9 +147,51 @@ def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names
     # of several lines at one place all are heads; they are as many as repeated rows make them
     heads = members.where("first = earliest").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"))
     near = cut(verified(open_.join(heads, "key").select("l1", "l2", "o1", "o2")), "near_heads")
-    rest = open_.join(near.hint("merge"), ["l1", "l2"], "left_anti").select("key", "l1", "l2", "first")
-    others = members.where("earliest < first").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("first").alias("other"))
-    return near.union(verified(rest.join(others, "key").where("other < first").select("l1", "l2", "o1", "o2")))
+    left = cut(open_.join(near.hint("merge"), ["l1", "l2"], "left_anti").select("key", "l1", "l2", "first"), "left")
+    if left.isEmpty():
+        return near
+    # the lines still open, and all earlier lines of their segments, meet by deletion variants, one edit more each time: a
+    # pair within fewer edits would stand in every bucket that leaves it an edit to spare
+    latest = left.groupBy("key").agg(F.max("first").alias("latest"))
+    before = members.join(latest, "key").where(F.col("first") <= F.col("latest")).select("l1", "l2", "first")
+    asked = left.select("l1", "l2").distinct().withColumn("asks", F.lit(True)).hint("merge")
+    state = before.distinct().join(asked, ["l1", "l2"], "left").withColumn("asks", F.col("asks").isNotNull())
+    for bound in range(1, edits + 1):
+        state = cut(state, "taking_part")
+        got = cut(verified(_by_variants(state, wanted, bound, min_chars)), "near")
+        near = near.union(got)
+        gone = got.withColumn("found", F.lit(True)).hint("merge")
+        state = state.join(gone, ["l1", "l2"], "left").withColumn("asks", F.col("asks") & F.col("found").isNull()).drop("found")
+    return near
+
+
+def _by_variants(lines: DataFrame, wanted: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(l1, l2, o1, o2): for lines that ask, earlier ones within the bound, the earliest of each bucket of equal variants."""
+    ids = ["l1", "l2", "first", "asks"]
+    row = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ids)
+    spec = "array<int>"
+
+    def with_line(rows: DataFrame) -> DataFrame:
+        return rows.join(wanted.hint("merge"), ["l1", "l2"]).select(*ids, "line", "spec")
+
+    state = lines.withColumn("spec", F.lit(None).cast(spec))
+    while True:
+        keyed = cut(with_line(state).mapInArrow(edit_windows.narrow(edits, min_chars), f"{row}, spec {spec}, key long"), "windows")
+        useful = keyed.groupBy("key").agg(F.min("first").alias("earliest"), F.max(F.when(F.col("asks"), F.col("first"))).alias("latest"))
+        useful = useful.where("earliest < latest").select("key", "latest")
+        state = cut(keyed.join(useful, "key").where(F.col("first") <= F.col("latest")).select(*ids, "spec").distinct(), "narrowed")
+        # of each window the width; a round divides it by four
+        wide = F.exists(F.sequence(F.lit(1), F.size("spec") - 1, F.lit(4)), lambda i: F.get("spec", i + 1) - F.get("spec", i) > edit_windows.LEAF)
+        if state.where(wide).isEmpty():
+            break
+    emitted = cut(with_line(state).mapInArrow(edit_windows.emit(edits), f"{row}, k1 long, k2 long, deleted byte, covered byte").distinct(), "variants")
+    line = F.struct("first", "l1", "l2")
+    earliest = emitted.groupBy("k1", "k2", "covered").agg(*[
+        F.min(F.when(F.col("deleted") <= d, line)).alias(f"e{d}") for d in range(edits + 1)])
+    # with d deleted and w covered here, the other line may have up to edits - w - d deleted
+    facing = F.coalesce(*[F.when(F.col("covered") + F.col("deleted") + d == edits, F.col(f"e{d}")) for d in range(edits + 1)])
+    met = emitted.where("asks").join(earliest, ["k1", "k2", "covered"]).select("l1", "l2", "first", facing.alias("o"))
+    return met.where("o.first < first").select("l1", "l2", F.col("o.l1").alias("o1"), F.col("o.l2").alias("o2"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, short_edits: int = 0) -> DataFrame:
@@ -230,7 +253,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         [F.col("first.doc_id").eqNullSafe(F.col("__id")), F.col("first.line_no") == F.col("__no")], "left")
     if edits > 1:
         settled = first.where("__no IS NOT NULL").select("l1", "l2").distinct()
-        far = cut(_near_earlier(firsts, settled, keyed, list(segment_keys), edits), "far_copies").withColumn("far", F.lit(True))
+        far = cut(_near_earlier(firsts, settled, keyed, list(segment_keys), edits, min_chars), "far_copies").withColumn("far", F.lit(True))
         first = first.join(far, ["l1", "l2"], "left").withColumn("__no", F.coalesce("__no", F.when(F.col("far"), F.lit(0))))
     first = first.select("l1", "l2", F.when(F.col("__no").isNull(), F.col("first")).alias("first"))
     here = keyed.select("l1", "l2", "doc_id", "line_no")
