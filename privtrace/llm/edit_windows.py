@@ -185,7 +185,7 @@ def _send(b, who: list[int], columns: dict):
 
 
 def narrow(edits: int, least: int):
-    """For ``mapInArrow``: rows with line and spec (null: not narrowed yet) become rows with narrower specs and their keys."""
+    """For ``mapInArrow``: rows with line and spec, its specs so far (none: not narrowed yet), become rows with narrower specs and their keys."""
     def run(batches):
         import pyarrow as pa
 
@@ -200,8 +200,8 @@ def narrow(edits: int, least: int):
 
             for row, (line, spec) in enumerate(zip(b.column("line").to_pylist(), b.column("spec").to_pylist(), strict=True)):
                 sums = powers.sums(line)
-                for s in start_specs(len(line), edits, least) if spec is None else [tuple(spec)]:
-                    more, key = spec_keys(sums, moves, s, edits)
+                for s in spec or start_specs(len(line), edits, least):
+                    more, key = spec_keys(sums, moves, tuple(s), edits)
                     who += [row] * len(more)
                     specs += more
                     keys.append(key)
@@ -214,7 +214,7 @@ def narrow(edits: int, least: int):
 
 
 def emit(edits: int):
-    """For ``mapInArrow``: rows with line and spec become the variants inside their windows: k1, k2, deleted, covered."""
+    """For ``mapInArrow``: rows with line and spec, its specs, become the variants inside their windows: k1, k2, deleted, covered."""
     def run(batches):
         import pyarrow as pa
 
@@ -229,8 +229,10 @@ def emit(edits: int):
                                       "deleted": pa.array(cols[2]), "covered": pa.array(cols[3])})
 
             for row, (line, spec) in enumerate(zip(b.column("line").to_pylist(), b.column("spec").to_pylist(), strict=True)):
-                found.append(variant_rows(tuple(p.sums(line) for p in powers), moves, tuple(spec), edits))
-                who += [row] * len(found[-1][0])
+                sums = tuple(p.sums(line) for p in powers)
+                for s in spec:
+                    found.append(variant_rows(sums, moves, tuple(s), edits))
+                    who += [row] * len(found[-1][0])
                 if len(who) > _ROWS:
                     yield made()
                     who, found = [], []

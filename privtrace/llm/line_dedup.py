@@ -172,7 +172,9 @@ def _by_variants(lines: DataFrame, wanted: DataFrame, edits: int, min_chars: int
     spec = "array<int>"
 
     def with_line(rows: DataFrame) -> DataFrame:
-        return rows.join(wanted.hint("merge"), ["l1", "l2"]).select(*ids, "line", "spec")
+        # a line travels once, with all its specs; how many these are depends on its length and the bound only
+        specs = rows.groupBy(*ids).agg(F.collect_set("spec").alias("spec"))
+        return specs.join(wanted.hint("merge"), ["l1", "l2"]).select(*ids, "line", "spec")
 
     state = lines.withColumn("spec", F.lit(None).cast(spec))
     while True:
