@@ -119,54 +119,3 @@ def test_query_takes_the_production_bounds(spark, tmp_path):
     texts = ["a line of some length that stands here", "A line of some length that stands hero", "short one", "short ones"]
     spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_dropped for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
-
-
-def test_buckets_hold_exactly_the_lines_within_the_bound():
-    from collections import defaultdict
-
-    from privtrace.llm import edit_windows as w
-
-    rng = random.Random(9)
-    for edits in (1, 2):
-        powers = w._Powers(w._B1), w._Powers(w._B2)
-        moves = tuple(p.moves(edits) for p in powers)
-        for _ in range(25):
-            base = "".join(rng.choice("ab é🙂") for _ in range(rng.randint(10, 50)))
-            lines = {base}
-            for _ in range(4):
-                x = base
-                for _ in range(rng.randint(1, 3)):
-                    p = rng.randrange(len(x) + 1)
-                    x = rng.choice([x[:p] + rng.choice("aX ") + x[p:], x[:p] + x[p + 1:], x[:p] + "Z" + x[p + 1:]])
-                lines.add(x)
-            lines = sorted(lines)
-            state = [(i, s) for i, x in enumerate(lines) for s in w.start_specs(len(x), edits, 1)]
-            for _ in range(2):  # 53 places, then 14, then 4 or fewer
-                keyed = [(i, tuple(s), int(k)) for i, spec in state for s, k in zip(*w.spec_keys(powers[0].sums(lines[i]), moves[0], spec, edits))]
-                met = defaultdict(set)
-                for i, _, k in keyed:
-                    met[k].add(i)
-                state = [(i, s) for i, s, k in set(keyed) if len(met[k]) > 1]
-            buckets = defaultdict(set)
-            for i, s in state:
-                assert w.is_leaf(s)
-                for k1, k2, d, c in zip(*w.variant_rows(tuple(p.sums(lines[i]) for p in powers), moves, s, edits)):
-                    buckets[int(k1), int(k2), int(c)].add((i, int(d)))
-            got = {(i, j) for (_, _, c), b in buckets.items() for i, d in b for j, e in b if i < j and d + e + c <= edits}
-            assert got == {(j, i) for i in range(len(lines)) for j in range(i) if distance(lines[i], lines[j]) <= edits}
-
-
-def test_a_large_group_with_a_common_segment(docs):
-    """Lines that share a third but are not near its earliest line: partners are found among themselves."""
-    rng = random.Random(11)
-    head = "the same beginning of all of these lines, "
-    rows = [head + "".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(150)]
-    for i in range(0, 150, 5):
-        x = list(rows[i])
-        x[rng.randrange(50, 80)] = "Q"
-        del x[rng.randrange(45, 50)]
-        rows.append("".join(x))
-    rng.shuffle(rows)
-    got = {r.doc_id: r.n_dropped for r in op.line_dedup(docs(list(enumerate(rows))), edits=2, short_edits=1).collect()}
-    assert got == {i: int(any(distance(x, y) <= 2 for y in rows[:i])) for i, x in enumerate(rows)}
-    assert sum(got.values()) == 30
