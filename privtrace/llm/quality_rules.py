@@ -2,9 +2,11 @@
 
 The base rules reject short texts and texts in which eight-word windows repeat.
 For the rest an isolation forest judges the statistics: random splits isolate
-unusual documents early, so a short mean path marks an anomaly. The forest is
-grown on a bounded sample of labelled rows of good quality, and the limit on
-its anomaly score is the one that best parts the labelled rows.
+unusual documents early, so a short mean path marks an anomaly. The splits are
+drawn inside the box of all labelled rows of good quality; how many of these
+rows reach a node is counted over all of them, and a node that holds no more
+than one in ``SAMPLE`` is a leaf. The limit on the anomaly score is the one that
+best parts all labelled rows. Spark counts; the driver sees one number per node.
 
 Cases: null and empty texts have no words and fail the base rules. Labels that
 are null or without a document are left out; without any labelled row of good
@@ -19,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import running
 from ..session import cut
 from .rows import map_texts, texts
 
@@ -26,9 +29,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30
 SYMBOLS = "#*$%&|<>"
-#: Labelled rows that the fit uses at most, the first by a hash of their id.
-MAX_ROWS = 20_000
 TREES = 100
+#: Rows that a tree's depth and leaves are made for; more rows are weighed down to as many.
 SAMPLE = 256
 SEED = 7
 
@@ -103,13 +105,16 @@ def shares(s: np.ndarray) -> np.ndarray:
         np.minimum(chars / w, 40)])
 
 
+#: Names of the forest's inputs in a table.
+SHARES = [f"s{i}" for i in range(8)]
+
+
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 for a leaf), value, left child; the right one follows it. ``size`` of leaves."""
+    """Complete trees as arrays in heap order: feature (-1 for a leaf), value; ``rest`` is the path a leaf still adds."""
 
     feature: np.ndarray
     value: np.ndarray
-    left: np.ndarray
     rest: np.ndarray
     norm: float
     limit: float = float("inf")
@@ -117,89 +122,151 @@ class Forest:
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Anomaly scores in (0, 1): 2 ** (-mean path / expected path)."""
         total = np.zeros(len(x))
+        depth = np.floor(np.log2(np.arange(self.feature.shape[1]) + 1))
+        for at, rest in zip(self.leaves(x), self.rest, strict=True):
+            total += (depth + rest)[at]
+        return 2.0 ** (-total / len(self.feature) / self.norm)
+
+    def leaves(self, x: np.ndarray):
+        """The leaf of every row, tree by tree."""
         rows = np.arange(len(x))
-        for f, v, nxt, rest in zip(self.feature, self.value, self.left, self.rest, strict=True):
+        for f, v in zip(self.feature, self.value, strict=True):
             at = np.zeros(len(x), np.int64)
             while True:
                 split = f[at]
                 inner = split >= 0
                 if not inner.any():
                     break
-                right = x[rows, np.maximum(split, 0)] >= v[at]
-                total += inner
-                at = np.where(inner, nxt[at] + right, at)
-            total += rest[at]
-        return 2.0 ** (-total / len(self.feature) / self.norm)
+                at = np.where(inner, 2 * at + 1 + (x[rows, np.maximum(split, 0)] >= v[at]), at)
+            yield at
 
+    def masses(self, x: np.ndarray) -> np.ndarray:
+        """How many rows end in each leaf, a line per tree."""
+        return np.array([np.bincount(at, minlength=self.feature.shape[1]) for at in self.leaves(x)])
 
-def _expected(n: float) -> float:
-    """Mean path of a failed search among n points."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
+def _expected(n: np.ndarray) -> np.ndarray:
+    """Mean path of a failed search among n points; n may be a fraction."""
+    n = np.maximum(np.asarray(n, np.float64), 1.0)
+    long = 2 * (np.log(np.maximum(n - 1, 1e-9)) + 0.5772156649) - 2 * (n - 1) / n
+    return np.maximum(np.minimum(1.0, n - 1), long)
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
-    """An isolation forest on the rows of ``x``; a split value may lie outside what the sample has seen."""
+
+def plant(low: np.ndarray, high: np.ndarray, n: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """Trees of random splits for ``n`` rows inside the box; a split value may lie outside what the rows hold."""
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
+    sample = min(sample, n)
     deep = max(1, int(np.ceil(np.log2(max(2, sample)))))
-    spread = x.max(0) - x.min(0)
-    margin = np.maximum(spread, 0.05)
-    made = []
-    for _ in range(trees):
-        rows = x[rng.choice(len(x), sample, replace=False)]
-        feature, value, left, rest = [-1], [0.0], [0], [0.0]
-        todo = [(0, rows, 0, x.min(0) - margin, x.max(0) + margin)]
-        while todo:
-            at, own, depth, low, high = todo.pop()
-            if depth >= deep or len(own) <= 1:
-                rest[at] = _expected(len(own)) if len(own) > 1 else 0.0
-                continue
-            j = int(rng.integers(x.shape[1]))
-            cut_at = float(rng.uniform(low[j], high[j]))
-            first = len(feature)
-            feature += [-1, -1]
-            value += [0.0, 0.0]
-            left += [0, 0]
-            rest += [0.0, 0.0]
-            feature[at], value[at], left[at] = j, cut_at, first
-            up, down = high.copy(), low.copy()
-            up[j], down[j] = cut_at, cut_at
-            below = own[:, j] < cut_at
-            todo += [(first, own[below], depth + 1, low, up), (first + 1, own[~below], depth + 1, down, high)]
-        made.append((feature, value, left, rest))
-    most = max(len(t[0]) for t in made)
-    pad = lambda k, kind: np.array([t[k] + [0 if k else -1] * (most - len(t[k])) for t in made], kind)
-    return Forest(pad(0, np.int64), pad(1, np.float64), pad(2, np.int64), pad(3, np.float64), max(1.0, float(_expected(sample))))
-
-
-def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray) -> float:
+    margin = np.maximum(high - low, 0.05)
+    size, inner = 2 ** (deep + 1) - 1, 2**deep - 1
+    feature, value = np.full((trees, size), -1), np.zeros((trees, size))
+    every = np.arange(trees)
+    boxes = {0: (np.tile(low - margin, (trees, 1)), np.tile(high + margin, (trees, 1)))}
+    for at in range(inner):
+        lo, hi = boxes.pop(at)
+        j = rng.integers(len(low), size=trees)
+        split = rng.uniform(lo[every, j], hi[every, j])
+        feature[:, at], value[:, at] = j, split
+        up, down = hi.copy(), lo.copy()
+        up[every, j] = down[every, j] = split
+        boxes[2 * at + 1], boxes[2 * at + 2] = (lo, up), (down, hi)
+    return Forest(feature, value, np.zeros((trees, size)), max(1.0, float(_expected(sample))))
+
+
+def weigh(forest: Forest, mass: np.ndarray, sample: int = SAMPLE) -> Forest:
+    """The forest with leaves where few rows are left; ``mass`` counts the rows at its lowest nodes."""
+    mass = mass.astype(np.float64)
+    for at in range(mass.shape[1] - 1, 0, -1):
+        mass[:, (at - 1) // 2] += mass[:, at]
+    n = mass[:, :1]
+    mass = mass * (np.minimum(n, sample) / n)
+    feature = np.where(mass <= 1 + 1e-9, -1, forest.feature)
+    rest = np.where(feature < 0, _expected(mass), 0.0)
+    return Forest(feature, forest.value, rest, forest.norm)
+
+
+def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """An isolation forest on the rows of ``x``."""
+    forest = plant(x.min(0), x.max(0), len(x), trees, sample, seed)
+    return weigh(forest, forest.masses(x), sample)
+
+
+def _grown(good: DataFrame) -> Forest | None:
+    """``grow`` over a table of ``SHARES``: its box and the masses of its leaves are aggregates."""
+    import pyarrow as pa
+
+    box = good.agg(F.count("*"), *[F.min(c) for c in SHARES], *[F.max(c) for c in SHARES]).first()
+    if not box[0]:
+        return None
+    forest = plant(np.array(box[1:9], np.float64), np.array(box[9:], np.float64), box[0])
+
+    def count(batches):
+        mass = None
+        for b in batches:
+            m = forest.masses(_matrix(b))
+            mass = m if mass is None else mass + m
+        if mass is not None:
+            at = np.flatnonzero(mass)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass.ravel()[at])], names=["node", "n"])
+
+    mass = np.zeros(forest.feature.size, np.int64)
+    for r in good.select(*SHARES).mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect():
+        mass[r["node"]] = r["n"]
+    return weigh(forest, mass.reshape(forest.feature.shape))
+
+
+def _matrix(b) -> np.ndarray:
+    return np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in SHARES]) if b.num_rows else np.empty((0, len(SHARES)))
+
+
+def calibrate(forest: Forest, rows: DataFrame) -> float | None:
     """The score that best parts good from bad rows: the most of both rates together, in the middle of a gap.
 
-    At most one good row in a hundred may lie above it.
+    At most one good row in a hundred may lie above it. None without good or without bad rows.
     """
-    g, b = np.sort(forest.scores(good)), np.sort(forest.scores(bad))
-    points = np.unique(np.concatenate([g, b]))
-    points = np.concatenate([(points[1:] + points[:-1]) / 2, [points[-1] + 1e-9]])
-    lost = 1 - np.searchsorted(g, points, "right") / len(g)
-    caught = 1 - np.searchsorted(b, points, "right") / len(b)
-    value = np.where(lost <= 0.01, caught - lost, -1.0)
-    return float(points[int(np.argmax(value))])
+    import pyarrow as pa
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.scores(_matrix(b)), pa.float64()), b.column("label")], names=["score", "label"])
 
+    points = cut(rows.mapInArrow(score, "score double, label int").groupBy("score").agg(
+        F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")), "scores")
+    g, b = points.agg(F.sum("good"), F.sum("bad")).first()
+    if not g or not b:
+        return None
+    seen = running(points, [], "score", {"g": ("sum", F.col("good")), "b": ("sum", F.col("bad"))}, ties=[])
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    gain = big("g") * F.lit(b).cast("decimal(18,0)") - big("b") * F.lit(g).cast("decimal(18,0)")
+    lost = 100 * (F.lit(g) - F.col("g")) <= F.lit(g)
+    best = seen.where(lost).orderBy(gain.desc(), "score").select("score").first()["score"]
+    above = points.where(F.col("score") > best).agg(F.min("score")).first()[0]
+    return best + 1e-9 if above is None else (best + above) / 2
+
+
+def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality") -> Forest | None:
+    """A calibrated forest from all labelled rows that pass the base rules."""
+    import pyarrow as pa
 
-def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS) -> Forest | None:
-    """A calibrated forest from at most ``max_rows`` labelled rows that pass the base rules."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = measured.join(sample, "doc_id").where(~base_failed()).drop("doc_id")
-    got = np.array([tuple(r) for r in rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(max_rows).collect()], np.float64)
-    if not len(got):
+    joined = measured.join(known, "doc_id").where(~base_failed()).drop("doc_id")
+    names = joined.columns
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = shares(np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in names[:-1]]))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in x.T], b.column("label")], names=[*SHARES, "label"])
+
+    rows = cut(joined.mapInArrow(run, ", ".join(f"{c} double" for c in SHARES) + ", label int"), "labelled")
+    forest = _grown(rows.where("label = 1"))
+    if forest is None:
         return None
-    x, label = shares(got[:, :-1]), got[:, -1] == 1
-    if not label.any() or label.all():
+    limit = calibrate(forest, rows)
+    if limit is None:
         return None
-    forest = grow(x[label])
-    forest.limit = calibrate(forest, x[label], x[~label])
+    forest.limit = limit
     return forest
 
 

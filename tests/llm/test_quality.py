@@ -106,3 +106,32 @@ def test_classifier_without_labels_and_accepted(spark, docs):
 
 def test_repeated_words_are_counted_apart():
     assert clf.counted("a a a b a") == {b"a": 2, b"b": 1, clf.AGAIN: 2}
+
+
+def test_every_labelled_row_shapes_forest_and_limit(spark, docs):
+    rows, labels = corpus(n=300)
+    measured = rules.measure(docs(rows))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    whole = rules.fit(measured, lab)
+    known = {i: q for i, q in labels}
+    got = [(r, known[r.doc_id]) for r in measured.where(~rules.base_failed()).collect()]
+    x = rules.shares(np.array([tuple(r)[1:] for r, _ in got], np.float64))
+    good = np.array([q == 1 for _, q in got])
+    local = rules.grow(x[good])
+    assert np.array_equal(whole.feature, local.feature) and np.allclose(whole.rest, local.rest)
+    # the limit is the best of all gaps between the scores of all labelled rows
+    g, b = local.scores(x[good]), local.scores(x[~good])
+    points = np.unique(np.concatenate([g, b]))
+    points = [*((points[1:] + points[:-1]) / 2), points[-1] + 1e-9]
+    value = [(b > p).mean() - (g > p).mean() if (g > p).mean() <= 0.01 else -1 for p in points]
+    assert abs(whole.limit - points[int(np.argmax(value))]) < 1e-12
+
+
+def test_leaf_masses_weigh_all_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (5_000, 8))
+    x[-1] = 30.0
+    forest = rules.grow(x)
+    assert forest.feature.shape[1] == 511  # as deep as for 256 rows
+    s = forest.scores(x)
+    assert s[-1] == s.max() and (s[-1] > s[:-1]).all()
