@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -297,35 +298,68 @@ def _unit(df: DataFrame, on: list[str], key: str) -> DataFrame:
     return v.where((F.col("__n") > 0) & ~F.isnan("__n")).withColumn("__e", F.transform("__e", lambda x: x / F.col("__n"))).drop("__n")
 
 
-def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU, pivots: int = 3) -> DataFrame:
+#: Vectors of one side that meet in a cell of ``semantic_match``, and rows of a product held at once.
+CELL = 4096
+STRIP = 256
+
+
+def semantic_match(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU) -> DataFrame:
     """(event, vault entry) pairs of one scenario whose embeddings have cosine >= ``tau``.
 
-    Unit vectors with that cosine are at most r = sqrt(2 - 2 tau) apart, and so
-    are their distances to any fixed point. Both sides fall into cells of width
-    r around ``pivots`` fixed directions; a vault entry also enters the
-    neighbouring cells. Pairs meet in an equi-join on (keys, cell), whatever the
-    sizes, and the cosine decides. Vectors without length match nothing.
+    Every pair of a scenario is compared: the result itself grows with the square
+    of a scenario where ``tau`` is low. Both sides of a scenario are dealt into
+    blocks of about ``CELL`` vectors, and each block meets each block of the other
+    side in a cell of a grid, so a large scenario covers many tasks and a task
+    holds one cell. Products of matrices find the candidates, and the sum in
+    order of the dimensions decides. Vectors without length, and rows without
+    key, match nothing; vectors of different sizes neither.
     """
     on = list(on)
-    r = max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * tau)))) * (1 + 1e-9)
-
-    def along(i: int) -> Column:
-        signed = F.transform("__e", lambda x, k: F.when(F.floor(k / 2**i) % 2 == 0, x).otherwise(-x))
-        return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        v = _unit(df, on, key)
-        # the i-th direction has +1 and -1 in turn, in runs of 2**i
-        far = [F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * along(i) / F.sqrt(F.size("__e").cast("double")))) for i in range(pivots)]
-        return v.withColumn("__cell", F.array(*[F.floor(f / r).cast("int") for f in far]))
-
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a, b = unit(events, "event_id"), unit(vault, "vault_id").withColumnRenamed("__e", "__w")
-    for i in range(pivots):
-        b = b.withColumn("__d", F.explode(near)).withColumn(f"__c{i}", F.col("__cell")[i] + F.col("__d")).drop("__d")
-        a = a.withColumn(f"__c{i}", F.col("__cell")[i])
-    pairs = a.drop("__cell").join(b.drop("__cell"), [*on, *[f"__c{i}" for i in range(pivots)]])
-    return pairs.where(_dot("__e", "__w") >= tau).select(*on, "event_id", "vault_id", _dot("__e", "__w").alias("similarity"))
+    a, b = _numbered(events, on, "event_id"), _numbered(vault, on, "vault_id")
+    keys = [*on, "__size"]
+    blocks = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(n))
+    grid = blocks(a, "__na").join(blocks(b, "__nb"), keys)
+    dealt = lambda df, own, other, n, m: df.join(grid, keys).withColumn(
+        own, F.pmod(F.xxhash64("__row"), F.col(n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("__na", "__nb", "__row")
+    cell = [*keys, "__i", "__j"]
+    x, y = dealt(a, "__i", "__j", "__na", "__nb"), dealt(b, "__j", "__i", "__nb", "__na")
+    out = T.StructType([*a.select(*on, "event_id").schema.fields, b.schema["vault_id"], T.StructField("similarity", T.DoubleType())])
+    names = out.names
+
+    def matrix(t) -> np.ndarray:
+        e = t.column("__e").combine_chunks()
+        return e.flatten().to_numpy(zero_copy_only=False).reshape(len(e), -1)
+
+    def meet(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, [*[left.schema.field(c).type for c in [*on, "event_id"]],
+                                                                       right.schema.field("vault_id").type, pa.float64()])})
+        e, w = matrix(left), matrix(right)
+        got = []
+        for at in range(0, len(e), STRIP):
+            i, j = np.nonzero(e[at:at + STRIP] @ w.T >= tau - 1e-9)
+            i += at
+            dot = np.zeros(len(i))
+            for k in range(e.shape[1]):
+                dot += e[i, k] * w[j, k]
+            ok = dot >= tau
+            got.append((i[ok], j[ok], dot[ok]))
+        i, j, dot = (np.concatenate(g) for g in zip(*got))
+        return pa.table([*[left.column(c).combine_chunks().take(pa.array(i)) for c in [*on, "event_id"]],
+                         right.column("vault_id").combine_chunks().take(pa.array(j)), pa.array(dot)], names=names)
+
+    return x.groupBy(*cell).cogroup(y.groupBy(*cell)).applyInArrow(meet, out)
+
+
+def _numbered(df: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Unit vectors with their size and a row number, in a table, as they are read for the counts and again."""
+    v = _unit(df, on, key)
+    for c in on:
+        v = v.where(F.col(c).isNotNull())
+    return cut(v.withColumn("__size", F.size("__e")).withColumn("__row", F.monotonically_increasing_id()), "vectors")
 
 
 def sign_tables(tau: float, recall: float, bits: int) -> int:

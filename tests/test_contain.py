@@ -173,3 +173,23 @@ def test_semantic_search_odd_rows(spark):
     v = spark.createDataFrame([("s", 1, [2.0, 0.1]), ("s", 2, None)], "scenario_id string, vault_id long, embedding array<double>")
     assert sorted((r.event_id, r.vault_id) for r in semantic_search(e, v).collect()) == [(1, 1), (1, 1)]
     assert semantic_search(e.limit(0), v).count() == 0 and semantic_search(e, v.limit(0)).count() == 0
+
+
+def test_semantic_match_in_a_grid_of_cells(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(detect, "CELL", 16)
+    vec = lambda: rng.standard_normal(6).tolist()
+    ev = [("hot" if i % 9 else "cold", i, vec()) for i in range(120)]
+    va = [("hot" if i % 7 else "cold", i, vec()) for i in range(90)]
+    ev += [ev[1], (None, 500, vec()), ("hot", 501, [0.0] * 6), ("hot", 502, None), ("hot", 503, [1.0, None]), ("hot", 504, [1.0]), ("alone", 505, vec())]
+    va += [va[1], (None, 500, vec()), ("hot", 501, [float("nan")] * 6), ("hot", 502, []), ("hot", 504, [2.0])]
+    e = spark.createDataFrame(ev, "scenario_id string, event_id long, embedding array<double>")
+    v = spark.createDataFrame(va, "scenario_id string, vault_id long, embedding array<double>")
+    found = semantic_match(e, v, tau=0.3)
+    assert "CoGroup" in found._jdf.queryExecution().toString()
+    real = lambda x: bool(x) and None not in x and sum(t * t for t in x) > 0
+    cos = lambda p, q: sum(s * t for s, t in zip(p, q)) / (sum(s * s for s in p) * sum(t * t for t in q)) ** 0.5
+    want = sorted((a[0], a[1], b[1]) for a in ev for b in va if a[0] and a[0] == b[0] and real(a[2]) and real(b[2])
+                  and len(a[2]) == len(b[2]) and cos(a[2], b[2]) >= 0.3)
+    assert sorted((r.scenario_id, r.event_id, r.vault_id) for r in found.collect()) == want
