@@ -369,15 +369,31 @@ def sign_tables(tau: float, recall: float, bits: int) -> int:
     return 1 if one >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - one)))
 
 
-def _sign_codes(df: DataFrame, on: list[str], key: str, dim: int, bits: int, tables: int, probe: bool, seed: int) -> DataFrame:
-    """(keys, id, table, code) of unit vectors: the signs along random hyperplanes; with ``probe`` also the codes one sign away."""
+#: Signs of a sketch, in words of 64.
+SKETCH = 256
+
+
+def sketch_bound(tau: float) -> int:
+    """How many signs of two sketches may differ at cosine ``tau``: the mean and four standard deviations; nearer pairs differ less."""
+    q = float(np.arccos(max(-1.0, min(1.0, tau))) / np.pi)
+    return int(np.ceil(SKETCH * q + 4 * np.sqrt(SKETCH * q * (1 - q)) + 1))
+
+
+def _sign_codes(df: DataFrame, on: list[str], key: str, dim: int, bits: int, tables: int, probe: bool, seed: int, sketch: str = "") -> DataFrame:
+    """(keys, id, table, code) of unit vectors: the signs along random hyperplanes; with ``probe`` also the codes one sign away.
+
+    With ``sketch``, a name, ``SKETCH`` further signs follow as words.
+    """
     import pyarrow as pa
 
-    out = T.StructType([*df.select(*on, key).schema.fields, T.StructField("table", T.IntegerType()), T.StructField("code", T.IntegerType())])
+    words = [f"{sketch}{i}" for i in range(SKETCH // 64)] if sketch else []
+    out = T.StructType([*df.select(*on, key).schema.fields, T.StructField("table", T.IntegerType()), T.StructField("code", T.IntegerType()),
+                        *[T.StructField(c, T.LongType()) for c in words]])
     flips = np.concatenate([[0], 1 << np.arange(bits)]) if probe else np.zeros(1, np.int64)
 
     def run(batches):
         planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        more = np.random.default_rng([seed, 1]).standard_normal((dim, SKETCH))
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 b = batch.slice(at, 2_000)
@@ -390,18 +406,28 @@ def _sign_codes(df: DataFrame, on: list[str], key: str, dim: int, bits: int, tab
                 codes = (signs @ (1 << np.arange(bits)))[:, :, None] ^ flips
                 who = pa.array(np.repeat(np.arange(len(e)), tables * len(flips)))
                 table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(flips)), len(e))
+                signed = np.packbits(x @ more >= 0, axis=1).view(np.int64) if words else None
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c).take(who) for c in [*on, key]], pa.array(table), pa.array(codes.ravel().astype(np.int32))],
+                    [*[b.column(c).take(who) for c in [*on, key]], pa.array(table), pa.array(codes.ravel().astype(np.int32)),
+                     *[pa.array(np.ascontiguousarray(signed[:, i])).take(who) for i in range(len(words))]],
                     names=out.names)
 
     return df.select(*on, key, "__e").mapInArrow(run, out)
 
 
-def sign_pairs(a: DataFrame, b: DataFrame, on: list[str], dim: int, bits: int, tables: int, seed: int) -> DataFrame:
-    """Distinct (keys, event_id, vault_id) whose codes are at most one sign apart in some table."""
-    x = _sign_codes(a, on, "event_id", dim, bits, tables, False, seed)
-    y = _sign_codes(b, on, "vault_id", dim, bits, tables, True, seed)
-    return x.join(y, [*on, "table", "code"]).select(*on, "event_id", "vault_id").distinct()
+def sign_pairs(a: DataFrame, b: DataFrame, on: list[str], dim: int, bits: int, tables: int, seed: int, tau: float | None = None) -> DataFrame:
+    """Distinct (keys, event_id, vault_id) whose codes are at most one sign apart in some table.
+
+    With ``tau``, only those whose sketches are as near as vectors of that cosine are: rows that share a code by
+    chance go inside the join, before anything else is done with them.
+    """
+    x = _sign_codes(a, on, "event_id", dim, bits, tables, False, seed, "__x" if tau is not None else "")
+    y = _sign_codes(b, on, "vault_id", dim, bits, tables, True, seed, "__y" if tau is not None else "")
+    met = x.join(y, [*on, "table", "code"])
+    if tau is not None:
+        apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"__x{i}").bitwiseXOR(F.col(f"__y{i}"))) for i in range(SKETCH // 64)])
+        met = met.where(apart <= sketch_bound(tau))
+    return met.select(*on, "event_id", "vault_id").distinct()
 
 
 def semantic_search(events: DataFrame, vault: DataFrame, on=("scenario_id",), tau: float = fl.SEMANTIC_TAU,
@@ -414,8 +440,10 @@ def semantic_search(events: DataFrame, vault: DataFrame, on=("scenario_id",), ta
     vault entries probe theirs and those one sign away; ``sign_tables`` says how
     many tables the recall takes at cosine ``tau`` (nearer pairs are found more
     often). ``bits`` grow with the largest group, so the share of pairs formed
-    falls as it grows. Only ids are joined; the vectors of found pairs are joined
-    back and the cosine decides, so nothing is returned wrongly. A busy key is
+    falls as it grows. Only ids and sketches of 256 signs are joined; a pair whose
+    sketches are too far apart for ``tau`` (by four standard deviations, which
+    costs less than one pair in ten thousand) goes in the join. The vectors of
+    the pairs left are joined back and the cosine decides, so nothing is returned wrongly. A busy key is
     spread by table and code. Vectors without length, and rows without key or id,
     match nothing; repeated rows come as often as they are.
     """
@@ -428,7 +456,7 @@ def semantic_search(events: DataFrame, vault: DataFrame, on=("scenario_id",), ta
     dim = max(dims or 1, top["d"] or 1)
     if bits is None:
         bits = max(4, min(20, round(0.6 * float(np.log2(max(1, top["n"] or 1))))))
-    pairs = sign_pairs(a, b.withColumnRenamed("__w", "__e"), on, dim, bits, sign_tables(tau, recall, bits), seed)
+    pairs = sign_pairs(a, b.withColumnRenamed("__w", "__e"), on, dim, bits, sign_tables(tau, recall, bits), seed, tau)
     found = pairs.join(a, [*on, "event_id"]).join(b, [*on, "vault_id"])
     return found.where(_dot("__e", "__w") >= tau).select(*on, "event_id", "vault_id", _dot("__e", "__w").alias("similarity"))
 

@@ -193,3 +193,15 @@ def test_semantic_match_in_a_grid_of_cells(spark, monkeypatch):
     want = sorted((a[0], a[1], b[1]) for a in ev for b in va if a[0] and a[0] == b[0] and real(a[2]) and real(b[2])
                   and len(a[2]) == len(b[2]) and cos(a[2], b[2]) >= 0.3)
     assert sorted((r.scenario_id, r.event_id, r.vault_id) for r in found.collect()) == want
+
+
+def test_semantic_search_forms_few_false_pairs(spark):
+    ev, va = planted(1500)
+    e = spark.createDataFrame(ev, "scenario_id string, event_id long, embedding array<double>")
+    v = spark.createDataFrame(va, "scenario_id string, vault_id long, embedding array<double>")
+    units = detect._unit(e, ["scenario_id"], "event_id"), detect._unit(v, ["scenario_id"], "vault_id")
+    tables = detect.sign_tables(0.72, 0.99, 6)
+    formed = detect.sign_pairs(*units, ["scenario_id"], 24, 6, tables, 1, 0.72).count()
+    every = detect.sign_pairs(*units, ["scenario_id"], 24, 6, tables, 1).count()
+    found = semantic_search(e, v).count()
+    assert found <= formed < 0.05 * every
