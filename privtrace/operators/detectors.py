@@ -15,7 +15,7 @@ from pyspark.sql.functions import udtf
 
 from ..dims import fields as fl
 from ..dims import recognizers as rz
-from ..functions.patterns import Machine
+from ..functions.patterns import Lowered, Machine
 from . import pii
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -81,7 +81,7 @@ class PiiSpans:
         if machines is None:
             machines = self._machines[threshold] = [
                 (e, i, float(s), Machine(p, pii.FLAGS)) for e, i, p, s in rz.flat() if s >= threshold]
-        low = text.lower()
+        low = Lowered(text.lower())
         for entity, no, score, machine in machines:
             for hit in machine.finditer(text, low):
                 yield entity, no, score, hit.group(), hit.start(), hit.end()

@@ -132,3 +132,24 @@ def test_table_function_equals_the_scan(spark):
         got = spark.sql(f"SELECT e.event_id, s.* FROM udtf_events e, LATERAL pii_spans(e.text, {threshold}D) s").select(cols)
         want = pii.find_spans(df, threshold=threshold, offsets=True).select(cols)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_gates_of_machines_lose_no_match():
+    import re
+
+    from privtrace.dims import recognizers as rz
+    from privtrace.functions import patterns as pt
+    assert pt.required_runs(r"\b\d{8,12}\b") == (8, 8) and pt.required_runs(r"\b[A-HJ-NPR-Z0-9]{17}\b") == (17, 0)
+    assert pt.required_runs(r"\b(?:ab|cde)\d?x*\b") == (2, 0) and pt.required_runs(r"(?:\d{4}[- ]?){3}") == (4, 4)
+    assert pt.required_words(r"\b(?:USD|EUR|E)\b") == ("e", "eur", "usd") and pt.required_words(r"\b(?:USD|EUR)") == ()
+    texts = ["pay 12345678 EUR to 1HGCM82633A004352", "usd 5, east of N, Dr. Who", "a_b eurusd 1234567", "a1b2c3d4e5f6g7h8i9j0 99-123456-123456-1", "", "éUSD x"]
+    for flags in ("", "(?ims)"):
+        for _, _, p, _ in rz.flat():
+            plain = re.compile(flags + pt.python_pattern(p))
+            m = pt.Machine(p, flags)
+            for t in texts:
+                assert [h.span() for h in m.finditer(t, pt.Lowered(t.lower()))] == [h.span() for h in plain.finditer(t)], (p, t)
+    # a pattern is not even tried where a number is too short
+    m = pt.Machine(r"\b\d{8,12}\b")
+    m.compiled = None
+    assert m.finditer("1234567 and 89", "1234567 and 89") == ()
