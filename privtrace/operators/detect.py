@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..dims import channels as ch
 from ..dims import fields as fl
 from ..functions import text as tx
+from ..functions.patterns import exact_literals
 from ..functions.text import col
 from ..session import cut
 from .contain import ValueIndex, contains_join
@@ -225,9 +226,9 @@ def tier1_canary(events, vault, markers=None) -> DataFrame:
     """event_id of texts with a marker or a verbatim value of more than five characters."""
     markers = list(fl.SENSITIVE_MARKERS if markers is None else markers)
     by_marker = events.where(tx.contains_any("text", markers)).select("event_id")
-    verbatim = contains_join(events.select("scenario_id", "event_id", "text"),
-                             vault.where(F.length("value") > 5).select("scenario_id", "value").distinct(),
-                             KEY, case_sensitive=True).select("event_id")
+    # which value it is does not matter, so no vault row is joined to the hits
+    index = ValueIndex(vault.where(F.length("value") > 5), KEY, case_sensitive=True)
+    verbatim = index.hits(events.select("scenario_id", "event_id", "text")).select("event_id")
     return by_marker.unionByName(verbatim).distinct()
 
 
@@ -236,6 +237,18 @@ def tier2_pattern(text, patterns=fl.TIER2_PATTERNS) -> Column:
     return F.array_compact(F.array(*[F.when(col(text).rlike("(?i)" + p), n) for n, p in patterns]))
 
 
+def tier2_any(text, patterns=fl.TIER2_PATTERNS) -> Column:
+    """Whether any PII pattern is found, case ignored: those without a sign that they need in one pass."""
+    text = col(text)
+    needs = {p: [] if any(w.lower() != w.upper() for w in exact_literals(p)) else exact_literals(p) for _, p in patterns}
+    free = [p for _, p in patterns if not needs[p]]
+    # a word border that all begin with is looked for once at a place
+    border = r"\b" if all(p.startswith(r"\b") and "|" not in p for p in free) else ""
+    tests = [text.rlike(f"(?i){border}(?:" + "|".join(f"(?:{p[len(border):]})" for p in free) + ")")] if free else []
+    tests += [tx.contains_any(text, needs[p]) & text.rlike("(?i)" + p) for _, p in patterns if needs[p]]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def tier3_phrase(text, phrases=fl.TIER3_PHRASES) -> Column:
     """Categories of paraphrase whose phrases occur."""
     low = F.lower(col(text))
@@ -245,14 +258,16 @@ def tier3_phrase(text, phrases=fl.TIER3_PHRASES) -> Column:
 def tier_waterfall(events: DataFrame, vault: DataFrame, markers=None) -> DataFrame:
     """First tier that fires for each event (null: none)."""
     # pattern and phrase tiers are decided in the row, so that no text is shuffled
-    rest = F.when(F.size(tier2_pattern("text")) > 0, 2).when(F.size(tier3_phrase("text")) > 0, 3)
-    later = events.withColumn("tier", rest).drop("text")
+    phrases = [w for _, ws in fl.TIER3_PHRASES for w in ws]
+    rest = F.when(tier2_any("text"), 2).when(tx.contains_any("__low", phrases), 3)
+    later = events.withColumn("__low", F.lower("text")).withColumn("tier", rest).drop("text", "__low")
     t1 = tier1_canary(events, vault, markers).withColumn("__t1", F.lit(1))
     return later.join(t1, "event_id", "left").withColumn("tier", F.coalesce("__t1", "tier")).drop("__t1")
 
 
 def tier_share(waterfall: DataFrame) -> DataFrame:
-    leaks = waterfall.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("leaks"))
+    # one row a tier, read twice below; the texts are scanned once
+    leaks = cut(waterfall.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.count(F.lit(1)).alias("leaks")), "tiers")
     total = leaks.agg(F.sum("leaks")).scalar()
     return leaks.select("tier", "leaks", (F.col("leaks") * 100.0 / total).alias("share_pct"))
 

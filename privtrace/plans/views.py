@@ -123,7 +123,9 @@ SQL["hv_event_ascii"] = f"""SELECT scenario_id, event_id, channel, vertical, mod
 
 def events_ascii(spark, d) -> DataFrame:
     """The same whole texts with accented letters folded: word borders then mean the same to every regex engine."""
-    return events(spark, d).withColumn("text", F.regexp_replace("text", ACCENTS, "e"))
+    # a text of as many bytes as characters has no accent
+    plain = F.octet_length("text") == F.length("text")
+    return events(spark, d).withColumn("text", F.when(plain, F.col("text")).otherwise(F.regexp_replace("text", ACCENTS, "e")))
 
 
 SQL["hv_vault"] = f"""SELECT * FROM (
@@ -141,13 +143,15 @@ def vault(spark, d) -> DataFrame:
     i = F.col("doc_id")
     def one(field, value, tier, weight, when):
         return F.when(when, F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(tier).alias("tier"), F.lit(weight).alias("weight")))
-    def found(field, pattern, weight):
-        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda v: F.struct(
+    def found(field, pattern, weight, sign):
+        # only texts with the sign are searched; a null text stays one
+        hits = F.when(~F.contains("text", F.lit(sign)), F.array().cast("array<string>")).otherwise(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        return F.transform(F.array_distinct(hits), lambda v: F.struct(
             F.lit(field).alias("field"), v.alias("value"), F.lit("semantic").alias("tier"), F.lit(weight).alias("weight")))
     fixed = F.array_compact(F.array(
         one("ssn", _ssn(i), "realistic", 1.0, (i % 5).isin(0, 4)), one("confidential_notes", _canary(i), "obvious", 0.9, i % 5 == 1),
         one("salary", _salary(i), "realistic", 0.8, i % 5 == 2), one("credit_card", _card(i), "realistic", 0.95, i % 5 == 3)))
-    every = F.concat(fixed, found("email", EMAIL, 0.5), found("ip_number", IPV4, 0.6))
+    every = F.concat(fixed, found("email", EMAIL, 0.5, "@"), found("ip_number", IPV4, 0.6, "."))
     return table(spark, d, "documents").select(F.col("source").alias("scenario_id"), i.alias("record_idx"), F.inline(every))
 
 
