@@ -41,6 +41,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: Last bytes by which the sizes of tokens are looked up.
+TAIL = 4
+
+
+def _sizes_by_tail(ranks: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    """By the last TAIL bytes before a place: the sizes of the tokens that can end there, longest first.
+
+    Where a tail is missing, only tokens shorter than it can.
+    """
+    found: dict[bytes, set[int]] = {}
+    for token in ranks:
+        if len(token) >= TAIL:
+            found.setdefault(token[-TAIL:], set()).add(len(token))
+    known: dict[tuple, tuple] = {}  # equal tuples are held once
+    short = range(TAIL - 1, 0, -1)
+    out = {}
+    for tail, sizes in found.items():
+        own = (*sorted(sizes, reverse=True), *[n for n in short if tail[-n:] in ranks])
+        out[tail] = known.setdefault(own, own)
+    return out
+
+
 class PrefixCoder:
     """Encodes bytes by rank; ``last[i]`` is the last token of the first i bytes.
 
@@ -52,6 +74,8 @@ class PrefixCoder:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self._sizes = _sizes_by_tail(ranks)
+        self._sound: set[int] = set()  # tokens that merging makes, as far as met
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._step = max(self.tokens, default=0) + 1
         self._fits: dict[int, bool] = {}  # by a * step + b, in two halves
@@ -119,13 +143,23 @@ class PrefixCoder:
     def extend(self, data: bytes, last: list[int], more: bytes) -> list[int]:
         """The prefix tokens of data + more, from those of data."""
         last, data = list(last), data + more
-        rank, longest, step, fits = self.ranks.get, self.longest, self._step, self.fits
+        rank, step, fits, sizes, sound = self.ranks.get, self._step, self.fits, self._sizes.get, self._sound
+        short = tuple(range(TAIL - 1, 0, -1))
         for i in range(len(last), len(data) + 1):
             near = self._fits
-            for start in range(max(0, i - longest), i):
+            for n in sizes(data[i - TAIL:i], short) if i >= TAIL else range(i, 0, -1):
+                start = i - n
+                if start < 0:
+                    continue
                 t = rank(data[start:i])
-                # the pairs met most are looked up here, without a call
-                if t is not None and (not start or (near.get(last[start] * step + t) or fits(last[start], t))) and self._made(t):
+                if t is None:
+                    continue
+                if start and n > 1:  # one token is valid, so a single byte is where no longer one was
+                    # the pairs met most are looked up here, without a call
+                    met = near.get(last[start] * step + t)
+                    if not (fits(last[start], t) if met is None else met):
+                        continue
+                if t in sound or self._made(t):
                     last.append(t)
                     break
             else:
@@ -134,7 +168,10 @@ class PrefixCoder:
 
     def _made(self, token: int) -> bool:
         """Whether merging ever makes the token."""
-        return (self._halves[token] if token in self._halves else self.halves(token)) != (-1, -1)
+        if self.halves(token) == (-1, -1):
+            return False
+        self._sound.add(token)
+        return True
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int], int]:
         """Replace data[start:stop]: the new bytes, their prefix tokens, and how many prefixes were computed."""

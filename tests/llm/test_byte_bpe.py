@@ -100,3 +100,21 @@ def test_digests_and_round_trip(docs):
 def test_a_byte_without_token():
     with pytest.raises(ValueError):
         op.PrefixCoder({b"a": 0}).encode(b"b")
+
+
+def test_prefixes_try_only_sizes_that_can_end_there():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    ranks = {bytes([i]): i for i in range(256)}
+    for n in range(2, 41):  # one long chain of merges: tokens of up to 40 bytes
+        ranks[b"a" * (n - 1) + b"b" if n > 2 else b"ab"] = len(ranks)
+    coder = op.PrefixCoder(Counted(ranks))
+    data = b"the quick brown fox jumps over the lazy dog " * 20
+    Counted.asked = 0
+    assert coder.decode(coder.tokens_of(coder.prefixes(data))) == data
+    assert Counted.asked < 4 * len(data)
