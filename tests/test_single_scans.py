@@ -71,3 +71,17 @@ def test_views_keep_nulls_and_accents(spark, repeated):
     assert [r["text"] for r in views.events_ascii(spark, repeated).orderBy("event_id").collect()][3:5] == ["el mail a@b.example patient has nothing to add", None]
     found = views.vault(spark, repeated).groupBy("field").count().collect()
     assert {r["field"]: r["count"] for r in found} == {"ssn": 5, "email": 4, "ip_number": 1}
+
+
+def test_tier_waterfall_reads_the_vault_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    vault = spark.createDataFrame([("s", "secret value"), ("s", "other one")], "scenario_id string, value string")
+    vault = vault.mapInArrow(count, "scenario_id string, value string")
+    events = spark.createDataFrame([("s", 1, "a secret value"), ("s", 2, "nothing")], "scenario_id string, event_id long, text string")
+    assert {r["event_id"]: r["tier"] for r in detect.tier_waterfall(events, vault).collect()} == {1: 1, 2: None}
+    assert seen.value == 2
