@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from ..dims import false_positives as fp
 from ..dims import fields as fl
 from ..dims import recognizers as rz
 from ..functions import text as tx
-from ..functions.patterns import Lowered, Machine, gated_sql, sql_text
+from ..functions.patterns import gated_sql, scanner, sql_text
 from ..functions.text import col
 
 FLAGS = "(?ims)"
@@ -31,14 +32,47 @@ def find_spans(
     """Event columns (without the text) with (entity, pattern_no, score, match[, start, end]).
 
     ``recognizers`` is a list of (entity, pattern_no, pattern, score); by default
-    the catalogue. All patterns run in one pass over the texts. Without offsets
-    the work stays inside the JVM; offsets need one Arrow-batched scan.
+    the catalogue. All patterns run in one pass over the texts: an Arrow-batched
+    scan for offsets and, of ASCII texts, for the catalogue; else inside the JVM.
     """
     table = [r for r in (rz.flat() if recognizers is None else recognizers) if r[3] >= threshold]
     keep = [c for c in events.columns if c != text]
     if offsets:
         return _offset_spans(events, table, flags, text, keep)
-    return events.withColumn("__low", F.lower(text)).select(*keep, F.inline(_hits(table, flags, text)))
+    low, hits = _with_hits(events, table, flags, text, recognizers is None)
+    return low.select(*keep, F.inline(hits))
+
+
+HITS = "array<struct<entity:string,pattern_no:int,score:double,match:string>>"
+
+
+def _with_hits(events: DataFrame, table, flags: str, text: str, scanned: bool) -> tuple[DataFrame, Column]:
+    """Events, and an expression over them: the array of (entity, pattern_no, score, match) of each text.
+
+    A long list is ``scanned``: where a pattern can begin is told by words, which
+    expressions of the JVM cannot remember. Beyond ASCII the two engines differ in
+    case and borders, so such texts stay in the JVM.
+    """
+    if not scanned or not table:
+        return events.withColumn("__low", F.lower(text)), _hits(table, flags, text)
+
+    # values, so that an executor needs no more than this package
+    patterns, named = tuple(r[2] for r in table), [(e, int(i), float(s)) for e, i, _, s in table]
+
+    @F.arrow_udf(HITS)
+    def scan(texts: pa.Array) -> pa.Array:
+        each = scanner(patterns, flags).finditer
+        out = []
+        for t in texts:
+            t = t.as_py()
+            out.append(None if t is None else [
+                {"entity": named[k][0], "pattern_no": named[k][1], "score": named[k][2], "match": hit.group()} for k, hit in each(t)])
+        kind = pa.struct([("entity", pa.string()), ("pattern_no", pa.int32()), ("score", pa.float64()), ("match", pa.string())])
+        return pa.array(out, pa.list_(kind))
+
+    ascii_ = F.octet_length(text) == F.length(text)
+    low = events.withColumn("__low", F.when(~ascii_, F.lower(text))).withColumn("__found", scan(F.when(ascii_, F.col(text))))
+    return low, F.coalesce("__found", F.when(~ascii_, _hits(table, flags, text)))
 
 
 def _hits(table, flags: str, text: str) -> Column:
@@ -67,7 +101,8 @@ def analyze(events: DataFrame, recognizers=None, threshold: float = fl.SPAN_THRE
         if context_rules:
             bad = bad | is_context_false_positive(h["entity"], h["match"], text)
         return ~bad
-    return events.withColumn("__low", F.lower(text)).select(*keep, F.inline(F.filter(_hits(table, flags, text), real)))
+    low, hits = _with_hits(events, table, flags, text, recognizers is None)
+    return low.select(*keep, F.inline(F.filter(hits, real)))
 
 
 def _offset_spans(events: DataFrame, table, flags: str, text: str, keep) -> DataFrame:
@@ -77,16 +112,15 @@ def _offset_spans(events: DataFrame, table, flags: str, text: str, keep) -> Data
         T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def scan(batches):
-        machines = [(e, i, float(s), Machine(p, flags)) for e, i, p, s in table]
+        each = scanner(tuple(r[2] for r in table), flags).finditer
         for pdf in batches:
             rows, found = [], []
             for r, t in enumerate(pdf[text]):
                 if t:
-                    low = Lowered(t.lower())
-                    for e, i, s, m in machines:
-                        for hit in m.finditer(t, low):
-                            rows.append(r)
-                            found.append((e, i, s, hit.group(), hit.start(), hit.end()))
+                    for k, hit in each(t):
+                        e, i, _, s = table[k]
+                        rows.append(r)
+                        found.append((e, i, float(s), hit.group(), hit.start(), hit.end()))
             if rows:
                 out = pdf.iloc[rows][keep].reset_index(drop=True)
                 extra = pd.DataFrame(found, columns=["entity", "pattern_no", "score", "match", "start", "end"])
