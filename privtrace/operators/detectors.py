@@ -15,7 +15,7 @@ from pyspark.sql.functions import udtf
 
 from ..dims import fields as fl
 from ..dims import recognizers as rz
-from ..functions.patterns import Lowered, Machine
+from ..functions.patterns import scanner
 from . import pii
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -71,20 +71,19 @@ class PiiSpans:
     """Spans of one text by the recognizers at or above a threshold; a null or empty text has none."""
 
     def __init__(self):
-        self._machines: dict[float, list] = {}
+        self._tables: dict[float, tuple] = {}
 
     def eval(self, text: str, threshold: float):
         if not text:
             return
         threshold = fl.SPAN_THRESHOLD if threshold is None else float(threshold)
-        machines = self._machines.get(threshold)
-        if machines is None:
-            machines = self._machines[threshold] = [
-                (e, i, float(s), Machine(p, pii.FLAGS)) for e, i, p, s in rz.flat() if s >= threshold]
-        low = Lowered(text.lower())
-        for entity, no, score, machine in machines:
-            for hit in machine.finditer(text, low):
-                yield entity, no, score, hit.group(), hit.start(), hit.end()
+        if threshold not in self._tables:
+            table = [r for r in rz.flat() if r[3] >= threshold]
+            self._tables[threshold] = table, scanner(tuple(r[2] for r in table), pii.FLAGS)
+        table, scan = self._tables[threshold]
+        for k, hit in scan.finditer(text):
+            entity, no, _, score = table[k]
+            yield entity, no, float(score), hit.group(), hit.start(), hit.end()
 
 
 def register_functions(spark: SparkSession) -> None:
