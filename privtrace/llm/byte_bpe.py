@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from .chunks import ChunkCoder, ragged
 from .rows import map_texts, texts
 
-#: Pairs of tokens and chunks that a coder remembers, in each of two halves; small, as a worker lives on beside other stages.
+#: Pairs of tokens that a coder remembers, in each of two halves; small, as a worker lives on beside other stages.
 PAIRS = 60_000
-REMEMBERED = 80_000
 #: Bytes of text coded together.
 BLOCK = 2 << 20
 
@@ -227,7 +226,7 @@ def _coder(path: str, pattern: str | None = None):
 
         # the cuts of a chunk hold for this pattern only; any other one cuts every text itself
         sure = pattern in (None, _files("", None)[1])
-        _CODERS[path, pattern] = (coder, ChunkCoder(code, pattern or "", REMEMBERED, BLOCK, every_text=not sure))
+        _CODERS[path, pattern] = (coder, ChunkCoder(code, pattern or "", block=BLOCK, every_text=not sure))
     return _CODERS[path, pattern]
 
 

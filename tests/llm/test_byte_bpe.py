@@ -118,3 +118,17 @@ def test_prefixes_try_only_sizes_that_can_end_there():
     Counted.asked = 0
     assert coder.decode(coder.tokens_of(coder.prefixes(data))) == data
     assert Counted.asked < 4 * len(data)
+
+
+def test_words_met_again_are_not_coded_again(monkeypatch):
+    from privtrace.llm import byte_bpe
+    monkeypatch.setattr(byte_bpe, "_CODERS", {})
+    coder = byte_bpe._coder(*byte_bpe._files(None, None))[1]
+    calls = []
+    monkeypatch.setattr(coder, "code", lambda match: calls.append(match) or b"\0\0\0\0")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:240_000]
+    parts = [" ".join(words[k:k + 80_000]) for k in range(0, 240_000, 80_000)]
+    for part in [*parts, parts[0]]:
+        coder([part])
+    assert len(calls) < 240_100
