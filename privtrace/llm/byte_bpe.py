@@ -32,7 +32,7 @@ from .rows import map_texts, texts
 #: Pairs of tokens that a coder remembers, in each of two halves; small, as a worker lives on beside other stages.
 PAIRS = 60_000
 #: Bytes of text coded together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -44,7 +44,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 def byte_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[pa.Array]:
     """Runs of consecutive texts of about ``size`` bytes; a longer text is a run of its own."""
-    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while at < len(texts):
         done = int(ends[at - 1]) if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .chunks import byte_blocks, numbered_words, ragged
 from .rows import map_texts, texts
@@ -41,7 +42,7 @@ EPOCHS = 8
 RATE = 0.4
 PREDICT = 0.3
 #: Bytes of text scored together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Stands for a repeated word; white space keeps it apart from all words.
 AGAIN = b" again "
 
@@ -193,11 +194,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, scored in the same pass."""
+    """The rows of ``docs`` that the classifier accepts, scored in the same pass.
+
+    A text goes to Python once and comes back with its row; only a column that
+    is no string is sent beside its text.
+    """
     model = fit(docs, labels)
 
     def start():
-        return lambda batch: [model.scores(batch)]
+        return lambda batch: [model.scores(batch.fill_null(""))]
 
-    mine = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return map_texts(mine, "__score double", start, "__text", arrow=True).where(F.col("__score") >= PREDICT).select(docs.columns)
+    text, mine = "text", docs
+    if docs.schema["text"].dataType != StringType():
+        text, mine = "__text", docs.withColumn("__text", F.col("text").cast("string"))
+    return map_texts(mine, "__score double", start, text, arrow=True, stay=True).where(F.col("__score") >= PREDICT).select(docs.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .chunks import byte_blocks
 
 #: What the contracts call a word: white space is the six ASCII characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,16 +22,33 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_as
     return docs.select(F.col(id_col).alias(id_as), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str]], list]], text: str = "text", arrow: bool = False) -> DataFrame:
-    """Add columns computed from ``text`` batch by batch; the other columns pass through and the text goes.
+def _give_back() -> None:
+    """Return free memory to the system: a worker lives on, beside others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+#: Bytes of text that ``map_texts`` hands over and sends back at once.
+SLICE = 4 << 20
+
+
+def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str]], list]], text: str = "text", arrow: bool = False,
+              stay: bool = False) -> DataFrame:
+    """Add columns computed from ``text`` slice by slice; the other columns pass through and the text goes.
 
     With ``arrow`` the function gets the texts as they came, an Arrow array.
+    With ``stay`` the text stays, so that it need not be sent twice.
 
     ``start`` runs once per task and returns a function from a list of texts to
-    one list (or Arrow array) per column of ``schema``. Spark bounds a batch by
-    rows and bytes.
+    one list (or Arrow array) per column of ``schema``. Spark's batch may be all
+    rows of a task; it is worked on and sent back in slices of ``SLICE`` bytes,
+    and a longer text is a slice of its own.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if stay or f.name != text]
     made = df.sparkSession.createDataFrame([], schema).schema
     out = type(made)([*keep, *made.fields])
     names = [f.name for f in keep]
@@ -40,13 +58,16 @@ def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[list[str
 
         each = start()
         kinds = [to_arrow_type(f.dataType) for f in made.fields]
-        for b in batches:
-            got = b.column(b.schema.get_field_index(text))
-            new = each(got if arrow else got.to_pylist())
-            cols = [b.column(b.schema.get_field_index(n)) for n in names]
-            cols += [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(new, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(f.name for f in made.fields)])
-            pa.default_memory_pool().release_unused()  # a worker lives on, beside others
+        for whole in batches:
+            at = 0
+            for got in byte_blocks(whole.column(whole.schema.get_field_index(text)), SLICE):
+                b = whole.slice(at, len(got))
+                at += len(got)
+                new = each(got if arrow else got.to_pylist())
+                cols = [b.column(b.schema.get_field_index(n)) for n in names]
+                cols += [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(new, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *(f.name for f in made.fields)])
+            _give_back()
 
     return df.mapInArrow(run, out)
 

@@ -104,6 +104,31 @@ def test_classifier_without_labels_and_accepted(spark, docs):
     assert clf.accepted(docs([]), lab).collect() == []
 
 
+def test_a_text_goes_to_python_once(spark, docs):
+    rows, labels = corpus(n=60)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    df = docs([*rows, (None, "x"), (-1, None), (-2, "")])
+    out = clf.accepted(df, lab)
+    assert "__text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.doc_id for r in clf.classify(df, lab).where("predicted = 1").collect()}
+    assert {r.doc_id for r in out.collect()} == want and {r.doc_id: r.text for r in out.collect()}.get(-1) is None
+    numbers = spark.createDataFrame([(1, 12), (2, None)], "doc_id long, text int")
+    scored = {r.doc_id for r in clf.classify(numbers, lab).where("predicted = 1").collect()}
+    assert {r.doc_id for r in clf.accepted(numbers, lab).collect()} == scored and clf.accepted(numbers, lab).dtypes == numbers.dtypes
+
+
+def test_texts_are_handed_over_in_slices(docs):
+    from privtrace.llm.rows import SLICE, map_texts, texts
+
+    def start():
+        return lambda batch: [[sum(map(len, batch))] * len(batch), list(map(len, batch))]
+
+    rows = [(i, "x" * (1 << 20)) for i in range(10)] + [(10, None), (11, ""), (12, "y" * (SLICE + 5)), (13, "z")]
+    got = map_texts(texts(docs(rows)).coalesce(1), "together long, size long", start).collect()
+    assert {r.doc_id: r.size for r in got} == {i: len(t or "") for i, t in rows} and len(got) == len(rows)
+    assert all(r.together <= SLICE or r.together == r.size for r in got)
+
+
 def test_repeated_words_are_counted_apart():
     assert clf.counted("a a a b a") == {b"a": 2, b"b": 1, clf.AGAIN: 2}
 
