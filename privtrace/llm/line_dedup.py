@@ -23,7 +23,13 @@ Under a bound k of two or more that serves the short lines, up to one character
 more than they have. The others are compared by segments: of k + 1 segments of the shorter line one stands unchanged in the other, and the places
 it can stand at follow from its number and the two lengths. Lines that share
 such a segment are verified, first against the earliest line of the segment and
-then, if still open, against all earlier ones.
+then, if still open, against all earlier ones where a segment has at most
+``WIDE`` lines. The lines of wider ones, such as a common passage has, are
+never paired: they are cut into more and more pieces, of which at most k hold
+the edits, and meet in what the other pieces keep. When these windows are short
+they emit deletion variants, with places for replaced characters, keyed so that
+all lines facing each other under a key are within the bound; the earliest
+decides. A line that alone keeps something falls out at every step.
 
 Cases: null and empty texts have one empty line. Lines without a word are never
 dropped. Documents with a null id have their lines compared after all others; of
@@ -32,6 +38,12 @@ or go together. An empty table gives an empty result.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
+from itertools import accumulate, combinations, product
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +56,11 @@ PARTS = 4
 #: The bounds of the query, for lines of MIN_CHARS characters or more and for shorter ones.
 EDITS, SHORT_EDITS = 2, 1
 
+#: Lines of a segment that are compared pair by pair; wider ones are narrowed.
+WIDE = 32
+#: Characters of a window that emits variants.
+LAST = 4
+
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
 
 
@@ -143,7 +160,122 @@ def _segment_keys(line: Column, n: Column, edits: int, min_chars: int) -> dict[s
     return out
 
 
-def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names: list[str], edits: int) -> DataFrame:
+def _shifts(less: int, windows: int, edits: int) -> Iterator[tuple[int, ...]]:
+    """How far the text behind each window can be moved if every window holds an edit and there are at most ``edits``."""
+    for steps in product(range(-edits, edits + 1), repeat=windows):
+        if sum(steps) == less and sum(max(1, abs(x)) for x in steps) <= edits:
+            yield tuple(accumulate(steps))
+
+
+def _choices(inside: list[int] | None, pieces: int, edits: int) -> Iterator[tuple[int, ...]]:
+    """The sets of up to ``edits`` pieces that can hold the edits; if those of half as many pieces are known, with a half of each."""
+    of = range(pieces) if not inside else [2 * c + half for c in inside for half in (0, 1)]
+    for k in range(len(inside) if inside else 1, edits + 1):
+        yield from (c for c in combinations(of, k) if not inside or {x // 2 for x in c} == set(inside))
+
+
+def contexts(line: str, size: int, pieces: int, inside: list[int] | None, edits: int) -> Iterator[tuple[bytes, tuple[int, ...], list[str]]]:
+    """(key, windows, what stands in them) of a line beside lines of ``size`` characters, cut into pieces: the key is of all else.
+
+    An edit belongs to the piece of the shorter line that it stands in; one at the very end to the last piece.
+    """
+    at = [size * i // pieces for i in range(pieces + 1)]
+    for chosen in _choices(inside, pieces, edits):
+        for moved in _shifts(len(line) - size, len(chosen), edits):
+            kept, content, done, shift = [], [], 0, 0
+            for c, after in zip(chosen, moved, strict=True):
+                kept.append(line[done:at[c] + shift])
+                done = at[c + 1] + after
+                if done < at[c] + shift:
+                    break
+                content.append(line[at[c] + shift:done])
+                shift = after
+            else:
+                kept.append(line[done:])
+                # sizes, pieces and windows fix where the kept parts end
+                text = f"{size},{pieces},{chosen}|" + "".join(kept)
+                yield blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), chosen, content
+
+
+def facing_keys(key: bytes, content: list[str], edits: int) -> Iterator[tuple[bytes, int]]:
+    """(key, side) of the variants of the windows: lines of side 1 face those of side 2, lines of side 0 each other.
+
+    If x characters of the one and y of the other line are deleted and the rest
+    agrees but for z places, the lines are within x + y + z edits.
+    """
+    chars = [(w, c) for w, text in enumerate(content) for c in text]
+    for x in range(edits + 1):
+        for y in range(min(x, edits - x) + 1):
+            for side, deleted in ([(0, x)] if x == y else [(1, x), (2, y)]):
+                for rest in combinations(chars, len(chars) - deleted) if deleted <= len(chars) else ():
+                    for places in combinations(range(len(rest)), min(edits - x - y, len(rest))):
+                        left = [(w, "" if i in places else c) for i, (w, c) in enumerate(rest)]
+                        yield blake2b(key + repr((x, y, left)).encode("utf-8", "surrogatepass"), digest_size=16).digest(), side
+
+
+def _narrowed(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """Pairs (l1, l2, o1, o2) of open lines and earlier ones within ``edits``: the earliest under a key, for every line that has one.
+
+    ``lines`` has l1, l2, first, open and line. A round doubles the pieces; it
+    forms no pairs, and what reaches the next one shares a key with an open line.
+    """
+    import pyarrow as pa
+
+    kind = lines.schema["first"].dataType.simpleString()
+    names = ["l1", "l2", "first", "open"]
+
+    def keep(b, take):
+        return [b.column(x).take(pa.array(take, pa.int64())) for x in names]
+
+    def cut_up(pieces: int):
+        def run(batches):
+            for b in batches:
+                for at in range(len(b)):
+                    line, known = b.column("line")[at].as_py(), b.column("known")[at].as_py()
+                    todo = [(k["size"], k["windows"]) for k in known] if known else [(n, None) for n in range(max(len(line) - edits, min_chars), len(line) + 1)]
+                    rows = [(size, *c) for size, inside in todo for c in contexts(line, size, pieces, inside, edits)]
+                    marks = [[int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in r[3]] for r in rows]
+                    last = [r[0] <= LAST * pieces for r in rows]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keep(b, [at] * len(rows)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int32()),
+                         pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64())), pa.array(last, pa.bool_()),
+                         pa.array([r[3] if x else None for r, x in zip(rows, last, strict=True)], pa.list_(pa.string()))],
+                        names=[*names, "key", "size", "windows", "marks", "last", "content"])
+        return run
+
+    def emit(batches):
+        for b in batches:
+            for at in range(len(b)):
+                rows = [*set(facing_keys(b.column("key")[at].as_py(), b.column("content")[at].as_py(), edits))]
+                yield pa.RecordBatch.from_arrays(
+                    [*keep(b, [at] * len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=[*names, "key", "side"])
+
+    found, known, pieces = None, None, edits + 2
+    first = f"l1 long, l2 long, first {kind}, open boolean, key binary"
+    while True:
+        now = lines.withColumn("known", F.lit(None).cast("array<struct<size:int,windows:array<int>>>")) if known is None else lines.join(known, ["l1", "l2"])
+        entries = cut(now.mapInArrow(cut_up(pieces), f"{first}, size int, windows array<int>, marks array<long>, last boolean, content array<string>"), "pieces")
+        # lines under a key that differ in every window; where a window is the same in all, fewer windows say as much
+        differ = [F.coalesce(F.min(F.get("marks", F.lit(i))) != F.max(F.get("marks", F.lit(i))), F.lit(True)) for i in range(edits)]
+        shared = entries.groupBy("key").agg(F.min("first").alias("e"), F.max(F.when(F.col("open"), F.col("first"))).alias("o"), reduce(and_, differ).alias("d"))
+        shared = shared.where("e < o AND d").select("key")
+        entries = cut(entries.join(shared.hint("merge"), "key"), "shared_pieces")
+        ready = entries.where("last").mapInArrow(emit, f"{first}, side int").distinct()
+        ready = cut(ready, "piece_variants")
+        earliest = ready.groupBy("key").agg(*[
+            F.min(F.when(F.col("side") == side, F.struct("first", "l1", "l2"))).alias(f"e{side}") for side in (0, 1, 2)])
+        faced = F.when(F.col("side") == 0, F.col("e0")).when(F.col("side") == 1, F.col("e2")).otherwise(F.col("e1"))
+        met = ready.where("open").join(earliest.hint("merge"), "key").withColumn("e", faced).where("e.first < first")
+        met = cut(met.select("l1", "l2", F.col("e.l1").alias("o1"), F.col("e.l2").alias("o2")).distinct(), "faced")
+        found = met if found is None else found.union(met)
+        more = entries.where("NOT last").select("l1", "l2", F.struct("size", "windows").alias("k"))
+        known = cut(more.groupBy("l1", "l2").agg(F.collect_set("k").alias("known")).hint("merge"), "known")
+        if known.isEmpty():
+            return found
+        pieces *= 2
+
+
+def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names: list[str], edits: int, min_chars: int) -> DataFrame:
     """Keys (l1, l2) of the lines of ``firsts`` that are not among ``settled`` and have an earlier line within ``edits``."""
     # narrow rows while all keys are there; lines of equal l1 are told apart afterwards
     entries = firsts.select("l1", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
@@ -166,9 +298,24 @@ def _near_earlier(firsts: DataFrame, settled: DataFrame, keyed: DataFrame, names
     # of several lines at one place all are heads; they are as many as repeated rows make them
     heads = members.where("first = earliest").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"))
     near = cut(verified(open_.join(heads, "key").select("l1", "l2", "o1", "o2")), "near_heads")
-    rest = open_.join(near.hint("merge"), ["l1", "l2"], "left_anti").select("key", "l1", "l2", "first")
+    rest = cut(open_.join(near.hint("merge"), ["l1", "l2"], "left_anti").select("key", "l1", "l2", "first"), "rest")
     others = members.where("earliest < first").select("key", F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("first").alias("other"))
-    return near.union(verified(rest.join(others, "key").where("other < first").select("l1", "l2", "o1", "o2")))
+    others = others.join(rest.select("key").distinct().hint("merge"), "key", "left_semi")
+    sizes = cut(others.groupBy("key").agg((F.count("*") > WIDE).alias("wide")), "widths")
+    narrow, wide = sizes.where("NOT wide").select("key"), sizes.where("wide").select("key").hint("merge")
+    pairs = rest.join(narrow, "key").join(others, "key").where("other < first").select("l1", "l2", "o1", "o2")
+    near = cut(near.union(verified(pairs)), "near_pairs")
+
+    # lines of wide segments, the open ones among them, and all that are earlier than one of these
+    still = rest.join(wide, "key", "left_semi").join(near.hint("merge"), ["l1", "l2"], "left_anti")
+    still = cut(still, "still")
+    if still.isEmpty():
+        return near
+    latest = still.groupBy("key").agg(F.max("first").alias("latest"))
+    ours = others.join(latest.hint("merge"), "key").where("other <= latest").select(F.col("o1").alias("l1"), F.col("o2").alias("l2"), F.col("other").alias("first")).distinct()
+    ours = ours.join(still.select("l1", "l2").distinct().withColumn("open", F.lit(True)).hint("merge"), ["l1", "l2"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    ours = cut(ours.join(wanted.hint("merge"), ["l1", "l2"]).repartition("l1", "l2"), "wide_lines")
+    return near.union(verified(_narrowed(ours, edits, min_chars)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, short_edits: int = 0) -> DataFrame:
@@ -230,7 +377,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         [F.col("first.doc_id").eqNullSafe(F.col("__id")), F.col("first.line_no") == F.col("__no")], "left")
     if edits > 1:
         settled = first.where("__no IS NOT NULL").select("l1", "l2").distinct()
-        far = cut(_near_earlier(firsts, settled, keyed, list(segment_keys), edits), "far_copies").withColumn("far", F.lit(True))
+        far = cut(_near_earlier(firsts, settled, keyed, list(segment_keys), edits, min_chars), "far_copies").withColumn("far", F.lit(True))
         first = first.join(far, ["l1", "l2"], "left").withColumn("__no", F.coalesce("__no", F.when(F.col("far"), F.lit(0))))
     first = first.select("l1", "l2", F.when(F.col("__no").isNull(), F.col("first")).alias("first"))
     here = keyed.select("l1", "l2", "doc_id", "line_no")
